@@ -347,20 +347,26 @@ def route_alarms(alarms: DataFrame, devices: DataFrame, meshes: DataFrame, owner
 
 
 def fleet_totals(owners: DataFrame, meshes: DataFrame, devices: DataFrame) -> DataFrame:
-    """A-12: one row. Each table is counted by itself; the three one-row
-    results are put side by side by summing a union."""
-    count = lambda df, name, total: df.agg(total.alias("total")).select(
-        F.lit(name).alias("name"), "total"
-    )
+    """A-12: one row. Each table is counted by itself and the one-row results
+    are put side by side by summing a union."""
     every = F.count(F.lit(1))
-    parts = (
-        count(owners, "owners", every)
-        .unionByName(count(meshes, "meshes", every))
-        .unionByName(count(devices, "devices", every))
-        .unionByName(count(devices, "active_gateways", F.count_if(F.col("is_gateway") & F.col("is_allowed"))))
+    zero = F.lit(0).cast("long")
+    parts = [
+        owners.agg(every.alias("owners"), zero.alias("meshes"), zero.alias("devices"), zero.alias("active_gateways")),
+        meshes.agg(zero.alias("owners"), every.alias("meshes"), zero.alias("devices"), zero.alias("active_gateways")),
+        devices.agg(
+            zero.alias("owners"),
+            zero.alias("meshes"),
+            every.alias("devices"),
+            F.count_if(F.col("is_gateway") & F.col("is_allowed")).alias("active_gateways"),
+        ),
+    ]
+    return (
+        parts[0]
+        .unionByName(parts[1])
+        .unionByName(parts[2])
+        .agg(*[F.sum(n).alias(n) for n in ("owners", "meshes", "devices", "active_gateways")])
     )
-    pick = lambda name: F.sum(F.when(F.col("name") == name, F.col("total"))).alias(name)
-    return parts.agg(*[pick(n) for n in ("owners", "meshes", "devices", "active_gateways")])
 
 
 def scan_summary(devices: DataFrame) -> DataFrame:
