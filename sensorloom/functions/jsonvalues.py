@@ -7,7 +7,7 @@ parsing would lose.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 OBJECT = "map<string,variant>"
 # How deep payload objects may nest. Anything deeper raises instead of being
@@ -24,23 +24,34 @@ def type_name(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def is_number(value: Column) -> Column:
+_NUMERIC = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+
+
+def numeric_kind(kind: Column) -> Column:
     """True for JSON numbers; booleans and numeric strings are not numbers."""
-    name = type_name(value)
-    return name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL")
+    return kind.rlike(_NUMERIC)
 
 
-def is_bool(value: Column) -> Column:
-    return type_name(value) == "BOOLEAN"
+def object_kind(kind: Column) -> Column:
+    return kind.startswith("OBJECT")
+
+
+def is_number(value: Column) -> Column:
+    return numeric_kind(type_name(value))
 
 
 def is_object(value: Column) -> Column:
-    return type_name(value).startswith("OBJECT")
+    return object_kind(type_name(value))
+
+
+def as_double(value: Column) -> Column:
+    """For values known to be numbers."""
+    return F.try_variant_get(value, "$", "double")
 
 
 def number(value: Column) -> Column:
     """Value of a JSON number as double, null for every other type."""
-    return F.when(is_number(value), F.try_variant_get(value, "$", "double"))
+    return F.when(is_number(value), as_double(value))
 
 
 # Spellings of a number that a text field may use. A trailing
@@ -58,66 +69,73 @@ def text_to_double(text: Column) -> Column:
     return F.when(trimmed.rlike(_NUMBER_TEXT), plain.try_cast("double"))
 
 
-def coerced_double(value: Column) -> Column:
+def coerced_double(value: Column, kind: Column | None = None) -> Column:
     """Number, boolean (as 0 or 1) or numeric text as double; else null."""
-    kind = type_name(value)
+    kind = type_name(value) if kind is None else kind
     return (
-        F.when(kind == "STRING", text_to_double(F.try_variant_get(value, "$", "string")))
+        F.when(numeric_kind(kind), as_double(value))
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
-        .otherwise(number(value))
+        .when(kind == "STRING", text_to_double(F.try_variant_get(value, "$", "string")))
     )
 
 
 def members(value: Column) -> Column:
-    """array<struct<key, value>> of an object, empty for other values."""
-    return F.coalesce(
-        F.map_entries(as_object(value)),
-        F.from_json(F.lit("[]"), "array<struct<key:string,value:variant>>"),
+    """array<struct<key, value, kind>> of an object, empty for other values.
+
+    `kind` is the type name, looked up once here and not at each use.
+    """
+    return F.transform(
+        F.coalesce(
+            F.map_entries(as_object(value)),
+            F.array().cast("array<struct<key:string,value:variant>>"),
+        ),
+        lambda m: F.struct(m["key"].alias("key"), m["value"].alias("value"), type_name(m["value"]).alias("kind")),
     )
 
 
-def numeric_leaves(value: Column, depth: int = MAX_DEPTH) -> Column:
-    """All numbers anywhere inside an object.
+def explode_numbers(rows: DataFrame, value: str = "_payload", into: str = "_leaf", depth: int = MAX_DEPTH) -> DataFrame:
+    """One row per number anywhere inside an object, as struct `into`:
+    (top, key, value double). `top` is the key of the outermost member the
+    number sits in, null for a member of the object itself; `key` is the
+    number's own name.
 
-    Returns array<struct<top, key, value double>>: `top` is the key of the
-    outermost object member the leaf sits in, null for a member of the object
-    itself; `key` is the leaf's own name. The walk happens inside the row, so
-    it needs neither a self-union nor one pass per level.
+    The levels are columns of the same row, each made from the objects of the
+    one before, so there is neither a self-union nor a pass per level.
     """
-    level = F.transform(
-        members(value),
-        lambda m: F.struct(
-            F.lit(None).cast("string").alias("top"),
-            m["key"].alias("key"),
-            m["value"].alias("value"),
-        ),
-    )
-    leaves = _numbers_of(level)
-    for _ in range(depth - 1):
-        level = F.flatten(
-            F.transform(
-                level,
-                lambda m: F.transform(
-                    members(m["value"]),
-                    lambda inner: F.struct(
-                        F.coalesce(m["top"], m["key"]).alias("top"),
-                        inner["key"].alias("key"),
-                        inner["value"].alias("value"),
-                    ),
+    levels = []
+    for i in range(depth):
+        if i == 0:
+            level = F.transform(
+                members(F.col(value)),
+                lambda m: F.struct(
+                    F.lit(None).cast("string").alias("top"), m["key"].alias("key"), m["value"].alias("value"), m["kind"].alias("kind")
                 ),
             )
-        )
-        leaves = F.concat(leaves, _numbers_of(level))
-    too_deep = F.exists(level, lambda m: is_object(m["value"]))
-    return F.when(
-        too_deep, F.raise_error(F.lit(f"payload objects nest deeper than {depth} levels"))
-    ).otherwise(leaves)
-
-
-def _numbers_of(level: Column) -> Column:
-    return F.transform(
-        F.filter(level, lambda m: is_number(m["value"])),
-        lambda m: F.struct(
-            m["top"].alias("top"), m["key"].alias("key"), number(m["value"]).alias("value")
-        ),
+        else:
+            level = F.flatten(
+                F.transform(
+                    F.filter(F.col(f"_level{i - 1}"), lambda m: object_kind(m["kind"])),
+                    lambda m: F.transform(
+                        members(m["value"]),
+                        lambda inner: F.struct(
+                            F.coalesce(m["top"], m["key"]).alias("top"),
+                            inner["key"].alias("key"),
+                            inner["value"].alias("value"),
+                            inner["kind"].alias("kind"),
+                        ),
+                    ),
+                )
+            )
+        rows = rows.withColumn(f"_level{i}", level)
+        levels.append(f"_level{i}")
+    found = F.transform(
+        F.filter(F.concat(*levels), lambda m: numeric_kind(m["kind"])),
+        lambda m: F.struct(m["top"].alias("top"), m["key"].alias("key"), as_double(m["value"]).alias("value")),
     )
+    too_deep = F.exists(F.col(levels[-1]), lambda m: object_kind(m["kind"]))
+    checked = F.when(
+        too_deep, F.raise_error(F.lit(f"payload objects nest deeper than {depth} levels"))
+    ).otherwise(found)
+    # An inner explode would make the optimizer evaluate the array once more in
+    # a filter for emptiness.
+    return rows.withColumn(into, F.explode_outer(checked)).where(F.col(into).isNotNull()).drop(*levels)

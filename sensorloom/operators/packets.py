@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonvalues as J
-from ..functions.channels import node_key
+from ..functions.channels import measurement_of, node_key
 
 # Ports with a payload kind of their own.
 KIND_BY_PORT = {3: "position", 4: "nodeinfo", 67: "telemetry"}
@@ -131,7 +131,7 @@ def truthy_text(value: Column) -> Column:
     return (
         F.when(kind == "STRING", F.nullif(text, F.lit("")))
         .when(kind == "BOOLEAN", F.when(F.try_variant_get(value, "$", "boolean"), "True"))
-        .when(J.is_number(value), F.when(J.number(value) != 0, text))
+        .when(J.numeric_kind(kind), F.when(J.as_double(value) != 0, text))
     )
 
 
@@ -173,7 +173,7 @@ def discoveries(events: DataFrame) -> DataFrame:
     )
     variant = F.substr(F.col("payload_kind"), F.lit(len("telemetry:") + 1))
     sub = F.try_element_at(J.as_object(F.col("_payload")), variant)
-    fields = F.transform(F.filter(J.members(sub), lambda m: J.is_number(m["value"])), lambda m: m["key"])
+    fields = F.transform(F.filter(J.members(sub), lambda m: J.numeric_kind(m["kind"])), lambda m: m["key"])
     return (
         with_variant(own)
         .withColumn("fields", F.coalesce(fields, F.array().cast("array<string>")))
@@ -192,10 +192,7 @@ def discoveries(events: DataFrame) -> DataFrame:
 
 def observations(events: DataFrame, include_time: bool = True) -> DataFrame:
     """P-10: every number of a payload under its own name, the path is lost."""
-    leaves = F.explode(J.numeric_leaves(F.col("_payload")))
-    rows = with_variant(events).select(
-        "mesh_id", "node_id", "packet_id", "rx_time", leaves.alias("_leaf")
-    )
+    rows = J.explode_numbers(with_variant(events.select("mesh_id", "node_id", "packet_id", "rx_time", "payload")))
     if not include_time:
         rows = rows.where(F.col("_leaf.top").isNotNull() | (F.col("_leaf.key") != "time"))
     return rows.select(
@@ -210,14 +207,11 @@ def observations(events: DataFrame, include_time: bool = True) -> DataFrame:
 
 def channels_in(events: DataFrame) -> DataFrame:
     """P-11: every number of a payload under its channel name."""
-    from ..functions.channels import measurement_of
-
     leaf = F.col("_leaf")
+    slim = events.select("mesh_id", "node_id", "packet_id", "rx_time", "payload_kind", "payload")
     return (
-        with_variant(events)
-        .select("*", F.explode(J.numeric_leaves(F.col("_payload"))).alias("_leaf"))
-        .where(leaf["top"].isNotNull() | (leaf["key"] != "time"))
-        .where(F.coalesce(leaf["top"], F.lit("")) != "time")
+        J.explode_numbers(with_variant(slim))
+        .where(F.coalesce(leaf["top"], leaf["key"]) != "time")
         .select(
             "mesh_id",
             "node_id",

@@ -12,8 +12,7 @@ from .packets import truthy_text
 EARLIEST_PAYLOAD_TIME = 1577836800
 SKIPPED_KINDS = ("portnum:1", "portnum:5")
 
-_FIELD = "struct<field:string,value:double,value_str:string,value_bool:boolean,value_type:string>"
-_POINT = f"array<struct<measurement:string,fields:array<{_FIELD}>>>"
+EVENT_COLUMNS = ("mesh_id", "node_id", "channel_id", "gateway_id", "packet_id")
 
 
 def _field(name, value=None, text=None, flag=None, kind: str | Column = "double") -> Column:
@@ -61,14 +60,16 @@ def builder(kind: Column) -> Column:
     )
 
 
-def _base_fields(own: Column) -> Column:
+def _with_base_fields(own: Column) -> Column:
     """packet_id and timestamp_quality are fields of every point, unless the
     payload brings a field of that name."""
     base = F.array(
         _field("packet_id", F.col("packet_id"), kind="long"),
         _field("timestamp_quality", text=F.col("timestamp_quality"), kind="string"),
     )
-    return F.filter(base, lambda b: ~F.exists(own, lambda f: f["field"] == b["field"]))
+    replaced = F.exists(own, lambda f: f["field"].isin("packet_id", "timestamp_quality"))
+    kept = F.filter(base, lambda b: ~F.exists(own, lambda f: f["field"] == b["field"]))
+    return F.concat(F.when(replaced, kept).otherwise(base), own)
 
 
 def _telemetry() -> Column:
@@ -77,14 +78,14 @@ def _telemetry() -> Column:
     def to_point(member: Column) -> Column:
         own = F.filter(
             F.transform(
-                J.members(member["value"]), lambda m: _field(m["key"], J.coerced_double(m["value"]))
+                J.members(member["value"]), lambda m: _field(m["key"], J.coerced_double(m["value"], m["kind"]))
             ),
             lambda f: f["value"].isNotNull(),
         )
         return _point(member["key"], own)
 
     usable = F.filter(
-        J.members(F.col("_payload")), lambda m: (m["key"] != "time") & J.is_object(m["value"])
+        J.members(F.col("_payload")), lambda m: (m["key"] != "time") & J.object_kind(m["kind"])
     )
     return F.transform(usable, to_point)
 
@@ -115,19 +116,17 @@ def _generic() -> Column:
     """P-07: numbers and booleans of the payload itself keep their type."""
 
     def to_field(member: Column) -> Column:
-        value = member["value"]
-        kind = (
-            F.when(J.is_bool(value), "bool").when(J.type_name(value) == "BIGINT", "long").otherwise("double")
-        )
+        value, flag = member["value"], member["kind"] == "BOOLEAN"
+        kind = F.when(flag, "bool").when(member["kind"] == "BIGINT", "long").otherwise("double")
         return _field(
             member["key"],
-            J.number(value),
-            flag=F.when(J.is_bool(value), F.try_variant_get(value, "$", "boolean")),
+            F.when(~flag, J.as_double(value)),
+            flag=F.when(flag, F.try_variant_get(value, "$", "boolean")),
             kind=kind,
         )
 
     usable = F.filter(
-        J.members(F.col("_payload")), lambda m: J.is_number(m["value"]) | J.is_bool(m["value"])
+        J.members(F.col("_payload")), lambda m: J.numeric_kind(m["kind"]) | (m["kind"] == "BOOLEAN")
     )
     measurement = F.concat(F.lit("portnum_"), F.coalesce(F.col("portnum").cast("string"), F.lit("unknown")))
     return F.filter(
@@ -149,29 +148,38 @@ def event_points(events: DataFrame) -> DataFrame:
     Each row picks its builder by payload kind, the builder makes an array of
     fields inside the row, and a single explode spreads it. Nothing is
     shuffled and the events are read once, whatever mix of kinds they hold.
+    The explodes are outer ones because for an inner one the optimizer adds a
+    filter that would build each array twice more, only to see if it is empty.
     """
-    info = F.col("_builder") == "nodeinfo"
-    tag = lambda name: F.when(
-        info, truthy_text(F.try_variant_get("_payload", f"$.{name}", "variant"))
-    )
-    none = F.from_json(F.lit("[]"), _POINT)
+    tag = lambda name: truthy_text(F.try_variant_get("_payload", f"$.{name}", "variant"))
+    identity = _tags({name: tag(name) for name in ("hw_model", "long_name", "role", "short_name")})
     rows = (
-        event_time(events.withColumn("_payload", F.try_parse_json("payload")))
-        .withColumn("_builder", builder(F.col("payload_kind")))
+        events.withColumn("_builder", builder(F.col("payload_kind")))
         .where(F.col("_builder") != "skip")
+        .withColumn("_payload", F.try_parse_json("payload"))
+    )
+    rows = (
+        event_time(rows)
         .withColumn(
-            "_point",
-            F.explode(
-                F.when(F.col("_builder") == "telemetry", _telemetry())
-                .when(F.col("_builder") == "position", _position())
-                .when(F.col("_builder") == "nodeinfo", _nodeinfo())
-                .when(F.col("_builder") == "generic", _generic())
-                .otherwise(none)
-            ),
+            "tags",
+            F.when(F.col("_builder") == "nodeinfo", identity).otherwise(F.create_map().cast("map<string,string>")),
         )
         .withColumn(
-            "_field",
-            F.explode(F.concat(_base_fields(F.col("_point.fields")), F.col("_point.fields"))),
+            "_points",
+            F.when(F.col("_builder") == "telemetry", _telemetry())
+            .when(F.col("_builder") == "position", _position())
+            .when(F.col("_builder") == "nodeinfo", _nodeinfo())
+            .otherwise(_generic()),
+        )
+        .select(*EVENT_COLUMNS, "timestamp_quality", "time", "tags", F.explode_outer("_points").alias("_point"))
+        .where(F.col("_point").isNotNull())
+        .select(
+            *EVENT_COLUMNS,
+            "timestamp_quality",
+            "time",
+            "tags",
+            F.col("_point.measurement").alias("measurement"),
+            F.explode_outer(_with_base_fields(F.col("_point.fields"))).alias("_field"),
         )
     )
     return rows.select(
@@ -179,14 +187,14 @@ def event_points(events: DataFrame) -> DataFrame:
         "node_id",
         F.nullif("channel_id", F.lit("")).alias("channel_id"),
         F.nullif("gateway_id", F.lit("")).alias("gateway_id"),
-        F.col("_point.measurement").alias("measurement"),
+        "measurement",
         F.col("_field.field").alias("field"),
-        F.concat_ws(".", "_point.measurement", "_field.field").alias("channel"),
+        F.concat_ws(".", "measurement", "_field.field").alias("channel"),
         "_field.value",
         "_field.value_str",
         "_field.value_bool",
         "_field.value_type",
-        _tags({name: tag(name) for name in ("hw_model", "long_name", "role", "short_name")}).alias("tags"),
+        "tags",
         "packet_id",
         "timestamp_quality",
         "time",
