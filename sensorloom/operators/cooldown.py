@@ -5,12 +5,15 @@ of its key. That is a chain through the key's whole history, so no window
 function states it, and one key may hold a large part of all alarms. The
 chain is cut into time blocks:
 
-1. each (key, block) reports what it would do for every state it can be
+1. each (key, block) works out what it would do for every state it can be
    entered in - a short table, since only the moment of its first kept alarm
    matters, and that lies within the block's first cool-down or is its first
    alarm after that;
 2. per key these tables are followed from block to block;
 3. each (key, block) then picks its kept alarms, knowing its entry state.
+
+The rows of a block travel as one sorted array, so the vectorised helpers of
+steps 1 and 3 are called per batch of blocks and not per block.
 """
 
 from __future__ import annotations
@@ -19,22 +22,33 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 COOLDOWN_SECONDS = 3600
 NEVER = -(2**62)
 
 
-def _next_allowed(times: np.ndarray, cooldown: int) -> np.ndarray:
-    return np.searchsorted(times, times + cooldown, side="left")
+def _block_table(times: np.ndarray, first_after: int, cooldown: int) -> tuple[list, list]:
+    """Times of the possible first kept alarms, and of the last kept alarm
+    that each of them leads to."""
+    after = np.searchsorted(times, times + cooldown, side="left")
+    candidates = int(np.searchsorted(times, first_after, side="left")) + 1
+    at = np.arange(min(candidates, len(times)))
+    starts = times[at]
+    while True:
+        onward = after[at]
+        moving = onward < len(times)
+        if not moving.any():
+            return starts.tolist(), times[at].tolist()
+        at = np.where(moving, onward, at)
 
 
-def _walk(times: np.ndarray, after: np.ndarray, start: int) -> list[int]:
+def _kept(times: np.ndarray, last: int, cooldown: int) -> list:
     picked = []
-    at = start
+    at = int(np.searchsorted(times, last + cooldown, side="left"))
     while at < len(times):
-        picked.append(at)
-        at = int(after[at])
+        picked.append(int(times[at]))
+        at = int(np.searchsorted(times, times[at] + cooldown, side="left"))
     return picked
 
 
@@ -49,73 +63,67 @@ def cool_down(
     """Alarms that would be sent. `tie` chooses among alarms of one instant."""
     cooldown = cooldown_seconds * 1_000_000
     width = cooldown * block_cooldowns
-    # At most one alarm per key and instant can be sent.
-    firsts = (
+    others = [c for c in alarms.columns if c not in {*keys, time, *tie}]
+
+    @F.pandas_udf("starts array<bigint>, exits array<bigint>")
+    def block_table(times: pd.Series, block: pd.Series) -> pd.DataFrame:
+        pairs = [_block_table(np.asarray(t), b * width + cooldown, cooldown) for t, b in zip(times, block)]
+        return pd.DataFrame({"starts": [p[0] for p in pairs], "exits": [p[1] for p in pairs]})
+
+    @F.pandas_udf("array<bigint>")
+    def kept(times: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([_kept(np.asarray(t), n, cooldown) for t, n in zip(times, last)], dtype=object)
+
+    blocks = (
+        # At most one alarm per key and instant can be sent.
         alarms.groupBy(*keys, time)
-        .agg(F.min(F.struct(*tie, *[c for c in alarms.columns if c not in {*keys, time, *tie}])).alias("_row"))
-        .withColumn("_us", F.unix_micros(time))
-        .withColumn("_block", F.floor(F.col("_us") / width))
-        # One text per key: null members stay apart from empty ones.
-        .withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+        .agg(F.min(F.struct(*tie, *others)).alias("_row"))
+        .select(
+            # One text per key: null members stay apart from empty ones.
+            F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key"),
+            F.floor(F.unix_micros(time) / width).alias("_block"),
+            F.struct(F.unix_micros(time).alias("us"), *keys, "_row").alias("_entry"),
+        )
+        .groupBy("_key", "_block")
+        .agg(F.array_sort(F.collect_list("_entry")).alias("_entries"))
+        .withColumn("_times", F.transform("_entries", lambda e: e["us"]))
     )
-
-    def transitions(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_us"].to_numpy())
-        after = _next_allowed(times, cooldown)
-        block = int(pdf["_block"].iloc[0])
-        # An entry state can delay the first kept alarm by less than one
-        # cool-down from the start of the block.
-        candidates = int(np.searchsorted(times, block * width + cooldown, side="left")) + 1
-        at = np.arange(min(candidates, len(times)))
-        starts = times[at]
-        while True:
-            onward = after[at]
-            moving = onward < len(times)
-            if not moving.any():
-                break
-            at = np.where(moving, onward, at)
-        return pd.DataFrame(
-            {
-                "_key": [pdf["_key"].iloc[0]],
-                "_block": [block],
-                "_starts": [starts.tolist()],
-                "_exits": [times[at].tolist()],
-            }
+    tables = blocks.select("_key", "_block", block_table("_times", "_block").alias("_table"))
+
+    def follow(state, block):
+        ready = F.array_position(
+            F.transform(block["starts"], lambda s: s >= state["last"] + cooldown), True
+        ).cast("int")
+        return F.struct(
+            F.when(ready > 0, F.get(block["exits"], ready - 1)).otherwise(state["last"]).alias("last"),
+            F.concat(
+                state["entered"],
+                F.array(F.struct(block["block"].alias("_block"), state["last"].alias("_last"))),
+            ).alias("entered"),
         )
 
-    tables = firsts.select("_key", "_block", "_us").groupBy("_key", "_block").applyInPandas(
-        transitions, "_key string, _block long, _starts array<long>, _exits array<long>"
+    start = F.struct(
+        F.lit(NEVER).cast("bigint").alias("last"),
+        F.array().cast("array<struct<_block:bigint,_last:bigint>>").alias("entered"),
     )
-
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        last = NEVER
-        entered = []
-        for starts, exits in zip(pdf["_starts"], pdf["_exits"]):
-            entered.append(last)
-            at = int(np.searchsorted(starts, last + cooldown, side="left"))
-            if at < len(starts):
-                last = int(exits[at])
-        return pd.DataFrame({"_key": pdf["_key"], "_block": pdf["_block"], "_last": entered})
-
-    entered = tables.groupBy("_key").applyInPandas(entries, "_key string, _block long, _last long")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_us"].to_numpy())
-        start = int(np.searchsorted(times, int(pdf["_last"].iloc[0]) + cooldown, side="left"))
-        picked = _walk(times, _next_allowed(times, cooldown), start)
-        return pd.DataFrame({"_key": pdf["_key"].iloc[0], "_us": times[picked]})
-
-    kept = (
-        firsts.select("_key", "_block", "_us")
-        .join(entered, ["_key", "_block"])
-        .groupBy("_key", "_block")
-        .applyInPandas(keep, T.StructType([T.StructField("_key", T.StringType()), T.StructField("_us", T.LongType())]))
+    entered = (
+        tables.groupBy("_key")
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct(F.col("_block").alias("block"), "_table.starts", "_table.exits"))
+            ).alias("_blocks")
+        )
+        .select("_key", F.inline(F.aggregate("_blocks", start, follow)["entered"]))
+    )
+    chosen = blocks.join(entered, ["_key", "_block"]).withColumn("_kept", kept("_times", "_last"))
+    sent = chosen.select(
+        F.explode(F.filter("_entries", lambda e: F.array_contains(F.col("_kept"), e["us"]))).alias("_e")
     )
-    sent = firsts.join(kept, ["_key", "_us"], "left_semi")
     return sent.select(
         *[
-            F.col(name) if name in {*keys, time} else F.col(f"_row.{name}").alias(name)
+            F.timestamp_micros("_e.us").alias(name)
+            if name == time
+            else F.col(f"_e.{name}" if name in keys else f"_e._row.{name}").alias(name)
             for name in alarms.columns
         ]
     )

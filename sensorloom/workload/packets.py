@@ -259,7 +259,7 @@ def sightings(t):
     "p16_discoveries",
     with_views(
         """SELECT mesh_id, node_id AS device_id, payload_kind, f.key AS field, rx_time
-        FROM dec d, json_each(json_extract(d.payload, '$.' || substr(payload_kind, 11))) f
+        FROM dec d, json_each(json_extract(d.payload, '$.' || NULLIF(substr(payload_kind, 11), ''))) f
         WHERE mesh_id IS NOT NULL AND payload_kind LIKE 'telemetry:%' AND f.type IN ('UBIGINT', 'BIGINT', 'DOUBLE')""",
         "dec",
     ),
