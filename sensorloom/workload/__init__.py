@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-_FAMILIES = ("reads", "packets", "fleet", "health", "derive")
+_FAMILIES = ("reads", "packets", "fleet", "health", "derive", "streams")
 
 
 def _load() -> None:

@@ -212,17 +212,17 @@ def device_metrics(t):
     ).drop("alarms_by_detector")
 
 
-@query(
-    "w01_r01_stuck_value",
-    with_views(
+ORACLE_STUCK = with_views(
         f"""SELECT mesh_id, node_id AS device_id, 'value' AS channel, 'stuck_value' AS detector, 'stream' AS source, value,
                printf('Value stuck at %.1f for 5 consecutive readings', value) AS message, {stamp('time')} AS triggered_at
         FROM (SELECT *, count(*) OVER w AS n, min(value) OVER w AS lo, max(value) OVER w AS hi FROM coarse
               WINDOW w AS (PARTITION BY mesh_id, node_id ORDER BY time, packet_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
         WHERE n = 5 AND lo = hi""",
         "coarse",
-    ),
-)
+    )
+
+
+@query("w01_r01_stuck_value", ORACLE_STUCK)
 def stuck_value(t):
     return D.stuck_value(t.coarse())
 
@@ -348,10 +348,12 @@ def _implausible(t, threshold: float):
     return t.points(("value",)).where(F.col("value") > threshold)
 
 
-@query(
-    "t06_cooldown",
-    _greedy("(SELECT mesh_id, node_id AS device_id, 'value' AS channel, time FROM vals WHERE value > 20)", 24, "vals"),
+ORACLE_COOLDOWN = _greedy(
+    "(SELECT mesh_id, node_id AS device_id, 'value' AS channel, time FROM vals WHERE value > 20)", 24, "vals"
 )
+
+
+@query("t06_cooldown", ORACLE_COOLDOWN)
 def cooldown(t):
     """A day's cool-down over every reading above 20, per device."""
     found = _implausible(t, 20.0).withColumn("channel", F.lit("value"))
