@@ -13,6 +13,17 @@ DEFAULT_INTERVAL_SECONDS = 60
 MIN_SLICE_SECONDS = 86_400
 
 
+def of_channels(readings: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """Readings of some channels. Where the table has measurement and field,
+    these are named as well: the scan prunes by them, not by their join."""
+    if {"measurement", "field"} <= set(readings.columns):
+        parts = [c.partition(".") for c in channels]
+        readings = readings.where(F.col("measurement").isin(*{m for m, _, _ in parts})).where(
+            F.col("field").isin(*{f for _, _, f in parts})
+        )
+    return readings.where(F.col("channel").isin(*channels))
+
+
 def align_nearest(
     readings: DataFrame,
     channels: Sequence[str],
@@ -38,7 +49,7 @@ def align_nearest(
     """
     base, *others = sorted(set(channels))
     interval = interval if isinstance(interval, Column) else F.lit(float(interval))
-    wanted = readings.where(F.col("channel").isin(base, *others)).where(F.col(value).isNotNull())
+    wanted = of_channels(readings, [base, *others]).where(F.col(value).isNotNull())
     if not others:
         return wanted.where(F.col("channel") == base).select(
             *keys, F.col(time).alias("time"), F.col(value).alias(base)
@@ -63,20 +74,21 @@ def align_nearest(
     sliced = placed.withColumn("_slice", F.explode(F.sequence(first, last)))
 
     sample = F.struct(us.alias("us"), F.col("_value").alias("value"))
-    is_base = (F.col("channel") == base).cast("int")
+    sliced = sliced.withColumn("_is_base", (F.col("channel") == base).cast("int"))
     slot = Window.partitionBy(*keys, "_slice")
     # Forward: latest sample at or before; at one instant the last in tie order.
-    forward = slot.orderBy("_us", is_base, *ties)
     # Backward: earliest sample at or after; reversed, the last in tie order
-    # must again come closest to the base row.
-    backward = slot.orderBy(F.desc("_us"), is_base, *ties)
-    matched = sliced
-    for i, name in enumerate(others):
-        own = F.when(F.col("channel") == name, sample)
-        matched = matched.withColumn(f"_p{i}", F.last(own, ignorenulls=True).over(forward))
-    for i, name in enumerate(others):
-        own = F.when(F.col("channel") == name, sample)
-        matched = matched.withColumn(f"_n{i}", F.last(own, ignorenulls=True).over(backward))
+    # must again come closest to the base row. Looking back from the far end is
+    # linear, while a frame that opens at the current row is quadratic.
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    forward = slot.orderBy("_us", "_is_base", *ties).rowsBetween(*so_far)
+    backward = slot.orderBy(F.desc("_us"), "_is_base", *ties).rowsBetween(*so_far)
+
+    def last_of(name: str, window) -> Column:
+        return F.last(F.when(F.col("channel") == name, sample), ignorenulls=True).over(window)
+
+    matched = sliced.withColumns({f"_p{i}": last_of(c, forward) for i, c in enumerate(others)})
+    matched = matched.withColumns({f"_n{i}": last_of(c, backward) for i, c in enumerate(others)})
 
     rows = matched.where(F.col("channel") == base)
     picked = [*keys, F.timestamp_micros(us).alias("time"), F.col("_value").alias(base)]

@@ -24,13 +24,6 @@ def slice_of(time: Column, width_seconds: int) -> Column:
     return F.floor(F.unix_micros(time) / F.lit(width_seconds * 1_000_000))
 
 
-def null_safe_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def gap_summary(
     readings: DataFrame, keys: Sequence[str], time: str = "time", width_seconds: int = DAY
 ) -> DataFrame:
@@ -89,34 +82,36 @@ def run_position(
     on across slice borders: each slice learns from the slices before it how
     long the run it opens with already is.
     """
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    # One struct stands for the series: as a join key it matches null members
+    # too, and every step below is partitioned alike, so that the rows are
+    # shuffled once.
+    spot = ("_series", SLICE)
+    inside = Window.partitionBy(*spot).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
-        readings.withColumn(SLICE, slice_of(F.col(time), width_seconds))
+        readings.withColumn("_series", F.struct(*keys))
+        .withColumn(SLICE, slice_of(F.col(time), width_seconds))
         .withColumn("_row", F.row_number().over(inside))
         .withColumn(
             "_starts",
             (F.col("_row") == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(inside)),
         )
-        .withColumn("_start_row", F.max(F.when(F.col("_starts"), F.col("_row"))).over(inside))
+        .withColumn("_start_row", F.max(F.when(F.col("_starts"), F.col("_row"))).over(so_far))
         .withColumn("_here", F.col("_row") - F.col("_start_row") + 1)
+        .drop("_starts")
     )
-    edges = (
-        rows.groupBy(*keys, SLICE)
-        .agg(
-            F.max("_row").alias("_n"),
-            F.min_by(value, "_row").alias("_head"),
-            F.max_by(value, "_row").alias("_tail"),
-            F.max_by("_here", "_row").alias("_tail_run"),
-        )
+    edges = rows.groupBy(*spot).agg(
+        F.max("_row").alias("_n"),
+        F.min_by(value, "_row").alias("_head"),
+        F.max_by(value, "_row").alias("_tail"),
+        F.max_by("_here", "_row").alias("_tail_run"),
     )
-    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    by_slice = Window.partitionBy("_series").orderBy(SLICE)
     before = lambda name: F.lag(name).over(by_slice)
     linked = (
-        edges.withColumn("_prev_n", before("_n"))
-        .withColumn("_prev_tail_run", before("_tail_run"))
+        edges.withColumns({f"_prev{c}": before(c) for c in ("_n", "_tail", "_tail_run")})
         .withColumn(
-            "_continues",
-            F.col("_prev_n").isNotNull() & F.col("_head").eqNullSafe(before("_tail")),
+            "_continues", F.col("_prev_n").isNotNull() & F.col("_head").eqNullSafe(F.col("_prev_tail"))
         )
         # The slice before is one single run exactly when its last run fills it.
         .withColumn(
@@ -124,21 +119,12 @@ def run_position(
         )
         .withColumn("_chain", F.sum(F.col("_fresh").cast("long")).over(by_slice))
     )
-    along_chain = Window.partitionBy(*keys, "_chain").orderBy(SLICE)
+    along_chain = Window.partitionBy("_series", "_chain").orderBy(SLICE)
     carried = linked.select(
-        *keys,
-        SLICE,
+        *spot,
         F.sum(F.when(F.col("_continues"), F.col("_prev_tail_run")).otherwise(0))
         .over(along_chain)
         .alias("_carry"),
     )
-    left, right = rows.alias("l"), carried.alias("r")
-    condition = F.lit(True)
-    for key in [*keys, SLICE]:
-        condition = condition & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    total = F.col("l._here") + F.when(
-        F.col("l._start_row") == 1, F.coalesce(F.col("r._carry"), F.lit(0))
-    ).otherwise(0)
-    return left.join(right, condition, "left").select(
-        *[F.col(f"l.{name}") for name in readings.columns], total.cast("long").alias(into)
-    )
+    total = F.col("_here") + F.when(F.col("_start_row") == 1, F.coalesce("_carry", F.lit(0))).otherwise(0)
+    return rows.join(carried, list(spot), "left").select(*readings.columns, total.cast("long").alias(into))

@@ -213,7 +213,7 @@ def _collect_stream(t: Tables, name: str, stream):
     runtime.run_until_caught_up(
         stream, lambda batch, number: store.write_rows(batch, f"{root}/out", number), f"{root}/_checkpoint"
     )
-    return t.spark.read.parquet(f"{root}/out").select(*stream.columns)
+    return t.spark.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)
 
 
 @query("t02_stream_stuck_value", health.ORACLE_STUCK)
