@@ -64,7 +64,8 @@ def downsample(
 
     Windows without readings are not made. A window that the range cuts off
     gets the range's stop as its time. Partial aggregation runs before the
-    shuffle, so a busy series arrives as one row per task and window.
+    shuffle, so a busy series arrives as one row per task and window. `tie`
+    is as for `latest` and matters to first and last only.
     """
     every = parse_window(window)
     end = window_stop(F.col("time"), every)
@@ -87,8 +88,13 @@ def latest(
 ) -> DataFrame:
     """Most recent reading per key (A-03, A-04, W-03).
 
-    An aggregate, not a ranking: each task sends one row per key.
+    An aggregate, not a ranking: each task sends one row per key. `tie` breaks
+    equal times; where a key has at most one reading per instant, an empty
+    one lets the engine aggregate by hash instead of by sort.
     """
+    if not tie:
+        newest = [F.max_by(name, "time").alias(name) for name in columns]
+        return points.groupBy(*keys).agg(*newest, F.max("time").alias("time"))
     order = F.struct("time", *tie)
     packed = F.struct(*columns, "time")
     return (

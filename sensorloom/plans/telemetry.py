@@ -6,6 +6,7 @@ to (mesh_id, node_id) rows; `None` means all devices the table holds.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
@@ -75,13 +76,14 @@ def latest_readings(
     lookback: str = "-30d",
     types: DataFrame | None = None,
     devices: DataFrame | None = None,
+    tie: Sequence[str] = ("packet_id",),
 ) -> DataFrame:
     """Newest value per field; with a catalog, units and origin as well."""
     rows = in_range(points, resolve_bound(lookback, as_of, "lookback"))
     if measurement:
         parse_identifier(measurement, "measurement")
         rows = rows.where(F.col("measurement") == measurement)
-    found = latest(of_devices(rows, devices), SERIES, [c for c in SHOWN if c in points.columns])
+    found = latest(of_devices(rows, devices), SERIES, [c for c in SHOWN if c in points.columns], tie)
     if types is not None:
         return describe_readings(found, types)
     return found.withColumn("origin", origin_of_measurement(F.col("measurement")))

@@ -33,7 +33,8 @@ def _bucket(step: str) -> str:
 )
 def downsample_all(t):
     rows = S.in_range(t.points(), *_range("-30d"))
-    return S.downsample(rows, "6h", AGGREGATES, AS_OF)
+    # One reading per series and instant: nothing to break ties over.
+    return S.downsample(rows, "6h", AGGREGATES, AS_OF, tie=())
 
 
 def _range(start: str, stop: str = "now()"):
@@ -102,7 +103,7 @@ def timeseries_raw(t):
     ),
 )
 def latest_of_measurement(t):
-    return telemetry.latest_readings(t.points(), AS_OF, "view").select(*SERIES, "value", "time")
+    return telemetry.latest_readings(t.points().drop("value_type"), AS_OF, "view", tie=()).select(*SERIES, "value", "time")
 
 
 @query(
@@ -114,7 +115,7 @@ def latest_of_measurement(t):
     ),
 )
 def latest_all(t):
-    return telemetry.latest_readings(t.points(), AS_OF).select(*SERIES, "value", "time")
+    return telemetry.latest_readings(t.points().drop("value_type"), AS_OF, tie=()).select(*SERIES, "value", "time")
 
 
 @query(
@@ -143,7 +144,7 @@ def latest_row_per_device(t):
     ),
 )
 def described_readings(t):
-    found = telemetry.latest_readings(t.points(), AS_OF, types=t.types())
+    found = telemetry.latest_readings(t.points().drop("value_type"), AS_OF, types=t.types(), tie=())
     return found.select(*SERIES, "value", "time", "unit", "quantity_kind", "vocabulary_uri", "origin")
 
 
