@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     # A hot gateway or device shows up as one fat join partition; let the
     # engine split it even where the split costs a later exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Methods beyond this size are not compiled by the JVM's JIT; plans with
+    # long payload expressions run faster outside whole-stage code then.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Replaying a micro-batch replaces exactly the partitions it wrote before.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

@@ -54,6 +54,17 @@ def open_batch(
     return reader.load(path) if path else reader.load()
 
 
+def spread(records: DataFrame) -> DataFrame:
+    """Use all cores on a source that arrives in fewer pieces than there are.
+
+    Reading payloads is heavy and needs no shuffle of its own, so a single
+    small file would be worked off by one task. A large source has more pieces
+    than the cluster has cores and is left alone.
+    """
+    cores = records.sparkSession.sparkContext.defaultParallelism
+    return records.repartition(cores) if records.rdd.getNumPartitions() < cores else records
+
+
 def parse_events(records: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """S-03, T-09: JSON text records as columns, plus `reject_reason`.
 
