@@ -24,12 +24,14 @@ def type_name(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-_NUMERIC = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+# How the type names of JSON numbers begin (BIGINT, DECIMAL,
+# DOUBLE, FLOAT).
+_NUMERIC = ("BIG", "DEC", "DOU", "FLO")
 
 
 def numeric_kind(kind: Column) -> Column:
     """True for JSON numbers; booleans and numeric strings are not numbers."""
-    return kind.rlike(_NUMERIC)
+    return F.substring(kind, 1, 3).isin(*_NUMERIC)
 
 
 def object_kind(kind: Column) -> Column:
@@ -93,6 +95,24 @@ def members(value: Column) -> Column:
     )
 
 
+def objects(value: Column) -> Column:
+    """array<struct<key, inner>> of the members that are objects themselves."""
+    entries = F.coalesce(
+        F.map_entries(as_object(value)), F.array().cast("array<struct<key:string,value:variant>>")
+    )
+    opened = F.transform(
+        entries, lambda m: F.struct(m["key"].alias("key"), as_object(m["value"]).alias("inner"))
+    )
+    return F.filter(opened, lambda m: m["inner"].isNotNull())
+
+
+def entries_with_kind(inner: Column) -> Column:
+    return F.transform(
+        F.map_entries(inner),
+        lambda m: F.struct(m["key"].alias("key"), m["value"].alias("value"), type_name(m["value"]).alias("kind")),
+    )
+
+
 def explode_numbers(rows: DataFrame, value: str = "_payload", into: str = "_leaf", depth: int = MAX_DEPTH) -> DataFrame:
     """One row per number anywhere inside an object, as struct `into`:
     (top, key, value double). `top` is the key of the outermost member the

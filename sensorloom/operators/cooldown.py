@@ -79,10 +79,10 @@ def cool_down(
         alarms.groupBy(*keys, time)
         .agg(F.min(F.struct(*tie, *others)).alias("_row"))
         .select(
-            # One text per key: null members stay apart from empty ones.
-            F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key"),
+            # As one struct, keys with null members match each other in a join.
+            F.struct(*keys).alias("_key"),
             F.floor(F.unix_micros(time) / width).alias("_block"),
-            F.struct(F.unix_micros(time).alias("us"), *keys, "_row").alias("_entry"),
+            F.struct(F.unix_micros(time).alias("us"), "_row").alias("_entry"),
         )
         .groupBy("_key", "_block")
         .agg(F.array_sort(F.collect_list("_entry")).alias("_entries"))
@@ -117,13 +117,14 @@ def cool_down(
     )
     chosen = blocks.join(entered, ["_key", "_block"]).withColumn("_kept", kept("_times", "_last"))
     sent = chosen.select(
-        F.explode(F.filter("_entries", lambda e: F.array_contains(F.col("_kept"), e["us"]))).alias("_e")
+        "_key",
+        F.explode(F.filter("_entries", lambda e: F.array_contains(F.col("_kept"), e["us"]))).alias("_e"),
     )
     return sent.select(
         *[
             F.timestamp_micros("_e.us").alias(name)
             if name == time
-            else F.col(f"_e.{name}" if name in keys else f"_e._row.{name}").alias(name)
+            else F.col(f"_key.{name}" if name in keys else f"_e._row.{name}").alias(name)
             for name in alarms.columns
         ]
     )

@@ -71,9 +71,7 @@ def flat_readings(
     upstream, so NaN readings are left out first.
     """
     usable = readings.where(~F.isnan("value"))
-    positioned = run_position(usable, keys, order, width_seconds=width_seconds)
-    window = window if isinstance(window, Column) else F.lit(window)
-    return positioned.where(F.col("run_position") >= window)
+    return run_position(usable, keys, order, width_seconds=width_seconds, at_least=window)
 
 
 def stuck_value(

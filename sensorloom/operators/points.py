@@ -78,15 +78,13 @@ def _telemetry() -> Column:
     def to_point(member: Column) -> Column:
         own = F.filter(
             F.transform(
-                J.members(member["value"]), lambda m: _field(m["key"], J.coerced_double(m["value"], m["kind"]))
+                J.entries_with_kind(member["inner"]), lambda m: _field(m["key"], J.coerced_double(m["value"], m["kind"]))
             ),
             lambda f: f["value"].isNotNull(),
         )
         return _point(member["key"], own)
 
-    usable = F.filter(
-        J.members(F.col("_payload")), lambda m: (m["key"] != "time") & J.object_kind(m["kind"])
-    )
+    usable = F.filter(J.objects(F.col("_payload")), lambda m: m["key"] != "time")
     return F.transform(usable, to_point)
 
 

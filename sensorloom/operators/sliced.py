@@ -94,6 +94,20 @@ def gap_summary(
     )
 
 
+def _without_nulls(rows: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
+    """Key columns with nulls replaced by values no key has."""
+    kinds = dict(rows.dtypes)
+    plain = {}
+    for i, key in enumerate(keys):
+        if kinds[key] == "string":
+            plain[f"_key{i}"] = F.coalesce(key, F.lit("\u0000"))
+        elif kinds[key] in ("bigint", "int"):
+            plain[f"_key{i}"] = F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)))
+        else:
+            raise TypeError(f"series key {key} is {kinds[key]}; use text or whole numbers")
+    return plain
+
+
 def run_position(
     readings: DataFrame,
     keys: Sequence[str],
@@ -102,21 +116,25 @@ def run_position(
     time: str = "time",
     width_seconds: int = DAY,
     into: str = "run_position",
+    at_least: Column | int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each reading in its run of equal values.
 
     `order` must sort the readings of a series and start with `time`. Runs go
     on across slice borders: each slice learns from the slices before it how
     long the run it opens with already is.
+
+    With `at_least` only readings at that position or beyond are returned.
+    Short runs inside a slice are then dropped before its summary is joined.
     """
-    # One struct stands for the series: as a join key it matches null members
-    # too, and every step below is partitioned alike, so that the rows are
-    # shuffled once.
-    spot = ("_series", SLICE)
+    # Stand-ins for null members make the keys joinable by plain equality, so
+    # every step below is partitioned alike and the rows are shuffled once.
+    plain = _without_nulls(readings, keys)
+    spot = (*plain, SLICE)
     inside = Window.partitionBy(*spot).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
-        readings.withColumn("_series", F.struct(*keys))
+        readings.withColumns(plain)
         .withColumn(SLICE, slice_of(F.col(time), width_seconds))
         .withColumn("_row", F.row_number().over(inside))
         .withColumn(
@@ -133,7 +151,7 @@ def run_position(
         F.max_by(value, "_row").alias("_tail"),
         F.max_by("_here", "_row").alias("_tail_run"),
     )
-    by_slice = Window.partitionBy("_series").orderBy(SLICE)
+    by_slice = Window.partitionBy(*plain).orderBy(SLICE)
     before = lambda name: F.lag(name).over(by_slice)
     linked = (
         edges.withColumns({f"_prev{c}": before(c) for c in ("_n", "_tail", "_tail_run")})
@@ -146,12 +164,18 @@ def run_position(
         )
         .withColumn("_chain", F.sum(F.col("_fresh").cast("long")).over(by_slice))
     )
-    along_chain = Window.partitionBy("_series", "_chain").orderBy(SLICE)
+    along_chain = Window.partitionBy(*plain, "_chain").orderBy(SLICE)
     carried = linked.select(
         *spot,
         F.sum(F.when(F.col("_continues"), F.col("_prev_tail_run")).otherwise(0))
         .over(along_chain)
         .alias("_carry"),
     )
+    if at_least is not None:
+        bound = at_least if isinstance(at_least, Column) else F.lit(at_least)
+        rows = rows.where((F.col("_start_row") == 1) | (F.col("_here") >= bound))
     total = F.col("_here") + F.when(F.col("_start_row") == 1, F.coalesce("_carry", F.lit(0))).otherwise(0)
-    return rows.join(carried, list(spot), "left").select(*readings.columns, total.cast("long").alias(into))
+    placed = rows.join(carried, list(spot), "left").select(
+        *readings.columns, total.cast("long").alias(into)
+    )
+    return placed if at_least is None else placed.where(F.col(into) >= bound)
