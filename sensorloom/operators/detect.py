@@ -27,6 +27,10 @@ FLAT_DEFAULT, FLAT_LEAST, FLAT_MOST, FLAT_HOURS = 5, 3, 240, 3.0
 # Fixed value: publish intervals a device may be silent for.
 SILENT_INTERVALS = 3
 
+# Alarm texts.
+STUCK_TEXT = "Value stuck at %s for %d consecutive readings"
+RANGE_TEXT = "Value %s outside configured range [%s, %s]"
+
 
 def as_alarms(
     rows: DataFrame,
@@ -79,9 +83,7 @@ def stuck_value(
 ) -> DataFrame:
     """R-01."""
     stuck = flat_readings(readings, keys, window)
-    message = F.format_string(
-        f"Value stuck at %s for {window} consecutive readings", F.col("value").cast("string")
-    )
+    message = F.format_string(STUCK_TEXT, F.col("value").cast("string"), F.lit(window))
     return as_alarms(
         stuck, "stuck_value", message, F.col("time"), F.col("value"), F.col(keys[-1]), source="stream"
     )
@@ -91,9 +93,7 @@ def flat_value(readings: DataFrame, hours: float = FLAT_HOURS) -> DataFrame:
     """R-03: R-01 per channel, its window set by `interval_seconds`."""
     sized = readings.withColumn("flat_window", flat_window(F.col("interval_seconds"), hours))
     flat = flat_readings(sized, ("mesh_id", "node_id", "channel"), F.col("flat_window"))
-    message = F.format_string(
-        "Value stuck at %s for %d consecutive readings", F.col("value").cast("string"), "flat_window"
-    )
+    message = F.format_string(STUCK_TEXT, F.col("value").cast("string"), "flat_window")
     return as_alarms(
         flat, "flat_value", message, F.col("time"), F.col("value"), F.col("channel"), source="stream"
     )
@@ -133,9 +133,7 @@ def plausibility(readings: DataFrame, config: DataFrame) -> DataFrame:
 
 def _range_alarms(found: DataFrame, detector: str, channel: Column) -> DataFrame:
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("None"))
-    message = F.format_string(
-        "Value %s outside configured range [%s, %s]", text("value"), text("low"), text("high")
-    )
+    message = F.format_string(RANGE_TEXT, text("value"), text("low"), text("high"))
     return as_alarms(found, detector, message, F.col("time"), F.col("value"), channel, source="stream")
 
 

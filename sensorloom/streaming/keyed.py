@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.cooldown import COOLDOWN_SECONDS
-from ..operators.detect import FLAT_DEFAULT, SILENT_INTERVALS
+from ..operators.detect import FLAT_DEFAULT, SILENT_INTERVALS, STUCK_TEXT
 
 _ALARM = T.StructType(
     [
@@ -61,7 +61,7 @@ class StuckValue(StatefulProcessor):
                     detector="stuck_value",
                     source="stream",
                     value=value,
-                    message=f"Value stuck at {value} for {self.window} consecutive readings",
+                    message=STUCK_TEXT % (value, self.window),
                     triggered_at=row["time"],
                 )
         self.run.update((value, length))
