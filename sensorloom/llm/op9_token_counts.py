@@ -14,28 +14,30 @@ from sensorloom.llm.subwords import Cache, encode_segment, load, segments
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Documents whose segments fill the table of frequent ones, and its entries. They bound the broadcast
-#: (some 1 MB) and decide speed alone: a segment that is missing is encoded where it is met.
+#: Documents of a task whose segments fill the table of frequent ones, and its entries. They bound the
+#: broadcast (some 1 MB) and decide speed alone: a segment that is missing is encoded where it is met.
 SAMPLE_DOCS, FREQUENT = 2_000, 30_000
 #: Segments longer than this are not worth a place in the table.
 LONGEST = 32
 
 
 def frequent_lengths(docs: DataFrame, model_path: str, sample: int = SAMPLE_DOCS, entries: int = FREQUENT) -> dict[str, int]:
-    """Lengths in tokens of the most frequent segments of a bounded sample, summed per task and cut to
-    `entries` per task before they reach the driver."""
+    """Lengths in tokens of frequent segments: the most frequent of the first `sample` documents of a
+    partition. `take` runs one task and more only while it lacks rows, and no text reaches the driver."""
     if sample <= 0 or entries <= 0:
         return {}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+        left = sample
         for frame in frames:
-            for text in frame["text"]:
+            for text in frame["text"].iloc[: max(0, left)]:
                 seen.update(s for s in segments(text) if len(s) <= LONGEST)
-        top = seen.most_common(entries)
-        yield pd.DataFrame({"segment": [s for s, _ in top], "n": [n for _, n in top]})
+            left -= len(frame)
+        top = [s for s, _ in seen.most_common(entries)]
+        yield pd.DataFrame({"segment": top})
 
-    rows = docs.select("text").where("text is not null").limit(sample).coalesce(1).mapInPandas(count, "segment string, n long").collect()
+    rows = docs.select("text").where("text is not null").mapInPandas(count, "segment string").take(entries)
     model = load(model_path)
     return {r["segment"]: len(encode_segment(model, r["segment"])) for r in rows}
 

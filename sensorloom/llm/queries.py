@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
-from sensorloom.llm import op8_mixing, op9_token_counts
+from sensorloom.llm import (
+    op1_extraction,
+    op10_warc,
+    op2_training_order,
+    op3_language,
+    op4_decontamination,
+    op5_minhash,
+    op6_embeddings,
+    op7_quality,
+    op8_mixing,
+    op9_token_counts,
+)
 
 QUERIES = {
+    "op1_extraction": op1_extraction.op1_extraction,
+    "op2_training_order": op2_training_order.op2_training_order,
+    "op3_language": op3_language.op3_language,
+    "op4_decontamination": op4_decontamination.op4_decontamination,
+    "op5_minhash": op5_minhash.op5_minhash,
+    "op6_embeddings": op6_embeddings.op6_embeddings,
+    "op7_quality": op7_quality.op7_quality,
     "op8_mixing": op8_mixing.op8_mixing,
     "op9_token_counts": op9_token_counts.op9_token_counts,
+    "op10_warc": op10_warc.op10_warc,
+    "language_of_pages": op3_language.op3_language_of_pages,
 }
 
-ORACLES = {"op8_mixing": op8_mixing.ORACLE}
+ORACLES = {
+    "op4_decontamination": op4_decontamination.ORACLE,
+    "op8_mixing": op8_mixing.ORACLE,
+    "op10_warc": op10_warc.ORACLE,
+}
