@@ -161,10 +161,10 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE) -
                 except BaseException:  # the first error is the one to tell
                     pass
             raise
-        if archive:
+        if archive:  # an empty partition writes nothing and says nothing
             archive.file.__exit__(None, None, None)
             done.append(archive)
-        yield pd.DataFrame({"archive": [a.path for a in done], "records": [a.records for a in done]})
+            yield pd.DataFrame({"archive": [a.path for a in done], "records": [a.records for a in done]})
 
     return rows.mapInPandas(write, "archive string, records long")
 
