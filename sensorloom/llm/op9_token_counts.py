@@ -35,7 +35,8 @@ def frequent_lengths(docs: DataFrame, model_path: str, sample: int = SAMPLE_DOCS
                 seen.update(s for s in segments(text) if len(s) <= LONGEST)
             left -= len(frame)
         top = [s for s, _ in seen.most_common(entries)]
-        yield pd.DataFrame({"segment": top})
+        if top:
+            yield pd.DataFrame({"segment": top})
 
     rows = docs.select("text").where("text is not null").mapInPandas(count, "segment string").take(entries)
     model = load(model_path)
