@@ -54,7 +54,8 @@ def fit_text_model(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np
                 # Every document weighs alike, so one long text is not a language's model.
                 sums[lang] = sums.get(lang, 0) + np.bincount(cells, minlength=CELLS) * (1000.0 / max(1000, len(cells)))
                 docs[lang] = docs.get(lang, 0) + 1
-        yield pd.DataFrame({"lang": list(sums), "n": [docs[x] for x in sums], "cells": [x.astype(np.float64) for x in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "n": [docs[x] for x in sums], "cells": [x.astype(np.float64) for x in sums.values()]})
 
     labelled = rows.where("text is not null and declared is not null").select("text", "declared")
     share = int(min(1.0, sample / max(1, labelled.count())) * (1 << 30))
