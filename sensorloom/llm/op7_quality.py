@@ -143,10 +143,13 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         ridge[-1, -1] = 0
         weights = np.linalg.solve(square.reshape(COSINES + 1, -1) + ridge, right)
 
+        def scored(x: pd.Series) -> np.ndarray:
+            out = [kernel.features(np.stack(x.iloc[i : i + 2_000]).astype(np.float64)) @ weights for i in range(0, len(x), 2_000)]
+            return np.concatenate(out) if out else np.empty(0)
+
         @F.pandas_udf("double")
         def raw(x: pd.Series) -> pd.Series:
-            out = [kernel.features(np.stack(x.iloc[i : i + 2_000]).astype(np.float64)) @ weights for i in range(0, len(x), 2_000)]
-            return pd.Series(np.concatenate(out) if out else np.empty(0), dtype="float64")
+            return pd.Series(scored(x))
 
         cell = F.floor(F.greatest(F.least(raw("x"), F.lit(1.5)), F.lit(-0.5)) * (CELLS / 2))
         counted = known.select("y", cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.avg("y").alias("y"))
@@ -156,7 +159,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            at = raw.func(x).to_numpy()
+            at = scored(x)
             # A fiftieth of the raw score keeps the order where the curve is flat.
             level = 0.98 * np.interp(at, knots, values) + 0.02 * np.clip((at + 0.5) / 2, 0, 1)
             return pd.Series(level)
