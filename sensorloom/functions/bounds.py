@@ -28,12 +28,8 @@ CALENDAR_MONTHS = {"mo": 1, "y": 12}
 # The aggregates a downsampling query may ask for.
 AGGREGATES = ("mean", "max", "min", "last", "first", "sum", "count")
 
-# The accepted forms of a duration and of a date or datetime.
+# The accepted form of a duration.
 _DURATION = re.compile(r"(?P<sign>-?)(?P<count>[0-9]+)(?P<unit>ms|mo|s|m|h|d|w|y)")
-_MOMENT = re.compile(
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?"
-)
 
 
 @dataclass(frozen=True)
@@ -44,7 +40,7 @@ class Duration:
     @property
     def seconds(self) -> int:
         """Length in whole seconds; the sign is dropped, milliseconds truncate."""
-        return int(abs(self.count) * UNIT_SECONDS[self.unit])
+        return abs(self.micros) // 1_000_000
 
     @property
     def months(self) -> int:
@@ -95,6 +91,57 @@ def _shift_months(moment: datetime, months: int) -> datetime:
     return moment.replace(year=year, month=month0 + 1, day=min(moment.day, last_day))
 
 
+def _numbers(text: str, sign: str, *widths: int) -> list[int] | None:
+    """Numbers of fixed widths between signs, such as 2024-05-06; None for anything else."""
+    parts = text.split(sign) if sign else [text]
+    if [len(part) for part in parts] != list(widths):
+        return None
+    return [int(part) for part in parts] if all(p.isascii() and p.isdigit() for p in parts) else None
+
+
+def _offset(text: str) -> timedelta | None:
+    """The distance of `+02:00` or `-0330` from UTC."""
+    found = _numbers(text[1:], ":", 2, 2) or _numbers(text[1:3], "", 2) and _numbers(text[3:], "", 2) and [int(text[1:3]), int(text[3:])]
+    if not found or found[0] > 23 or found[1] > 59:
+        return None
+    length = timedelta(hours=found[0], minutes=found[1])
+    return -length if text[0] == "-" else length
+
+
+def _clock(text: str) -> timedelta | None:
+    """Time since midnight UTC of `HH:MM[:SS[.fraction]][Z or offset]`; a fraction is dropped."""
+    shift = timedelta(0)
+    if text.endswith("Z"):
+        text = text[:-1]
+    else:
+        at = max(text.find("+"), text.find("-"))
+        if at >= 0:
+            found = _offset(text[at:])
+            if found is None:
+                return None
+            text, shift = text[:at], found
+    whole, dot, fraction = text.partition(".")
+    parts = _numbers(whole, ":", 2, 2, 2) or (None if dot else _numbers(whole, ":", 2, 2))
+    if not parts or (dot and not (fraction.isascii() and fraction.isdigit())):
+        return None
+    hour, minute, second = (*parts, 0)[:3]
+    if hour > 23 or minute > 59 or second > 59:
+        return None
+    return timedelta(hours=hour, minutes=minute, seconds=second) - shift
+
+
+def _moment(text: str) -> datetime | None:
+    """A date, or a date and a clock time after `T` or a space, in UTC."""
+    date = _numbers(text[:10], "-", 4, 2, 2)
+    clock = _clock(text[11:]) if len(text) > 10 and text[10] in "T " else timedelta(0) if len(text) == 10 else None
+    if date is None or clock is None:
+        return None
+    try:
+        return datetime(*date, tzinfo=timezone.utc) + clock
+    except (ValueError, OverflowError):
+        return None
+
+
 def resolve_bound(text: str | None, as_of: datetime, name: str = "bound") -> datetime:
     """Turn a relative duration, `now()`, a date or a datetime into UTC.
 
@@ -102,24 +149,15 @@ def resolve_bound(text: str | None, as_of: datetime, name: str = "bound") -> dat
     A bare date is midnight, a datetime without an offset is UTC, fractions of
     a second are cut off absolute bounds.
     """
-    text = (text or "").strip()
-    now = as_of.replace(tzinfo=timezone.utc) if as_of.tzinfo is None else as_of.astimezone(timezone.utc)
-    if text == "now()":
+    wanted = (text or "").strip()
+    absolute = _moment(wanted)
+    if absolute is not None:
+        return absolute
+    now = as_of.astimezone(timezone.utc) if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc)
+    if wanted == "now()":
         return now
-    if _DURATION.fullmatch(text):
-        length = parse_duration(text)
-        if length.months:
-            return _shift_months(now, length.months)
-        return now + timedelta(microseconds=length.micros)
-    if _MOMENT.fullmatch(text):
-        try:
-            moment = datetime.fromisoformat(text)
-        except ValueError:
-            moment = None
-        if moment is not None:
-            if moment.tzinfo is None:
-                moment = moment.replace(tzinfo=timezone.utc)
-            return moment.astimezone(timezone.utc).replace(microsecond=0)
-    raise ValueError(
-        f"{name}: {text!r} is neither a relative duration, now(), a date nor a datetime"
-    )
+    try:
+        length = parse_duration(wanted)
+    except ValueError:
+        raise ValueError(f"{name}: {wanted!r} is neither a relative duration, now(), a date nor a datetime") from None
+    return _shift_months(now, length.months) if length.months else now + timedelta(microseconds=length.micros)

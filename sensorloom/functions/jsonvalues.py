@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .deep import deep_leaves
+
 OBJECT = "map<string,variant>"
-# How deep payload objects may nest. Anything deeper raises instead of being
-# left out silently.
-MAX_DEPTH = 4
+# Levels of objects that expressions unroll; payloads with more are walked by
+# `deep`.
+UNROLLED = 4
 
 
 def as_object(value: Column) -> Column:
@@ -113,14 +115,17 @@ def entries_with_kind(inner: Column) -> Column:
     )
 
 
-def explode_numbers(rows: DataFrame, value: str = "_payload", into: str = "_leaf", depth: int = MAX_DEPTH) -> DataFrame:
+def explode_numbers(
+    rows: DataFrame, value: str = "_payload", into: str = "_leaf", text: str = "payload", depth: int = UNROLLED
+) -> DataFrame:
     """One row per number anywhere inside an object, as struct `into`:
     (top, key, value double). `top` is the key of the outermost member the
     number sits in, null for a member of the object itself; `key` is the
     number's own name.
 
     The levels are columns of the same row, each made from the objects of the
-    one before, so there is neither a self-union nor a pass per level.
+    one before, so there is neither a self-union nor a pass per level. A payload
+    with more levels than `depth` is read whole from its `text` instead.
     """
     levels = []
     for i in range(depth):
@@ -153,9 +158,8 @@ def explode_numbers(rows: DataFrame, value: str = "_payload", into: str = "_leaf
         lambda m: F.struct(m["top"].alias("top"), m["key"].alias("key"), as_double(m["value"]).alias("value")),
     )
     too_deep = F.exists(F.col(levels[-1]), lambda m: object_kind(m["kind"]))
-    checked = F.when(
-        too_deep, F.raise_error(F.lit(f"payload objects nest deeper than {depth} levels"))
-    ).otherwise(found)
+    rows = rows.withColumn("_deep", deep_leaves(F.when(too_deep, F.col(text))))
+    checked = F.coalesce("_deep", found)
     # An inner explode would make the optimizer evaluate the array once more in
     # a filter for emptiness.
-    return rows.withColumn(into, F.explode_outer(checked)).where(F.col(into).isNotNull()).drop(*levels)
+    return rows.withColumn(into, F.explode_outer(checked)).where(F.col(into).isNotNull()).drop("_deep", *levels)

@@ -47,6 +47,9 @@ def align_nearest(
     next to it: it is copied into at most two. All channels are matched in
     the same two sorts of one shuffle.
     """
+    if not channels:
+        # Nothing to align on: no rows.
+        return readings.limit(0).select(*keys, F.col(time).alias("time"))
     base, *others = sorted(set(channels))
     interval = interval if isinstance(interval, Column) else F.lit(float(interval))
     wanted = of_channels(readings, [base, *others]).where(F.col(value).isNotNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import calibration as C, jsonvalues as J
+from ..functions.deep import deep_calibrated
 from .changelog import latest_per_key
 
 
@@ -47,10 +48,7 @@ def _calibrated(members: Column, curves: Column, depth: int) -> Column:
             inner = _calibrated(J.as_object(value), curves, depth - 1)
             nested = F.when(J.is_object(value), F.to_variant_object(inner))
         else:
-            nested = F.when(
-                J.is_object(value),
-                F.raise_error(F.lit(f"payload objects nest deeper than {J.MAX_DEPTH} levels")).cast("variant"),
-            )
+            nested = F.lit(None).cast("variant")
         return F.coalesce(number, nested, value)
 
     return F.transform_values(members, member)
@@ -59,15 +57,21 @@ def _calibrated(members: Column, curves: Column, depth: int) -> Column:
 def calibrate_events(events: DataFrame, changes: DataFrame) -> DataFrame:
     """Events with calibrated payloads; packets without a curve pass untouched."""
     curves = curves_by_series(changes)
-    rebuilt = F.to_json(_calibrated(J.as_object(F.try_parse_json("payload")), F.col("_curves"), J.MAX_DEPTH))
-    return (
-        events.withColumn("_series", series_key())
-        .join(curves, "_series", "left")
-        .withColumn(
-            "payload",
-            F.when(F.col("_curves").isNotNull(), F.coalesce(rebuilt, F.col("payload"))).otherwise(
-                F.col("payload")
-            ),
-        )
-        .select(*events.columns)
-    )
+    members = J.as_object(F.try_parse_json("payload"))
+    rebuilt = F.to_json(_calibrated(members, F.col("_curves"), J.UNROLLED))
+    # What the expression leaves as it was below its last level, `deep` rewrites.
+    deeper = _has_level(members, J.UNROLLED)
+    found = events.withColumn("_series", series_key()).join(curves, "_series", "left")
+    far = F.when(F.col("_curves").isNotNull() & deeper, F.col("payload"))
+    found = found.withColumn("_far", deep_calibrated(far, F.col("_curves")))
+    return found.withColumn(
+        "payload", F.when(F.col("_curves").isNotNull(), F.coalesce("_far", rebuilt, "payload")).otherwise(F.col("payload"))
+    ).select(*events.columns)
+
+
+def _has_level(members: Column, below: int) -> Column:
+    """Whether objects nest over `below` levels deep."""
+    if below == 0:
+        return F.lit(True)
+    inner = lambda value: _has_level(J.as_object(value), below - 1)
+    return F.exists(F.map_values(members), lambda value: J.is_object(value) & inner(value))

@@ -98,11 +98,12 @@ def drop_counts(gated: DataFrame) -> DataFrame:
     )
 
 
-def decoded(gated: DataFrame) -> DataFrame:
-    """P-20: the kept packets in the shape every later job reads."""
+def decoded(gated: DataFrame, *also: str) -> DataFrame:
+    """P-20: the kept packets in the shape every later job reads, and columns
+    one job hands on to itself."""
     kept = gated.where(F.col("drop_reason").isNull())
     return kept.withColumn("payload_kind", payload_kind(F.col("portnum"), F.col("variant"))).select(
-        *DECODED_COLUMNS
+        *DECODED_COLUMNS, *also
     )
 
 
@@ -144,6 +145,18 @@ IDENTITY_FIELDS = {
 }
 
 
+def of_known_mesh() -> Column:
+    return F.coalesce("mesh_id", F.lit("")) != ""
+
+
+def own_fields() -> Column:
+    """Numeric fields a telemetry payload carries for its own variant."""
+    variant = F.substr(F.col("payload_kind"), F.lit(len("telemetry:") + 1))
+    sub = F.try_element_at(J.as_object(F.col("_payload")), variant)
+    fields = F.transform(F.filter(J.members(sub), lambda m: J.numeric_kind(m["kind"])), lambda m: m["key"])
+    return F.coalesce(fields, F.array().cast("array<string>"))
+
+
 def sightings(events: DataFrame) -> DataFrame:
     """P-15: one row per decoded event of a known mesh."""
     position = F.col("payload_kind") == "position"
@@ -154,7 +167,7 @@ def sightings(events: DataFrame) -> DataFrame:
         F.when(info, truthy_text(F.try_variant_get("_payload", f"$.{source}", "variant"))).alias(target)
         for source, target in IDENTITY_FIELDS.items()
     ]
-    return with_variant(events.where(F.coalesce("mesh_id", F.lit("")) != "")).select(
+    return with_variant(events.where(of_known_mesh())).select(
         node_key(F.col("mesh_id"), F.col("node_id")).alias("key"),
         "mesh_id",
         F.col("node_id").alias("device_id"),
@@ -168,15 +181,10 @@ def sightings(events: DataFrame) -> DataFrame:
 
 def discoveries(events: DataFrame) -> DataFrame:
     """P-16: the numeric fields a telemetry packet carries for its own variant."""
-    own = events.where(
-        (F.coalesce("mesh_id", F.lit("")) != "") & F.col("payload_kind").startswith("telemetry:")
-    )
-    variant = F.substr(F.col("payload_kind"), F.lit(len("telemetry:") + 1))
-    sub = F.try_element_at(J.as_object(F.col("_payload")), variant)
-    fields = F.transform(F.filter(J.members(sub), lambda m: J.numeric_kind(m["kind"])), lambda m: m["key"])
+    own = events.where(of_known_mesh() & F.col("payload_kind").startswith("telemetry:"))
     return (
         with_variant(own)
-        .withColumn("fields", F.coalesce(fields, F.array().cast("array<string>")))
+        .withColumn("fields", own_fields())
         .where(F.size("fields") > 0)
         .select(
             "mesh_id",

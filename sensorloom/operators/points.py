@@ -149,6 +149,7 @@ def event_points(events: DataFrame) -> DataFrame:
     The explodes are outer ones because for an inner one the optimizer adds a
     filter that would build each array twice more, only to see if it is empty.
     """
+    arrival = ["arrival"] if "arrival" in events.columns else []
     tag = lambda name: truthy_text(F.try_variant_get("_payload", f"$.{name}", "variant"))
     identity = _tags({name: tag(name) for name in ("hw_model", "long_name", "role", "short_name")})
     rows = (
@@ -169,10 +170,11 @@ def event_points(events: DataFrame) -> DataFrame:
             .when(F.col("_builder") == "nodeinfo", _nodeinfo())
             .otherwise(_generic()),
         )
-        .select(*EVENT_COLUMNS, "timestamp_quality", "time", "tags", F.explode_outer("_points").alias("_point"))
+        .select(*EVENT_COLUMNS, *arrival, "timestamp_quality", "time", "tags", F.explode_outer("_points").alias("_point"))
         .where(F.col("_point").isNotNull())
         .select(
             *EVENT_COLUMNS,
+            *arrival,
             "timestamp_quality",
             "time",
             "tags",
@@ -196,6 +198,7 @@ def event_points(events: DataFrame) -> DataFrame:
         "packet_id",
         "timestamp_quality",
         "time",
+        *arrival,
     )
 
 
@@ -219,6 +222,7 @@ def alarm_points(alarms: DataFrame) -> DataFrame:
         device.alias("node_id"),
         F.explode(fields).alias("_field"),
         _tags(tags).alias("tags"),
+        *(["arrival"] if "arrival" in have else []),
         F.col("triggered_at").cast("timestamp").alias("time"),
     ).select(
         "mesh_id",
@@ -236,6 +240,7 @@ def alarm_points(alarms: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("packet_id"),
         F.lit(None).cast("string").alias("timestamp_quality"),
         "time",
+        *(["arrival"] if "arrival" in have else []),
     )
 
 

@@ -124,7 +124,7 @@ def quality_discoveries(stats: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def channel_quality(points: DataFrame, value: str = "value") -> DataFrame:
-    """A-06: the last figures per channel, one column each, sorted by channel."""
+    """A-06: the last figures per channel, one column each."""
     rows = points.where(F.col("measurement") == "quality").withColumn("channel", F.col("tags")["channel"])
     return (
         rows.groupBy("mesh_id", "node_id", "channel")
@@ -162,7 +162,10 @@ def device_metrics(quality: DataFrame, alarms: DataFrame) -> DataFrame:
         .agg(
             F.sum("alarms").alias("alarms"),
             F.sum(F.when(F.col("detector") == "plausibility", F.col("alarms")).otherwise(0)).alias("_implausible"),
-            F.map_from_entries(F.collect_list(F.struct("detector", "alarms"))).alias("alarms_by_detector"),
+            # An alarm without a detector counts among all alarms only.
+            F.map_from_entries(
+                F.collect_list(F.when(F.col("detector").isNotNull(), F.struct("detector", "alarms")))
+            ).alias("alarms_by_detector"),
         )
     )
     joined = ingested.join(raised, ["mesh_id", "node_id"], "full_outer")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.channels import channel_name, node_key, origin_of, origin_of_measurement
 from ..functions.units import QUALITY_FIELD_UNITS, quantity_kind
@@ -91,17 +91,13 @@ def upsert_devices(devices: DataFrame, sightings: DataFrame, meshes: DataFrame)
         fresh.alias("_fresh"),
         F.col("s.first_seen").alias("_first_seen"),
     )
-    taken = devices.where("is_allowed").select("device_id").distinct()
-    created = rows.where("_fresh").join(taken, "device_id", "left_anti")
-    winners = (
-        created.groupBy("device_id")
-        .agg(F.min(F.struct("_first_seen", "mesh_id")).alias("_w"))
-        .select("device_id", F.col("_w.mesh_id").alias("mesh_id"))
-    )
-    created = created.join(winners, ["device_id", "mesh_id"], "left_semi")
-    return rows.where(~F.col("_fresh")).select(*devices.columns).unionByName(
-        created.select(*devices.columns)
-    )
+    # A number is that of a few devices at most, one per mesh.
+    same_number = Window.partitionBy("device_id")
+    taken = F.max(~F.col("_fresh") & F.coalesce("is_allowed", F.lit(False))).over(same_number)
+    first = F.min(F.when(F.col("_fresh"), F.struct("_first_seen", "mesh_id"))).over(same_number)
+    placed = rows.withColumn("_taken", taken).withColumn("_first", first)
+    kept = ~F.col("_fresh") | (~F.col("_taken") & (F.col("_first.mesh_id") == F.col("mesh_id")))
+    return placed.where(kept).select(*devices.columns)
 
 
 def known_discoveries(discoveries: DataFrame, devices: DataFrame) -> DataFrame:

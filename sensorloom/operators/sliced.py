@@ -6,9 +6,9 @@ partitioned by (series, time slice), which splits a busy series by time, and
 only one summary row per slice is ordered per whole series.
 
 The shuffle moves each row once. Summaries are `span / slice width` rows per
-series, so a ten-year series in day slices has 3,650 of them. Stored points
-are one per series and second, hence a day slice holds 86,400 rows at most.
-For readings in finer steps, `fit_slice` measures the table and picks a width.
+series, so a ten-year series in day slices has 3,650 of them. A day slice
+holds a day's readings of a series from all gateways that heard it; where that
+is too much for a task, give a smaller width.
 """
 
 from __future__ import annotations
@@ -26,31 +26,6 @@ def slice_of(time: Column, width_seconds: int) -> Column:
     return F.floor(F.unix_micros(time) / F.lit(width_seconds * 1_000_000))
 
 
-# Widths `fit_slice` chooses from: a day down to a second.
-WIDTHS = (DAY, 21_600, 3_600, 600, 60, 10, 1)
-TARGET_ROWS = 5_000_000
-
-
-def fit_slice(
-    readings: DataFrame, keys: Sequence[str], time: str = "time", target_rows: int = TARGET_ROWS
-) -> int:
-    """Widest slice in which no series is expected to exceed `target_rows`.
-
-    One aggregate over keys and time, combined before its shuffle; a single
-    number comes back.
-    """
-    busiest = (
-        readings.groupBy(*keys, slice_of(F.col(time), DAY).alias(SLICE))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n"))
-        .first()[0]
-    ) or 0
-    for width in WIDTHS:
-        if busiest * width <= target_rows * DAY:
-            return width
-    return WIDTHS[-1]
-
-
 def gap_summary(
     readings: DataFrame, keys: Sequence[str], time: str = "time", width_seconds: int = DAY
 ) -> DataFrame:

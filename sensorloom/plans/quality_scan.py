@@ -82,12 +82,12 @@ def run_blueprint(
     recipe = B.load_steps(steps, blueprint_id)
     members = devices.where(F.col("postprocessing_blueprint_id") == blueprint_id)
     readings = numeric_only(in_range(points, resolve_bound(lookback, as_of, "lookback")))
-    run = B.run_steps(recipe, B.align_for(recipe, readings, members))
+    known = catalog_units(types, recipe) if types is not None else {}
+    run = B.run_steps(recipe, B.align_for(recipe, readings, members), known)
     derived = B.derived_rows(run, blueprint_id)
-    units = B.resolve_output_units(recipe, catalog_units(types, recipe) if types is not None else {})
     seen = F.lit(as_of).cast("timestamp")
     return BlueprintRun(
-        derived, B.derived_points(derived), B.derived_discoveries(derived, units, seen), B.failure_counts(run)
+        derived, B.derived_points(derived), B.derived_discoveries(derived, run.units, seen), B.failure_counts(run)
     )
 
 

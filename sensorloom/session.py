@@ -13,8 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # A hot gateway or device shows up as one fat join partition; let the
-    # engine split it even where the split costs a later exchange.
+    # A hot gateway or device shows up as one fat join partition, which the
+    # engine may split.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Methods beyond this size are not compiled by the JVM's JIT; plans with
     # long payload expressions run faster outside whole-stage code then.

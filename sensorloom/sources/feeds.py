@@ -38,8 +38,16 @@ def bus_options(
 def open_stream(
     spark: SparkSession, fmt: str, options: Mapping[str, str], schema: str | None = None, path: str | None = None
 ) -> DataFrame:
-    """S-01, S-02, S-03 as a stream."""
-    reader = spark.readStream.format(fmt).options(**options)
+    """S-01, S-02, S-03 as a stream.
+
+    A micro-batch is bounded even where the caller gives no limit, for keyed
+    state puts the rows of one key and batch in order.
+    """
+    limit = {"maxOffsetsPerTrigger": "200000"} if fmt == "kafka" else {"maxFilesPerTrigger": "8"}
+    given = {name.lower() for name in options}
+    if fmt in ("rate", "socket") or given & {"maxoffsetspertrigger", "maxfilespertrigger", "maxbytespertrigger"}:
+        limit = {}
+    reader = spark.readStream.format(fmt).options(**{**limit, **options})
     if schema:
         reader = reader.schema(schema)
     return reader.load(path) if path else reader.load()
@@ -54,17 +62,6 @@ def open_batch(
     return reader.load(path) if path else reader.load()
 
 
-def spread(records: DataFrame) -> DataFrame:
-    """Use all cores on a source that arrives in fewer pieces than there are.
-
-    Reading payloads is heavy and needs no shuffle of its own, so a single
-    small file would be worked off by one task. A large source has more pieces
-    than the cluster has cores and is left alone.
-    """
-    cores = records.sparkSession.sparkContext.defaultParallelism
-    return records.repartition(cores) if records.rdd.getNumPartitions() < cores else records
-
-
 def parse_events(records: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """S-03, T-09: JSON text records as columns, plus `reject_reason`.
 

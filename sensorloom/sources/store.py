@@ -1,14 +1,15 @@
 """Tables on shared storage: points, archive, alarms, discoveries.
 
-A store is a Parquet folder. Every write carries an `ingest_batch` number and
-replaces only the partitions of that number, so a micro-batch that is run
-again after a failure leaves the same files behind.
+A store is a Parquet folder. Its outer level is the `ingest_batch` of a write,
+and a write replaces that folder whole. So a micro-batch that is run again
+after a failure leaves what its last run wrote, even if that is less than the
+run before, or falls into another hour.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,28 +19,33 @@ from ..operators.points import dedupe_points
 from ..operators.series import in_range, numeric_only
 
 BATCH = "ingest_batch"
+# Order in which rows of a batch came in: an offset, or a number given on reading.
+ARRIVAL = "arrival"
 
 
 def _write_batch(df: DataFrame, path: str, batch: int, partitions: Sequence[str]) -> None:
     # `rebalance` evens out files by partition value and, unlike a hash
     # repartition, lets the engine split a value that holds most of the rows.
+    rows = df.hint("rebalance", *partitions) if partitions else df
     (
-        df.withColumn(BATCH, F.lit(batch).cast("long"))
-        .hint("rebalance", *partitions)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions, BATCH)
-        .parquet(path)
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy(*partitions)
+        .parquet(f"{path}/{BATCH}={batch}")
     )
 
 
 def write_points(points: DataFrame, path: str, batch: int) -> None:
     """S-04, S-07, S-08: store points by day and measurement.
 
-    Copies within the batch are folded before the write; copies from other
-    batches are folded on read or by `compact_points`.
+    Copies within the batch are folded before the write: the last one to arrive
+    stays, by the `arrival` number the rows carry. Rows without it keep the one
+    with the highest packet id. Copies from other batches are folded on read or
+    by `compact_points`.
     """
-    rows = dedupe_points(points).withColumn("dt", F.to_date("time"))
+    carried = ARRIVAL in points.columns
+    rows = dedupe_points(points, *((ARRIVAL, "packet_id") if carried else ())).drop(ARRIVAL)
+    rows = rows.withColumn("dt", F.to_date("time"))
     _write_batch(rows, path, batch, ("dt", "measurement"))
 
 
@@ -71,9 +77,11 @@ def read_points(
 
 
 def compact_points(spark: SparkSession, path: str, into: str, day: datetime) -> None:
-    """Rewrite one day into another store, each point once, as batch 0."""
-    folded = read_points(spark, path, day, None).where(F.to_date("time") == F.lit(day.date()))
-    _write_batch(folded.withColumn("dt", F.to_date("time")), into, 0, ("dt", "measurement"))
+    """Rewrite one day into another store, each point once."""
+    begin = datetime(day.year, day.month, day.day, tzinfo=timezone.utc)
+    folded = read_points(spark, path, begin, begin + timedelta(days=1))
+    # A day of the compacted store is a batch of its own, so days don't replace each other.
+    _write_batch(folded.withColumn("dt", F.to_date("time")), into, begin.toordinal(), ("dt", "measurement"))
 
 
 def read_channel(
@@ -118,11 +126,10 @@ def write_archive(rows: DataFrame, path: str, batch: int, written_at: Column | N
 def write_rows(rows: DataFrame, path: str, batch: int, by: Sequence[str] = ()) -> None:
     """S-09 and the registry side: any table of events, one write per batch."""
     (
-        rows.withColumn(BATCH, F.lit(batch).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by, BATCH)
-        .parquet(path)
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy(*by)
+        .parquet(f"{path}/{BATCH}={batch}")
     )
 
 

@@ -52,6 +52,23 @@ def kinds_of(gated: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def kind_counts(gated: DataFrame) -> DataFrame:
+    """U-04: rows of each kind, counted in one pass."""
+    kept = F.col("drop_reason").isNull()
+    named = gated.withColumn("payload_kind", packets.payload_kind(F.col("portnum"), F.col("variant")))
+    telemetry = kept & packets.of_known_mesh() & F.col("payload_kind").startswith("telemetry:")
+    payload = F.when(telemetry, F.try_parse_json("payload"))
+    flags = {
+        "decoded": kept,
+        "sightings": kept & packets.of_known_mesh(),
+        "discoveries": F.coalesce(telemetry & (F.size(packets.own_fields()) > 0), F.lit(False)),
+        "drops": ~kept,
+    }
+    sums = named.withColumn("_payload", payload).agg(*[F.count_if(flag).alias(kind) for kind, flag in flags.items()])
+    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("events")) for kind in flags])
+    return sums.select(F.inline(rows))
+
+
 def write_ingest(
     envelopes: DataFrame,
     batch: int,
@@ -60,13 +77,20 @@ def write_ingest(
     paths: IngestPaths,
     calibrations: DataFrame | None = None,
 ) -> None:
-    """S-10: gate a batch once, then write each kind to its own table."""
+    """S-10: gate a batch once, then write each kind to its own table.
+
+    Of two copies of a point the one that arrived last stays. A source with
+    offsets hands them on as `arrival`; else rows are numbered as they are read.
+    """
+    if store.ARRIVAL not in envelopes.columns:
+        envelopes = envelopes.withColumn(store.ARRIVAL, F.monotonically_increasing_id())
     gated = packets.gate(envelopes, gateways, rejections).persist()
     try:
         kinds = kinds_of(gated)
         store.write_rows(kinds["decoded"], paths.decoded, batch)
         # Points store what was decoded; calibrated events are a table apart.
-        store.write_points(points.event_points(kinds["decoded"]), paths.points, batch)
+        arrived = packets.decoded(gated, store.ARRIVAL)
+        store.write_points(points.event_points(arrived), paths.points, batch)
         if calibrations is not None:
             store.write_rows(calibrate_events(kinds["decoded"], calibrations), f"{paths.root}/calibrated", batch)
         store.write_rows(kinds["sightings"], paths.sightings, batch)
@@ -82,13 +106,23 @@ def start_ingest(
     root: str,
     checkpoint: str,
     every_seconds: int | None = None,
+    load_calibrations: Callable[[SparkSession], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """T-01: packets joined with the latest configuration."""
+    """T-01, J-03: packets joined with the latest configuration and, where
+    curves are given, a table of calibrated events beside the decoded ones.
+
+    Records that `parse_events` marked go to the dead letters of the batch.
+    """
     paths = IngestPaths(root)
+    marked = "reject_reason" in envelopes.columns
 
     def write(batch: DataFrame, number: int) -> None:
+        if marked:
+            dead_letter_writer(paths.dead_letters)(batch, number)
+            batch = batch.where(F.col("reject_reason").isNull()).drop("raw", "reject_reason")
         gateways, rejections = load_config(batch.sparkSession)
-        write_ingest(batch, number, gateways, rejections, paths)
+        curves = load_calibrations(batch.sparkSession) if load_calibrations else None
+        write_ingest(batch, number, gateways, rejections, paths, curves)
 
     return runtime.start(envelopes, write, checkpoint, every_seconds)
 

@@ -18,13 +18,14 @@ FLUSH_SECONDS, FLUSH_RECORDS = 60, 1000
 def state_settings(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
     """Settings a stateful query takes over when it starts.
 
-    The number of state partitions is fixed for the life of a checkpoint. It
-    defaults to the parallelism of the cluster the query first starts on.
+    The number of state partitions is fixed for the life of a checkpoint, so it
+    is what the job or its session says and not what happens to be running when
+    the query first starts.
     """
     session.prepare_streaming(spark)
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    count = partitions or spark.sparkContext.defaultParallelism
-    spark.conf.set("spark.sql.shuffle.partitions", str(count))
+    if partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
         yield
     finally:

@@ -281,6 +281,24 @@ def range_check(t):
     return D.range_check(t.points(("value",)), t.rule_changes())
 
 
+# Packets carry whole seconds, so the streaming tier orders and dates readings by them.
+ORACLE_DETECTION = with_views(
+    f"""SELECT mesh_id, node_id AS device_id, 'value' AS channel, 'stuck_value' AS detector, 'stream' AS source, value,
+           printf('Value stuck at %.1f for 5 consecutive readings', value) AS message, {stamp("date_trunc('second', time)")} AS triggered_at
+    FROM (SELECT *, count(*) OVER w AS n, min(value) OVER w AS lo, max(value) OVER w AS hi FROM coarse
+          WINDOW w AS (PARTITION BY mesh_id, node_id ORDER BY date_trunc('second', time), packet_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+    WHERE n = 5 AND lo = hi
+    UNION ALL
+    SELECT mesh_id, node_id, 'value', 'range_check', 'stream', round(value, 6),
+           'Value ' || value || ' outside configured range [' || CASE WHEN lo IS NULL THEN 'None' ELSE '1.0' END || ', '
+             || CASE WHEN lo IS NULL THEN '80.0' ELSE '120.0' END || ']', {stamp("date_trunc('second', time)")}
+    FROM coarse JOIN rules ON node = node_id WHERE value < lo OR value > hi""",
+    "coarse",
+    "cfg",
+    rules=_RULES,
+)
+
+
 @query(
     "t08_absence",
     with_views(
@@ -362,17 +380,17 @@ def cooldown(t):
     return sent.select("mesh_id", "device_id", "channel", "triggered_at")
 
 
-@query(
-    "j10_t06_notifications",
-    _greedy(
-        """(SELECT mesh_id, device_id, channel, triggered_at AS time FROM alarms JOIN mesh USING (mesh_id) JOIN own USING (owner_id)
-            WHERE is_active AND email IS NOT NULL)""",
-        1,
-        "vals",
-        "mesh",
-        "own",
-    ).replace("numbered AS", f"alarms AS ({_PLAUSIBILITY}), numbered AS", 1),
-)
+ORACLE_NOTIFICATIONS = _greedy(
+    """(SELECT mesh_id, device_id, channel, triggered_at AS time FROM alarms JOIN mesh USING (mesh_id) JOIN own USING (owner_id)
+        WHERE is_active AND email IS NOT NULL)""",
+    1,
+    "vals",
+    "mesh",
+    "own",
+).replace("numbered AS", f"alarms AS ({_PLAUSIBILITY}), numbered AS", 1)
+
+
+@query("j10_t06_notifications", ORACLE_NOTIFICATIONS)
 def notifications(t):
     sent = notify.notifications(plausibility(t), t.devices(), t.meshes(), t.owners())
     return sent.select("mesh_id", "device_id", "channel", "triggered_at")

@@ -15,7 +15,7 @@ from ..operators import detect as D, packets as K, points as P
 from ..plans import notify
 from ..session import shared_folder
 from ..sources import feeds, store
-from ..streaming import ingest, keyed, runtime
+from ..streaming import ingest, jobs, keyed, runtime
 from . import health
 from .registry import query
 from .tables import AS_OF, Tables, stamp, with_views
@@ -129,14 +129,7 @@ def alarm_sink(t):
     ),
 )
 def kinds_of_events(t):
-    counts = [
-        rows.agg(F.count(F.lit(1)).alias("events")).select(F.lit(kind).alias("kind"), "events")
-        for kind, rows in ingest.kinds_of(t.gated()).items()
-    ]
-    out = counts[0]
-    for more in counts[1:]:
-        out = out.unionByName(more)
-    return out
+    return ingest.kind_counts(t.gated())
 
 
 @query(
@@ -204,7 +197,8 @@ def stream_archive(t):
 
 def _stream_points(t: Tables):
     return _event_stream(t).join(t.mesh_of_node(), "user_id").select(
-        "mesh_id", F.col("user_id").alias("node_id"), F.lit("value").alias("field"), "value", "time", F.col("event_id").alias("packet_id")
+        "mesh_id", F.col("user_id").alias("node_id"), F.lit("value").alias("field"), "value", "time", F.col("event_id").alias("packet_id"),
+        F.col("event_type").alias("kind"),
     )
 
 
@@ -222,6 +216,41 @@ def stream_stuck_value(t):
     return _collect_stream(t, "stuck", keyed.stuck_value_stream(readings))
 
 
+@query("r01_r02_stream_detection", health.ORACLE_DETECTION)
+def stream_detection(t):
+    """Both detectors over the stream of packets, in four micro-batches."""
+    root = _folder(t, "detection")
+    cut = t.raw("events").where(F.col("value").isNotNull()).repartitionByRange(4, "ts").sortWithinPartitions("ts", "event_id")
+    cut.write.parquet(f"{root}/in")
+    raw = t.spark.readStream.schema(t.raw("events").schema).option("maxFilesPerTrigger", "1").parquet(f"{root}/in")
+    value = F.floor(F.col("value") / 50).cast("double")
+    events = t.shape_events(raw).join(t.mesh_of_node(), "user_id").select(
+        "mesh_id",
+        F.col("user_id").alias("node_id"),
+        F.col("event_id").alias("packet_id"),
+        F.unix_seconds("time").alias("rx_time"),
+        F.concat(F.lit('{"m": {"value": '), value, F.lit("}}")).alias("payload"),
+    )
+    for job in jobs.start_detection(events, lambda _: t.rule_changes(), root):
+        job.awaitTermination()
+    columns = list(D.ALARM_COLUMNS)
+    found = [t.spark.read.parquet(f"{root}/{name}").select(*columns) for name in ("stuck_value", "range_check")]
+    return found[0].unionByName(found[1])
+
+
+@query("t06_t07_stream_notifications", health.ORACLE_NOTIFICATIONS)
+def stream_notifications(t):
+    root = _folder(t, "notifications")
+    found = _stream_points(t).withColumn("channel", F.concat_ws(".", "kind", "field"))
+    alarms = D.as_alarms(
+        found.where((F.col("value") < 0) | (F.col("value") > 200)), "plausibility", F.lit("m"), F.col("time"), F.col("value"), F.col("channel"), source="stream"
+    )
+    jobs.start_notifications(
+        alarms, lambda _: (t.devices(), t.meshes(), t.owners()), f"{root}/sent", f"{root}/_checkpoint"
+    ).awaitTermination()
+    return t.spark.read.parquet(f"{root}/sent").select("mesh_id", "device_id", "channel", "triggered_at")
+
+
 @query("t06_stream_cooldown", health.ORACLE_COOLDOWN)
 def stream_cooldown(t):
     found = _stream_points(t).where(F.col("value") > 20)

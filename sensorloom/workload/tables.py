@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import session
 from ..functions.channels import gateway_key
 from ..operators import packets
-from ..sources.feeds import spread
 
 AS_OF = datetime(2024, 1, 31, tzinfo=timezone.utc)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -144,7 +143,7 @@ class Tables:
     # --- packets ----------------------------------------------------------
 
     def envelopes(self) -> DataFrame:
-        return self.shape_envelopes(self.shape_events(spread(self.raw("events"))), self.raw("customer"))
+        return self.shape_envelopes(self.shape_events(self.raw("events")), self.raw("customer"))
 
     @staticmethod
     def shape_envelopes(events: DataFrame, customer: DataFrame) -> DataFrame:

@@ -31,13 +31,15 @@ def test_malformed_durations(text):
         ("2026-09-01T13:45", datetime(2026, 9, 1, 13, 45, tzinfo=timezone.utc)),
         ("2026-09-01 13:45:10.75Z", datetime(2026, 9, 1, 13, 45, 10, tzinfo=timezone.utc)),
         (" 2026-09-01T13:45:00+0200 ", datetime(2026, 9, 1, 11, 45, tzinfo=timezone.utc)),
+        ("2026-01-01 00:15-05:30", datetime(2026, 1, 1, 5, 45, tzinfo=timezone.utc)),
+        ("2026-01-01T00:15:59+01:00", datetime(2025, 12, 31, 23, 15, 59, tzinfo=timezone.utc)),
     ],
 )
 def test_bounds(text, expected):
     assert B.resolve_bound(text, NOW) == expected
 
 
-@pytest.mark.parametrize("text", ["", None, "yesterday", "2026-13-01", "2026-9-1", "now", "2026-09-01T25:00"])
+@pytest.mark.parametrize("text", ["", None, "yesterday", "2026-13-01", "2026-9-1", "now", "2026-09-01T25:00", "2026-09-01T12", "2026-09-01T12:00:00.", "2026-09-01T12:00+2", "2026-09-01T12:00+02:0", "2026-09-01x12:00", "２026-09-01", "2026-02-30"])
 def test_malformed_bounds(text):
     with pytest.raises(ValueError):
         B.resolve_bound(text, NOW)
