@@ -52,7 +52,10 @@ def check_completeness(
     """R-06: completeness of every measured channel of every device."""
     readings = numeric_only(in_range(points, resolve_bound(lookback, as_of, "lookback")))
     expected = channel_intervals(channels, devices, variants)
-    stats = Q.completeness(expected, readings, duration_seconds(lookback))
+    return results_of(Q.completeness(expected, readings, duration_seconds(lookback)), lookback, as_of)
+
+
+def results_of(stats: DataFrame, lookback: str, as_of: datetime) -> CompletenessRun:
     return CompletenessRun(
         stats,
         Q.completeness_alarms(stats, lookback, as_of),
@@ -63,6 +66,8 @@ def check_completeness(
 
 @dataclass
 class BlueprintRun:
+    blueprint_id: str
+    units: dict[str, str | None]
     derived: DataFrame
     points: DataFrame
     discoveries: DataFrame
@@ -87,10 +92,16 @@ def run_blueprint(
     derived = B.derived_rows(run, blueprint_id)
     seen = F.lit(as_of).cast("timestamp")
     return BlueprintRun(
-        derived, B.derived_points(derived), B.derived_discoveries(derived, run.units, seen), B.failure_counts(run)
+        blueprint_id, run.units, derived, B.derived_points(derived), B.derived_discoveries(derived, run.units, seen), B.failure_counts(run)
     )
 
 
+def discovered(points: DataFrame, blueprint_id: str, units: dict[str, str | None], as_of: datetime) -> DataFrame:
+    """S-09: what a blueprint gave each device, from its stored points."""
+    own = points.where(F.col("tags")["blueprint_id"] == blueprint_id)
+    return B.derived_discoveries(own, units, F.lit(as_of).cast("timestamp"))
+
+
 def catalog_units(types: DataFrame, recipe: list[B.Step]) -> dict[str, str | None]:
     """Units of the channels a recipe reads. At most one row per channel of the
     recipe reaches the driver."""

@@ -139,3 +139,22 @@ def write_snapshot(rows: DataFrame, path: str, version: int) -> str:
     target = f"{path}/version={version:012d}"
     rows.write.mode("overwrite").parquet(target)
     return target
+
+
+def last_version(spark: SparkSession, path: str) -> int:
+    """Newest whole version of a snapshot; the folder names tell, no file is read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = [
+        int(found.getPath().getName().removeprefix("version="))
+        for found in files.listStatus(root)
+        if found.getPath().getName().startswith("version=") and files.exists(hadoop.Path(found.getPath(), "_SUCCESS"))
+    ]
+    if not whole:
+        raise FileNotFoundError(f"no whole version in {path}")
+    return max(whole)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str, version: int) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/version={version:012d}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,10 @@ from ..operators import align, blueprints as B, changelog as L
 from ..operators.calibrate import calibrate_events
 from ..operators.series import in_range
 from ..functions.bounds import resolve_bound
-from ..plans import quality_scan
+from ..plans import fleet_scan, quality_scan
+from ..session import shared_folder
+from ..sources import store
+from . import health
 from .registry import query
 from .tables import AS_OF, AS_OF_SQL, stamp, with_views
 
@@ -222,6 +226,45 @@ def derived_points(t):
     return rows.select("mesh_id", "node_id", "measurement", "channel", tag("blueprint_id"), tag("step_order"), "time", "value")
 
 
+def _renumbered(sql: str) -> str:
+    return sql.replace("base b", "base2 b").replace("span o", "span2 o")
+
+
+@query(
+    "b04_s07_s08_fleet_scan",
+    with_views(
+        f"""SELECT mesh_id, node_id, 'derived' AS measurement, field, 'bp-1' AS made_of, {stamp('time')} AS time, round(arg_max(value, written_by), 6) AS value
+        FROM written GROUP BY mesh_id, node_id, field, time
+        UNION ALL
+        SELECT mesh_id, node_id, 'derived', 'ozone', 'bp-2', {stamp('base2.time')}, round(w2 * 48 * (101325 / 8.314462618) / (value + 273.15) / 1000, 6)
+        FROM base2 JOIN w2 USING (mesh_id, node_id, time)
+        UNION ALL
+        SELECT mesh_id, node_id, 'quality', field, channel, {stamp(AS_OF_SQL)}, round(value, 6) FROM (
+          UNPIVOT (SELECT mesh_id, node_id, channel, ratio::DOUBLE AS completeness_ratio, observed::DOUBLE AS observed, expected::DOUBLE AS expected,
+                     gap::DOUBLE AS largest_gap_seconds FROM stats)
+          ON completeness_ratio, observed, expected, largest_gap_seconds INTO NAME field VALUE value)""",
+        "vals",
+        "dev",
+        "meas",
+        "var",
+        **_MEMBER_ALIGN,
+        **health._STATS,
+        span2=_MEMBER_ALIGN["span"].replace("bp-1", "bp-2"),
+        base2="SELECT * FROM span2 WHERE channel = 'error.value'",
+        w2=_renumbered(_nearest("w2", "view.value")),
+    ),
+)
+def fleet_scan_points(t):
+    """One scan over all devices and blueprints; its points are read from the store."""
+    root = f"{shared_folder(t.spark)}/scan-{uuid4().hex}"
+    channels = health.known_channels(t)
+    paths = fleet_scan.scan_fleet(
+        t.points(("value",)), channels, t.devices(), t.variants(), steps_table(t), t.types(), root, 1, AS_OF, "-30d", "-30d"
+    )
+    made_of = F.coalesce(F.col("tags")["blueprint_id"], F.col("tags")["channel"]).alias("made_of")
+    return store.read_points(t.spark, paths.points).select("mesh_id", "node_id", "measurement", "field", made_of, "time", "value")
+
+
 @query(
     "b06_s09_derived_discoveries",
     with_views(

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions.channels import gateway_key, node_key
 from ..operators import changelog as L, packets as K, quality as Q, registry as R
+from ..plans import registry_job
+from ..schemas import DEVICE
+from ..session import shared_folder
+from ..sources import store
 from .registry import query
 from .tables import AS_OF, stamp, with_views
 
@@ -80,36 +86,36 @@ def known_sightings(t):
 _KNOWN = "SELECT * FROM dev WHERE device_id % 3 <> 1"
 
 
-@query(
-    "a10_device_upsert",
-    with_views(
-        f"""SELECT COALESCE(k.id, s.mesh_id || ':' || s.device_id) AS id, COALESCE(k.mesh_id, s.mesh_id) AS mesh_id,
-          COALESCE(k.device_id, s.device_id) AS device_id,
-          CASE WHEN k.device_id IS NULL THEN TRUE ELSE k.is_allowed END AS is_allowed,
-          CASE WHEN k.device_id IS NULL THEN FALSE ELSE k.is_gateway END AS is_gateway,
-          CASE WHEN NOT COALESCE(k.location_overridden, FALSE) THEN round(s.lat / 1e7, 6) END AS latitude,
-          CASE WHEN NOT COALESCE(k.location_overridden, FALSE) THEN round(s.lon / 1e7, 6) END AS longitude,
-          CASE WHEN COALESCE(k.nodeinfo_overridden, FALSE) THEN k.name ELSE COALESCE(s.name, k.name) END AS name,
-          CASE WHEN COALESCE(k.nodeinfo_overridden, FALSE) THEN NULL ELSE s.short_name END AS short_name,
-          CASE WHEN COALESCE(k.nodeinfo_overridden, FALSE) THEN NULL ELSE s.hw END AS hardware_type,
-          CASE WHEN COALESCE(k.nodeinfo_overridden, FALSE) THEN k.role ELSE COALESCE(s.role, k.role) END AS role,
-          {stamp('make_timestamp(s.seen * 1000000)')} AS last_seen
-        FROM known k FULL OUTER JOIN seen s ON k.mesh_id = s.mesh_id AND k.device_id = s.device_id""",
-        "dec",
-        "dev",
-        known=_KNOWN,
-        facts="""SELECT *, payload_kind = 'nodeinfo' AS info, CAST(json_extract(payload, '$.latitude_i') AS DOUBLE) AS lat,
-              CAST(json_extract(payload, '$.longitude_i') AS DOUBLE) AS lon FROM dec WHERE mesh_id IS NOT NULL""",
-        seen="""SELECT mesh_id, node_id AS device_id, max(rx_time) AS seen,
-              arg_max(lat, rx_time) FILTER (WHERE payload_kind = 'position' AND lat IS NOT NULL AND lon IS NOT NULL) AS lat,
-              arg_max(lon, rx_time) FILTER (WHERE payload_kind = 'position' AND lat IS NOT NULL AND lon IS NOT NULL) AS lon,
-              arg_max(json_extract_string(payload, '$.long_name'), rx_time) FILTER (WHERE info) AS name,
-              arg_max(json_extract_string(payload, '$.short_name'), rx_time) FILTER (WHERE info AND json_extract_string(payload, '$.short_name') <> '') AS short_name,
-              arg_max(json_extract_string(payload, '$.hw_model'), rx_time) FILTER (WHERE info) AS hw,
-              arg_max(json_extract_string(payload, '$.role'), rx_time) FILTER (WHERE info) AS role
-            FROM facts GROUP BY mesh_id, node_id""",
-    ),
+ORACLE_DEVICES = with_views(
+    f"""SELECT COALESCE(k.id, s.mesh_id || ':' || s.device_id) AS id, COALESCE(k.mesh_id, s.mesh_id) AS mesh_id,
+      COALESCE(k.device_id, s.device_id) AS device_id,
+      CASE WHEN k.device_id IS NULL THEN TRUE ELSE k.is_allowed END AS is_allowed,
+      CASE WHEN k.device_id IS NULL THEN FALSE ELSE k.is_gateway END AS is_gateway,
+      CASE WHEN NOT COALESCE(k.location_overridden, FALSE) THEN round(s.lat / 1e7, 6) END AS latitude,
+      CASE WHEN NOT COALESCE(k.location_overridden, FALSE) THEN round(s.lon / 1e7, 6) END AS longitude,
+      CASE WHEN COALESCE(k.nodeinfo_overridden, FALSE) THEN k.name ELSE COALESCE(s.name, k.name) END AS name,
+      CASE WHEN COALESCE(k.nodeinfo_overridden, FALSE) THEN NULL ELSE s.short_name END AS short_name,
+      CASE WHEN COALESCE(k.nodeinfo_overridden, FALSE) THEN NULL ELSE s.hw END AS hardware_type,
+      CASE WHEN COALESCE(k.nodeinfo_overridden, FALSE) THEN k.role ELSE COALESCE(s.role, k.role) END AS role,
+      {stamp('make_timestamp(s.seen * 1000000)')} AS last_seen
+    FROM known k FULL OUTER JOIN seen s ON k.mesh_id = s.mesh_id AND k.device_id = s.device_id""",
+    "dec",
+    "dev",
+    known=_KNOWN,
+    facts="""SELECT *, payload_kind = 'nodeinfo' AS info, CAST(json_extract(payload, '$.latitude_i') AS DOUBLE) AS lat,
+          CAST(json_extract(payload, '$.longitude_i') AS DOUBLE) AS lon FROM dec WHERE mesh_id IS NOT NULL""",
+    seen="""SELECT mesh_id, node_id AS device_id, max(rx_time) AS seen,
+          arg_max(lat, rx_time) FILTER (WHERE payload_kind = 'position' AND lat IS NOT NULL AND lon IS NOT NULL) AS lat,
+          arg_max(lon, rx_time) FILTER (WHERE payload_kind = 'position' AND lat IS NOT NULL AND lon IS NOT NULL) AS lon,
+          arg_max(json_extract_string(payload, '$.long_name'), rx_time) FILTER (WHERE info) AS name,
+          arg_max(json_extract_string(payload, '$.short_name'), rx_time) FILTER (WHERE info AND json_extract_string(payload, '$.short_name') <> '') AS short_name,
+          arg_max(json_extract_string(payload, '$.hw_model'), rx_time) FILTER (WHERE info) AS hw,
+          arg_max(json_extract_string(payload, '$.role'), rx_time) FILTER (WHERE info) AS role
+        FROM facts GROUP BY mesh_id, node_id""",
 )
+
+
+@query("a10_device_upsert", ORACLE_DEVICES)
 def device_upsert(t):
     known = t.devices().where(F.col("device_id") % 3 != 1)
     merged = R.upsert_devices(known, K.sightings(t.decoded()), t.meshes())
@@ -118,6 +124,22 @@ def device_upsert(t):
     )
 
 
+@query("a10_s11_registry_job", ORACLE_DEVICES)
+def registry_job_devices(t):
+    """The same sightings in three batches, each folded into the stored snapshot before."""
+    root = f"{shared_folder(t.spark)}/registry-{uuid4().hex}"
+    known = t.devices().where(F.col("device_id") % 3 != 1)
+    registry_job.start_empty(t.spark, f"{root}/devices", DEVICE, known.select(*[c.split()[0] for c in DEVICE.split(", ")]))
+    sightings = K.sightings(t.decoded())
+    day = F.dayofmonth("seen_at")
+    for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
+        version = registry_job.apply_sightings(t.spark, root, DEVICE, sightings.where(part), t.meshes())
+    merged = store.read_snapshot(t.spark, f"{root}/devices", DEVICE, version)
+    return merged.select(
+        "id", "mesh_id", "device_id", "is_allowed", "is_gateway", "latitude", "longitude", *R.IDENTITY, "last_seen"
+    )
+
+
 _SEEN_FIELDS = """SELECT mesh_id, node_id AS device_id, payload_kind, f.key AS field_name, rx_time
     FROM dec d, json_each(json_extract(d.payload, '$.' || NULLIF(substr(payload_kind, 11), ''))) f
     WHERE payload_kind LIKE 'telemetry:%' AND f.type IN ('UBIGINT', 'BIGINT', 'DOUBLE')

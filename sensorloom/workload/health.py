@@ -45,12 +45,16 @@ _STATS = {
 _STAT_VIEWS = ("vals", "meas", "var")
 
 
-def _run(t):
-    channels = t.measurements().select(
+def known_channels(t):
+    return t.measurements().select(
         "mesh_id", "device_id", "payload_kind",
         channel_name(F.col("payload_kind"), F.col("field_name")).alias("channel"),
         origin_of(F.col("payload_kind")).alias("origin"),
     )
+
+
+def _run(t):
+    channels = known_channels(t)
     return quality_scan.check_completeness(
         t.points(("value",)), channels, t.devices(), t.variants(), AS_OF, LOOKBACK
     )
