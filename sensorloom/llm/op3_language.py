@@ -20,6 +20,8 @@ TEXT_WEIGHT = 60.0
 #: Share of a declared language in the sample below which it gets no model.
 LEAST_SHARE = 0.01
 UNKNOWN = "und"
+#: Share of a text's triples that may be noise in any language: keys, names, typing errors.
+NOISE = 0.1
 #: How many rows of its parent a host, or of the corpus a domain, counts for.
 PARENT_ROWS = 20.0
 KEEP = 0.5
@@ -69,7 +71,7 @@ def fit_text_model(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np
     table_ = np.full((len(langs) + 1, CELLS), -np.log(CELLS), np.float32)
     for i, x in enumerate(langs):
         smooth = total[x] + 0.05
-        table_[i] = np.log(smooth / smooth.sum())
+        table_[i] = np.log((1 - NOISE) * smooth / smooth.sum() + NOISE / CELLS)
     return [*langs, UNKNOWN], table_
 
 
