@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sensorloom.llm import op2_training_order, op3_language, op4_decontamination, op5_minhash, op8_mixing
-from sensorloom.llm.common import stage, table
+from sensorloom.llm.common import scratch, stage, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages hand on to each other goes when they are there."""
     docs = table(spark, sf_dir, "documents")
-    for name, function in STAGES:
-        docs = function(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stage(docs, name)
-    return docs
+    with scratch(spark) as keep:
+        for name, function in STAGES:
+            docs = function(spark, docs, sf_dir)
+            if name != STAGES[-1][0]:
+                docs = stage(docs, name)
+        return keep(docs, "sequences")

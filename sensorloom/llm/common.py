@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
@@ -43,15 +43,50 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the open `scratch` blocks, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back: lineage ends there, and a lost executor
-    costs no more than a read. Whoever runs the job removes the folder when the result is no longer read."""
+    costs no more than a read. Inside `scratch` the folder goes when the block ends; else whoever runs the
+    job removes it when the result is no longer read."""
     spark = df.sparkSession
     folder = work_folder(spark, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(folder)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose staged tables are removed at its end. It gives a function that stages what is to
+    outlive it; call it last, for it must not be read from tables of the block any more."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        folder = own.pop()
+        if len(_SCRATCH) > 1:
+            _SCRATCH[-2].append(folder)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(own)
+        for folder in own:
+            removed(spark, folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of this run from whatever file system it is in."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small table, for loops."""
     context = df.sparkSession.sparkContext

@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import file_paths, opened, stage, table, work_folder, written
+from sensorloom.llm.common import file_paths, opened, scratch, stage, table, work_folder, written
 from sensorloom.llm.subwords import Cache, load, packed, segments
 
 MODEL = "piece_bpe_32k.model"
-LENGTH = 1024
+LENGTH = 2048
 #: Slots of a shard; 2 * LENGTH bytes each.
 SHARD = 1024
+#: Documents of a task whose ids settle the code of sequences on their way. It decides their size alone.
+SAMPLE_DOCS = 2_000
 KEY = 20_240_229
 ROUNDS = 6
 END = 2  # the end token's id
@@ -49,11 +51,56 @@ def feistel(slots: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, model_path: str, length: int = LENGTH) -> DataFrame:
+class Code:
+    """Ids in one byte if they are frequent, else in two, then deflated: half the size of two-byte ids.
+
+    `order` has all ids by falling frequency. The first byte tells the rank of a frequent id, or the upper
+    part of another rank; the lower parts follow behind all first bytes."""
+
+    def __init__(self, order: np.ndarray):
+        self.order = np.asarray(order, np.int64)
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[self.order] = np.arange(len(order))
+        self.short = next(n for n in range(255, -1, -1) if n + -(-max(0, len(order) - n) // 256) <= 256)
+
+    def encode(self, raw: bytes) -> bytes:
+        rank = self.rank[np.frombuffer(raw, "<u2")]
+        far = rank - self.short
+        first = np.where(far < 0, rank, self.short + (far >> 8)).astype(np.uint8)
+        return zlib.compress(first.tobytes() + (far[far >= 0] & 255).astype(np.uint8).tobytes(), 6)
+
+    def decode(self, data: bytes, n: int) -> bytes:
+        data = np.frombuffer(zlib.decompress(data), np.uint8)
+        rank, low = data[:n].astype(np.int64), data[n:]
+        long = rank >= self.short
+        rank[long] = self.short + ((rank[long] - self.short) << 8) + low
+        return self.order[rank].astype("<u2").tobytes()
+
+
+def frequent_order(docs: DataFrame, model_path: str, sample: int = SAMPLE_DOCS) -> np.ndarray:
+    """All ids of a model, those frequent in the first documents of one partition first."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load(model_path)
+        cache, left = Cache(model, packed), sample
+        total = np.zeros(model.get_piece_size(), np.int64)
+        for frame in frames:
+            for text in frame["text"].iloc[: max(0, left)]:
+                ids = np.frombuffer(b"".join(map(cache.__getitem__, segments(text))), "<u2")
+                total += np.bincount(ids, minlength=len(total))
+            left -= len(frame)
+        yield pd.DataFrame({"total": [total]})
+
+    rows = docs.select("text").where("text is not null").mapInPandas(count, "total array<long>").take(1)
+    total = np.array(rows[0]["total"]) if rows else np.zeros(load(model_path).get_piece_size(), np.int64)
+    return np.argsort(-total, kind="stable")
+
+
+def sequences(docs: DataFrame, model_path: str, code: Code, length: int = LENGTH) -> DataFrame:
     """(tokens, n_tokens, first_doc, n_docs): texts with an end token each, laid end to end within a
     partition of the input and cut every `length` tokens; only a partition's last sequence is shorter.
 
-    tokens are two-byte ids, deflated. Ids of frequent segments come from a bounded cache of the worker.
+    tokens are encoded ids. Ids of frequent segments come from a bounded cache of the worker.
     Null and empty texts, and null ids, add nothing or no name; repeated rows are repeated.
     """
 
@@ -65,7 +112,7 @@ def sequences(docs: DataFrame, model_path: str, length: int = LENGTH) -> DataFra
         rest, names = b"", []
 
         def flush(part: bytes) -> None:
-            rows.append((zlib.compress(part, 1), len(part) // 2, next((x for x in names if x is not None), None), len(names)))
+            rows.append((code.encode(part), len(part) // 2, next((x for x in names if x is not None), None), len(names)))
 
         for frame in frames:
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
@@ -109,7 +156,7 @@ def numbered(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     return rows.withColumn("slot", slot("__file", "__row")).drop("__file", "__row"), n
 
 
-def write_shards(rows: DataFrame, folder: str, n: int, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+def write_shards(rows: DataFrame, folder: str, n: int, code: Code, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """Write the sequences in slot order to `folder`/shard-NNNNNNNN.u16 and return where each lies.
 
     Shards are dealt by range, so a shard is one task's and its slots come in order; slot s begins at byte
@@ -126,14 +173,14 @@ def write_shards(rows: DataFrame, folder: str, n: int, length: int = LENGTH, sha
         try:
             for frame in frames:
                 crcs = []
-                for s, tokens in zip(frame["slot"], frame["tokens"], strict=True):
+                for s, tokens, size in zip(frame["slot"], frame["tokens"], frame["n_tokens"], strict=True):
                     if s // shard != now:
                         if file:
                             file.__exit__(None, None, None)
                         now = s // shard
                         file = written(f"{folder}/shard-{now:08d}.u16")
                         out = file.__enter__()
-                    raw = zlib.decompress(tokens).ljust(stride, packed([PAD])[:1])
+                    raw = code.decode(tokens, size) + packed([PAD] * (length - size))
                     out.write(raw)
                     crcs.append(zlib.crc32(raw))
                 yield frame.drop(columns="tokens").assign(crc=crcs)
@@ -180,8 +227,10 @@ def training_order(
     no documents write no shard and give no rows. Equal input files, split alike, give equal shards.
     """
     folder = folder or work_folder(docs.sparkSession, "shards")
-    rows, n = numbered(sequences(docs, model_path, length), key)
-    return stage(write_shards(rows, folder, n, length, shard), "index")
+    with scratch(docs.sparkSession) as keep:
+        code = Code(frequent_order(docs, model_path))
+        rows, n = numbered(sequences(docs, model_path, code, length), key)
+        return keep(write_shards(rows, folder, n, code, length, shard), "index")
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import stage, table, words_of
+from sensorloom.llm.common import scratch, stage, table, words_of
 from sensorloom.llm.components import components
 
 
@@ -232,17 +232,19 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sizes, links = near_links(docs, near)
-    parts = components(links, "a", "b")
-    known = sizes.join(parts, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    nameless = docs.where("id is null")
-    nameless = _signed(nameless, near).select("id", "n", F.lit(None).cast("long").alias("component"))
-    return known.union(nameless).select(
-        F.col("id").cast(kind).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.col("component").cast(kind).alias("component_id"),
-        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
-    )
+    with scratch(docs.sparkSession) as keep:
+        sizes, links = near_links(docs, near)
+        parts = components(links, "a", "b")
+        known = sizes.join(parts, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+        nameless = docs.where("id is null")
+        nameless = _signed(nameless, near).select("id", "n", F.lit(None).cast("long").alias("component"))
+        found = known.union(nameless).select(
+            F.col("id").cast(kind).alias("doc_id"),
+            F.col("n").alias("n_shingles"),
+            F.col("component").cast(kind).alias("component_id"),
+            F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
+        )
+        return keep(found, "near_duplicates")
 
 
 def deduplicated(docs: DataFrame, near: Near = Near()) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import opened, stage, table, work_folder, written
+from sensorloom.llm.common import opened, removed, scratch, stage, table, work_folder, written
 from sensorloom.llm.components import components
 from sensorloom.llm.hnsw import Graph, units
 
@@ -156,31 +156,35 @@ def near_vectors(
     """
     kind = rows.schema["vec_id"].dataType.simpleString()
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
-    fine = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
-    keyed = fine.select("vec_id", "v", F.xxhash64(F.lit(1), "v").alias("d1"), F.xxhash64(F.lit(2), "v").alias("d2"))
-    ids = stage(keyed.dropDuplicates(["d1", "d2", "vec_id"]), "vectors")
-    classes = ids.groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    n = ids.count()
-    count = max(shards, -(-n // shard_rows))
-    shard = F.pmod(F.xxhash64("rep", "d1"), F.lit(count)).cast("int")
-    blocks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 20_000))
-    classes = stage(classes.withColumns({"dim": F.size("v"), "shard": shard}).repartition(blocks, "rep"), "vector_classes")
-    graphs = _build(classes, work_folder(rows.sparkSession, "graphs"))
-    beam = _audited_beam(classes, graphs, cosine, beam, audit, recall)
-    found = stage(_search(classes.repartition(blocks, "rep"), graphs, cosine, beam), "vector_links")
-    members = ids.join(classes.select("d1", "d2", "rep", "copies"), ["d1", "d2"]).select("vec_id", "rep", "copies")
-    members = stage(members, "members")
-    links = found.where("id <> other").select("id", "other").union(members.where("vec_id <> rep").select("vec_id", "rep"))
-    parts = components(links, "id", "other")
-    sums = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
-    per_class = members.join(sums, "rep", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    per_id = per_class.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    out = rows.select("vec_id").join(per_id, "vec_id", "left").join(parts.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select(
-        F.col("vec_id").cast(kind).alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
-    )
+    with scratch(rows.sparkSession) as keep:
+        fine = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
+        keyed = fine.select("vec_id", "v", F.xxhash64(F.lit(1), "v").alias("d1"), F.xxhash64(F.lit(2), "v").alias("d2"))
+        ids = stage(keyed.dropDuplicates(["d1", "d2", "vec_id"]), "vectors")
+        classes = ids.groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+        n = ids.count()
+        count = max(shards, -(-n // shard_rows))
+        shard = F.pmod(F.xxhash64("rep", "d1"), F.lit(count)).cast("int")
+        blocks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 20_000))
+        classes = stage(classes.withColumns({"dim": F.size("v"), "shard": shard}).repartition(blocks, "rep"), "vector_classes")
+        folder = work_folder(rows.sparkSession, "graphs")
+        graphs = _build(classes, folder)
+        beam = _audited_beam(classes, graphs, cosine, beam, audit, recall)
+        found = stage(_search(classes.repartition(blocks, "rep"), graphs, cosine, beam), "vector_links")
+        removed(rows.sparkSession, folder)
+        members = ids.join(classes.select("d1", "d2", "rep", "copies"), ["d1", "d2"]).select("vec_id", "rep", "copies")
+        members = stage(members, "members")
+        links = found.where("id <> other").select("id", "other").union(members.where("vec_id <> rep").select("vec_id", "rep"))
+        parts = components(links, "id", "other")
+        sums = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
+        per_class = members.join(sums, "rep", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        per_id = per_class.groupBy("vec_id").agg(F.sum("links").alias("links"))
+        out = rows.select("vec_id").join(per_id, "vec_id", "left").join(parts.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+        component = F.coalesce("component", "vec_id")
+        result = out.select(
+            F.col("vec_id").cast(kind).alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+            component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+        )
+        return keep(result, "near_vectors")
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
