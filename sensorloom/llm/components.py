@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import cut
+from sensorloom.llm.common import stage
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -17,28 +17,31 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     single task. Null ends and loops are left out; repeated links count once.
     """
     pair = (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    edges = cut(links.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(*pair).distinct())
+    edges = stage(links.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(*pair).distinct(), "edges")
     labels = None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(
             edges.select(F.col("b").alias("id"), F.col("a").alias("other"))
         )
-        parents = cut(both.groupBy("id").agg(F.min("other").alias("low")).select("id", F.least("id", "low").alias("root")))
+        parents = both.groupBy("id").agg(F.min("other").alias("low")).select("id", F.least("id", "low").alias("root"))
+        parents = stage(parents, "parents")
         while True:
             nodes = parents.select(F.col("id").alias("root"), F.col("root").alias("next"))
-            parents = cut(parents.join(nodes, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-            if parents.where("moved").isEmpty():
+            twice = parents.join(nodes, "root").select("id", "root", "next")
+            far = twice.join(nodes.select(F.col("root").alias("next"), F.col("next").alias("last")), "next")
+            jumped = stage(far.select("id", F.col("last").alias("root"), (F.col("last") != F.col("root")).alias("moved")), "parents")
+            parents = jumped.select("id", "root")
+            if jumped.where("moved").isEmpty():
                 break
-            parents = parents.select("id", "root")
-        parents = parents.select("id", "root")
         if labels is None:
             labels = parents.withColumnRenamed("root", "component")
         else:
             step = parents.select(F.col("id").alias("component"), F.col("root").alias("next"))
-            labels = cut(labels.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component")))
+            labels = labels.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+            labels = stage(labels, "labels")
         ends = parents.select(F.col("id").alias("a"), F.col("root").alias("ra"))
         edges = edges.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
-        edges = cut(edges.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        edges = stage(edges.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels

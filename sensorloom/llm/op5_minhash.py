@@ -27,7 +27,7 @@ class Near:
     bands: int = 48
     seed: int = 17
     #: Rounds in which groups of a bucket are tried by one member each before all pairs of groups are.
-    star_rounds: int = 4
+    star_rounds: int = 3
     #: Two sets of similarity 0.8 differ in 12.8 of the SKETCH low bits of their signatures on average, with
     #: a deviation of 3.4; pairs that differ in more than this are not fetched.
     sketch_bits: int = 32
