@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,21 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components as the given ones, one per vertex at most."""
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[x], root[y])
+        np.minimum.at(low, root[y], root[x])
+        low = low[root]
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            break
+        root = low
+    moved = root != np.arange(len(ids))
+    return ids[moved], ids[root[moved]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import scratch, stage, table, words_of
-from sensorloom.llm.components import components
+from sensorloom.llm.components import components, forest
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,10 @@ class Near:
     bands: int = 48
     seed: int = 17
     #: Rounds in which groups of a bucket are tried by one member each before all pairs of groups are.
-    star_rounds: int = 3
+    star_rounds: int = 2
+    #: Members above which a bucket is compared in blocks, and documents of a block.
+    large: int = 64
+    block: int = 256
     #: Two sets of similarity 0.8 differ in 12.8 of the SKETCH low bits of their signatures on average, with
     #: a deviation of 3.4; pairs that differ in more than this are not fetched.
     sketch_bits: int = 32
@@ -165,8 +169,9 @@ def near_links(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
        member stands for each component found so far, and that of the largest is compared with the others.
        Every comparison is exact, on the sets of the whole texts. Rounds and buckets differ in who stands
        for a component, so a member that is not similar to one of it meets many others.
-    3. Pairs of different components that still share two band keys are compared one by one. So no link is
-       lost to a star whose centre is not similar to two members that are similar to each other.
+    3. What different components still share buckets is compared in full, so no link is lost to a star
+       whose centre is not similar to two members that are similar to each other. Members of small buckets
+       are paired if they share two band keys; large buckets go by blocks (`_block_links`).
 
     Pairs whose sizes rule out the threshold, or whose sketches make it a matter of one in a million, are
     dropped before texts are fetched.
@@ -183,44 +188,101 @@ def near_links(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     members = stage(cells.join(shared.select("key"), "key").select("key", "id", "n", "s1", "s2").distinct(), "buckets")
     texts = stage(rows.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     # Rows that share an id but not a text are one vertex; its links are those of its representative rows.
-    links, tried, parts = None, None, None
     apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("c2")))
     able = (F.least("n", "cn") * 100 >= F.greatest("n", "cn") * near.percent) & (apart <= near.sketch_bits)
     other = [F.col(f"c.m.{x}").alias(y) for x, y in (("id", "cid"), ("n", "cn"), ("s1", "c1"), ("s2", "c2"))]
-    for turn in range(near.star_rounds + 1):
-        placed = members.withColumn("part", F.col("id"))
-        if parts is not None:
-            placed = members.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-            mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-            placed = stage(placed.join(mixed.select("key"), "key", "left_semi"), "mixed")
-            if placed.isEmpty():
-                break
-        if turn < near.star_rounds:
-            chance = F.xxhash64("id", "key", F.lit(turn)) if turn else F.xxhash64("id")
-            order = F.struct(chance.alias("h"), "id", "n", "s1", "s2")
-            stands = placed.groupBy("key", "part").agg((-F.count("*")).alias("less"), F.min(order).alias("m"))
-            if not turn:
-                stands = placed.select("key", F.lit(-1).alias("less"), order.alias("m"))
-            centre = stands.groupBy("key").agg(F.min(F.struct("less", "m")).alias("c"))
-            near_pairs = stands.join(centre, "key").select("m.*", *other).where("id <> cid").where(able)
-            pairs = near_pairs.select(*_pairs("id", "cid")).distinct()
-        else:
-            far = [F.col(x).alias(y) for x, y in (("id", "cid"), ("n", "cn"), ("s1", "c1"), ("s2", "c2"), ("part", "cpart"))]
-            all_pairs = placed.join(placed.select("key", *far), "key").where("part < cpart").where(able)
-            # Two sets of similarity 0.8 share one key alone in 8 cases of a million.
-            pairs = all_pairs.select(*_pairs("id", "cid")).groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1").select("a", "b")
+    placed = members.withColumn("part", F.col("id"))
+    links = tried = None
+    for turn in range(near.star_rounds):
+        chance = F.xxhash64("id", "key", F.lit(turn)) if turn else F.xxhash64("id")
+        order = F.struct(chance.alias("h"), "id", "n", "s1", "s2")
+        stands = placed.groupBy("key", "part").agg((-F.count("*")).alias("less"), F.min(order).alias("m"))
+        if not turn:
+            stands = placed.select("key", F.lit(-1).alias("less"), order.alias("m"))
+        centre = stands.groupBy("key").agg(F.min(F.struct("less", "m")).alias("c"))
+        near_pairs = stands.join(centre, "key").select("m.*", *other).where("id <> cid").where(able)
+        pairs = near_pairs.select(*_pairs("id", "cid")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         found = stage(_verified(pairs, texts, near), "links")
         links = found if links is None else links.union(found)
-        if turn == near.star_rounds:
-            break
-        parts = stage(components(links, "a", "b"), "parts")
+        placed = _still_mixed(members, stage(components(links, "a", "b"), "parts"))
+        if placed.isEmpty():
+            return signed.select("id", "n"), links.union(copies)
+    sizes = placed.groupBy("key").agg(F.count("*").alias("m"))
+    small = placed.join(sizes.where(F.col("m") <= near.large).select("key"), "key", "left_semi")
+    far = [F.col(x).alias(y) for x, y in (("id", "cid"), ("n", "cn"), ("s1", "c1"), ("s2", "c2"), ("part", "cpart"))]
+    met = small.join(small.select("key", *far), "key").where("part < cpart").where(able)
+    # Two sets of similarity 0.8 share one key alone in 8 cases of a million; where the other keys they
+    # share are those of large buckets, the blocks find them.
+    pairs = met.select(*_pairs("id", "cid")).groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1").select("a", "b")
+    pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(stage(_verified(pairs, texts, near), "links"))
+    large = stage(placed.join(sizes.where(F.col("m") > near.large).select("key"), "key", "left_semi").select("key", "id", "part"), "large")
+    if not large.isEmpty():
+        links = links.union(stage(_block_links(large, texts, near), "links"))
     return signed.select("id", "n"), links.union(copies)
 
 
+def _still_mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their component as `part`."""
+    placed = members.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    return stage(placed.join(mixed.select("key"), "key", "left_semi"), "mixed")
+
+
+def _block_links(large: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """Links between different components among the members (key, id, part) of large buckets.
+
+    Buckets that share members form a cluster, so that what meets in many bands is compared once. A
+    cluster's largest component and its other members are dealt to blocks of near.block documents; every
+    block of others meets every other block and every block of the largest, which needs no comparison
+    within itself. A task holds two blocks, counts common shingles of all its pairs at once, and
+    returns a spanning forest of the links between components.
+    """
+    low = large.groupBy("key").agg(F.min("id").alias("low"))
+    clusters = components(large.join(low, "key").select("id", "low"), "id", "low").select("id", F.col("component").alias("cluster"))
+    rows = large.select("id", "part").distinct().join(clusters, "id")
+    counts = rows.groupBy("cluster", "part").agg(F.count("*").alias("m"))
+    top = counts.groupBy("cluster").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("all"))
+    blocks = lambda m: F.greatest(F.ceil(m / F.lit(float(near.block))), F.lit(1))
+    top = top.select("cluster", F.col("top.part").alias("main"), blocks(F.col("top.m")).alias("mains"), blocks(F.col("all") - F.col("top.m")).alias("others"))
+    rows = rows.join(top, "cluster")
+    is_main = F.col("part") == F.col("main")
+    own = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others")))
+    each = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    with_others = F.transform(each(F.col("others")), lambda b: cell("m", b, own))
+    of_other = F.concat(
+        F.transform(each(F.col("others")), lambda b: cell("o", F.least(own, b), F.greatest(own, b))),
+        F.transform(each(F.col("mains")), lambda b: cell("m", own, b)),
+    )
+    dealt = rows.select("cluster", "id", "part", F.inline(F.when(is_main, with_others).otherwise(of_other)))
+    dealt = dealt.join(texts, "id").select("cluster", "kind", "x", "y", "id", "part", "text")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingle_set(t, near.words) for t in frame["text"]]
+        seen = Counter(s for x in sets for s in x)
+        column = {s: i for i, s in enumerate(s for s, k in seen.items() if k > 1)}
+        cells = [np.array([column[s] for s in x if s in column], np.int64) for x in sets]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, len(column), 4096):
+            part = np.zeros((len(sets), 4096), np.float32)
+            for i, c in enumerate(cells):
+                part[i, c[(c >= at) & (c < at + 4096)] - at] = 1
+            both += part @ part.T
+        n = np.array([len(x) for x in sets], np.float64)
+        group = frame["part"].to_numpy(np.int64)
+        near_enough = 100 * both.astype(np.float64) >= near.percent * (n[:, None] + n[None, :] - both)
+        i, j = np.nonzero(np.triu(near_enough & (group[:, None] != group[None, :]), 1))
+        a, b = forest(group[i], group[j])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return dealt.groupBy("cluster", "kind", "x", "y").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text).
 

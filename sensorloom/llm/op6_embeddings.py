@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import opened, removed, scratch, stage, table, work_folder, written
-from sensorloom.llm.components import components
+from sensorloom.llm.components import components, forest
 from sensorloom.llm.hnsw import Graph, units
 
 COSINE = 0.9
@@ -58,24 +58,6 @@ def _build(classes: DataFrame, folder: str) -> list[tuple[int, str]]:
     return sorted((r["dim"], r["path"]) for r in rows)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links with the same components as the given ones, one per vertex at most."""
-    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    root = np.arange(len(ids))
-    while True:
-        low = root.copy()
-        np.minimum.at(low, root[x], root[y])
-        np.minimum.at(low, root[y], root[x])
-        low = low[root]
-        low = np.minimum(low, low[low])
-        if (low == root).all():
-            break
-        root = low
-    moved = root != np.arange(len(ids))
-    return ids[moved], ids[root[moved]]
-
-
 def _search(classes: DataFrame, shards: list[tuple[int, str]], cosine: float, beam: int, pairs: bool = False) -> DataFrame:
     """Ask every shard for every vector. (id, links, other): rows with the number of links of a vector to
     one shard, and rows with links 0 that join id and other; all pairs instead if asked for."""
@@ -99,7 +81,7 @@ def _search(classes: DataFrame, shards: list[tuple[int, str]], cosine: float, be
                         continue
                     n = np.bincount(i, weights=data["copies"][j], minlength=len(own)).astype(np.int64)
                     yield pd.DataFrame({"id": own[n > 0], "links": n[n > 0], "other": own[n > 0]})
-                    a, b = _forest(own[i], data["ids"][j])
+                    a, b = forest(own[i], data["ids"][j])
                     yield pd.DataFrame({"id": a, "links": 0, "other": b})
 
     return classes.select("rep", "dim", "v").mapInPandas(ask, "id long, links long, other long")
