@@ -28,6 +28,7 @@ SEED = 3
 class _Writer:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.style = ""  # how the article of the page is written; what is around it is plain
         self.syllables = ["".join(self.r.choice("bcdfghlmnprstvwaeiouéäñ") for _ in range(self.r.randint(1, 3))) for _ in range(60)]
 
     def word(self) -> str:
@@ -42,11 +43,14 @@ class _Writer:
             n = min(left, self.r.randint(1, 18))
             left -= n
             out.append(self.phrase(n, n) + self.r.choice((".", ".", ".", "!", "?", ", " + self.word() + ".")))
-        if self.r.random() < 0.08:
-            out = [" ".join(w + self.r.choice(("***", "###", "&amp;", "|", "!!")) for w in " ".join(out).split())]
-        if self.r.random() < 0.04:
-            out = [" ".join(out).upper()]
-        return " ".join(out)
+        text = " ".join(out)
+        if self.style == "signs":
+            text = " ".join(w + self.r.choice(("***", "###", "&amp;&amp;&amp;", "%%%", "$$$")) for w in text.split())
+        elif self.style == "bars":
+            text = " | ".join(text.split())
+        elif self.style == "loud":
+            text = " ".join(w + "!!" for w in text.upper().split())
+        return text
 
     def tag(self, name: str, names: str, inner: str, keep: int) -> str:
         words = names.split("/")
@@ -104,11 +108,19 @@ class _Writer:
         """Blocks of an article and what they are to be wrapped in."""
         long = self.r.random() < 0.85
         blocks = []
+        self.style = self.r.choices(("", "signs", "bars", "loud"), (80, 8, 6, 6))[0]
         if self.r.random() < 0.75:
             title = f"<h1>{self.phrase(1, 10)}</h1>"
             blocks.append(f"<header>{title}</header>" if self.r.random() < 0.12 else title)
-        for _ in range(self.r.randint(1, 14) if long else self.r.randint(0, 2)):
-            text = self.prose(*((1, 120) if long else (1, 12)))
+        line = self.prose(1, 9) if self.r.random() < 0.15 else None
+        many = self.r.choices((6, 14, 40, 90), (30, 45, 15, 10))[0]
+        most = self.r.choices((12, 120, 500), (15, 65, 20))[0]
+        for _ in range(self.r.randint(1, many) if long else self.r.randint(0, 3)):
+            text = self.prose(*((1, most) if long else (1, 12)))
+            if line and self.r.random() < 0.7:  # one line again and again
+                text = line
+            elif self.r.random() < 0.02:
+                text = " ".join([self.word()] * self.r.randint(2, 300))
             if self.r.random() < 0.15:
                 w = text.split()
                 text = " ".join(f'<a href="/x">{x}</a>' if self.r.random() < 0.1 else x for x in w)
@@ -120,7 +132,10 @@ class _Writer:
                 (60, 8, 6, 4, 6, 3, 4, 2, 1, 2, 4),
             )[0])
             if self.r.random() < 0.05:
+                style, self.style = self.style, ""
                 blocks.append(self.r.choice((self.advert, self.side, self.form, self.notice))())
+                self.style = style
+        self.style = ""
         return "".join(blocks), self.r.choice(("article", "article", "article", "main", "div", "div", "div", "section", "td"))
 
     def page(self) -> str:

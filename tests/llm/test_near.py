@@ -48,6 +48,24 @@ def test_groups_are_those_of_all_pairs(spark, n):
     assert len(set(want.values())) < len(want)
 
 
+def test_large_buckets_in_blocks(spark):
+    """Copies of one text with so many edits that most are not similar to the original."""
+    r = random.Random(3)
+    base = prose(1, 148)
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(r.randrange(0, 9)):
+            words[r.randrange(148)] = f"e{r.randrange(200)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: shingles(t, 5) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = roots(sets, links)
+    found = near_duplicates(table(spark, rows), Near(star_rounds=1, large=10, block=16)).collect()
+    assert {x.doc_id: x.component_id for x in found} == want
+    assert 10 < len(set(want.values())) < 160
+
+
 def test_awkward_rows(spark):
     found = near_duplicates(table(spark, AWKWARD)).collect()
     assert len(found) == len(AWKWARD)
