@@ -67,7 +67,7 @@ class Code:
         rank = self.rank[np.frombuffer(raw, "<u2")]
         far = rank - self.short
         first = np.where(far < 0, rank, self.short + (far >> 8)).astype(np.uint8)
-        return zlib.compress(first.tobytes() + (far[far >= 0] & 255).astype(np.uint8).tobytes(), 6)
+        return zlib.compress(first.tobytes() + (far[far >= 0] & 255).astype(np.uint8).tobytes(), 1)
 
     def decode(self, data: bytes, n: int) -> bytes:
         data = np.frombuffer(zlib.decompress(data), np.uint8)

@@ -11,7 +11,7 @@ import numpy as np
 SEGMENT = re.compile(r"[\n\t]| *[^ \n\t]+| +")
 SPACE = "▁"
 #: Entries of a worker's cache; it is emptied when full, so memory is bounded.
-CACHE = 200_000
+CACHE = 500_000
 
 
 def segments(text: str) -> list[str]:
