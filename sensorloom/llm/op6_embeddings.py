@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pandas as pd
@@ -58,9 +58,22 @@ def _build(classes: DataFrame, folder: str) -> list[tuple[int, str]]:
     return sorted((r["dim"], r["path"]) for r in rows)
 
 
-def _search(classes: DataFrame, shards: list[tuple[int, str]], cosine: float, beam: int, pairs: bool = False) -> DataFrame:
+def _all_within(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """What `Graph.within` gives, from all rows in blocks and without the graph's links."""
+    found = []
+    for at in range(0, len(q), 512):
+        for low in range(0, len(x), 8_192):
+            i, j = np.nonzero(q[at : at + 512] @ x[low : low + 8_192].T >= least)
+            found.append((i + at, j + low))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def _search(
+    classes: DataFrame, shards: list[tuple[int, str]], cosine: float, beam: int, pairs: bool = False, exact: Set[str] = frozenset()
+) -> DataFrame:
     """Ask every shard for every vector. (id, links, other): rows with the number of links of a vector to
-    one shard, and rows with links 0 that join id and other; all pairs instead if asked for."""
+    one shard, and rows with links 0 that join id and other; all pairs instead if asked for. Shards in
+    `exact` are compared row by row."""
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -70,7 +83,11 @@ def _search(classes: DataFrame, shards: list[tuple[int, str]], cosine: float, be
                 for _, path in (s for s in shards if s[0] == dim):
                     with opened(path) as file:
                         graph, data = Graph.load(file.read())
-                    i, j = graph.within(q, cosine - 1e-3, beam)
+                    if path in exact:
+                        i, at = _all_within(q, graph.x, cosine - 1e-3)
+                        j = graph.order[at]
+                    else:
+                        i, j = graph.within(q, cosine - 1e-3, beam)
                     good = np.concatenate([np.empty(0, bool), *(
                         _cosines(raw[i[k : k + 50_000]], data["raw"][j[k : k + 50_000]]) >= cosine for k in range(0, len(i), 50_000)
                     )])
@@ -87,9 +104,13 @@ def _search(classes: DataFrame, shards: list[tuple[int, str]], cosine: float, be
     return classes.select("rep", "dim", "v").mapInPandas(ask, "id long, links long, other long")
 
 
-def _audited_beam(classes: DataFrame, shards: list[tuple[int, str]], cosine: float, beam: int, audit: int, recall: float) -> int:
+def _audited(
+    classes: DataFrame, shards: list[tuple[int, str]], cosine: float, beam: int, audit: int, recall: float
+) -> tuple[int, frozenset[str]]:
     """The first beam that finds the asked share of the links of a fixed number of vectors, which are those
-    with the smallest hashes. Their true links come from comparing them with all rows, a block at a time."""
+    with the smallest hashes, and the shards to compare with all rows. Their true links come from comparing
+    them with all rows, a block at a time. Where the widest beam fails too, every shard in which a link
+    was missed is compared; an error if that falls short as well."""
     chosen = stage(classes.orderBy(F.xxhash64("rep"), "rep").limit(audit), "audit")
     parts = chosen.select("rep", "dim", "v").collect()
     by_dim = {d: [(r["rep"], np.array(r["v"])) for r in parts if r["dim"] == d] for d in {r["dim"] for r in parts}}
@@ -103,16 +124,26 @@ def _audited_beam(classes: DataFrame, shards: list[tuple[int, str]], cosine: flo
                     names = np.array([r for r, _ in asked])
                     i, j = np.nonzero(_scaled(q) @ _scaled(raw).T >= cosine - 1e-3)
                     good = (_cosines(q[i], raw[j]) >= cosine) & (names[i] != ids[j]) if len(i) else np.empty(0, bool)
-                    yield pd.DataFrame({"id": names[i[good]], "other": ids[j[good]]})
+                    where = block["shard"].to_numpy(np.int64)[j[good]]
+                    yield pd.DataFrame({"id": names[i[good]], "other": ids[j[good]], "dim": dim, "shard": where})
 
-    true = stage(classes.select("rep", "dim", "v").mapInPandas(compare, "id long, other long"), "true")
+    true = classes.select("rep", "dim", "v", "shard").mapInPandas(compare, "id long, other long, dim int, shard int")
+    true = stage(true, "true")
     n = true.count()
-    while n and beam < WIDEST:
-        found = _search(chosen, shards, cosine, beam, pairs=True).select("id", "other").distinct()
-        if true.join(found, ["id", "other"], "left_semi").count() >= recall * n:
+    exact: frozenset[str] = frozenset()
+    while n:
+        found = _search(chosen, shards, cosine, beam, pairs=True, exact=exact).select("id", "other").distinct()
+        missed = true.join(found, ["id", "other"], "left_anti")
+        missed = {(r["dim"], r["shard"]): r["count"] for r in missed.groupBy("dim", "shard").count().collect()}
+        if n - sum(missed.values()) >= recall * n:
             break
-        beam *= 2
-    return beam
+        if exact:
+            raise RuntimeError(f"{sum(missed.values())} of {n} audited links are missed, also where all rows are compared")
+        if beam < WIDEST:
+            beam = min(2 * beam, WIDEST)
+        else:
+            exact = frozenset(path for dim, path in shards if any(path.endswith(f"/{d}-{k}.npz") for d, k in missed if d == dim))
+    return beam, exact
 
 
 def near_vectors(
@@ -125,7 +156,8 @@ def near_vectors(
        so a third of all rows being one vector adds one row. Their links among themselves are counted.
     2. Classes are dealt to shards by a hash; a task builds the graph of one shard, of at most shard_rows
        vectors, and writes it to the shared folder. Every vector is indexed.
-    3. An audit settles the beam; a query whose beam fills with links is asked again with a wider one.
+    3. An audit settles the beam; a query whose beam fills with links is asked again with a wider one. Shards
+       whose graph misses links at the widest beam are compared row by row.
     4. Blocks of vectors ask every shard. What is found is verified in double precision. A block returns
        counts and a spanning forest of its links per shard, not the pairs.
     5. Forests are joined to components.
@@ -150,8 +182,8 @@ def near_vectors(
         classes = stage(classes.withColumns({"dim": F.size("v"), "shard": shard}).repartition(blocks, "rep"), "vector_classes")
         folder = work_folder(rows.sparkSession, "graphs")
         graphs = _build(classes, folder)
-        beam = _audited_beam(classes, graphs, cosine, beam, audit, recall)
-        found = stage(_search(classes.repartition(blocks, "rep"), graphs, cosine, beam), "vector_links")
+        beam, exact = _audited(classes, graphs, cosine, beam, audit, recall)
+        found = stage(_search(classes.repartition(blocks, "rep"), graphs, cosine, beam, exact=exact), "vector_links")
         removed(rows.sparkSession, folder)
         members = ids.join(classes.select("d1", "d2", "rep", "copies"), ["d1", "d2"]).select("vec_id", "rep", "copies")
         members = stage(members, "members")

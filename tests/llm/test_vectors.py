@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from sensorloom.llm import op6_embeddings as op6
+from sensorloom.llm.common import opened, written
 from sensorloom.llm.hnsw import Graph, units
 from sensorloom.llm.op6_embeddings import near_vectors
 
@@ -64,3 +66,32 @@ def test_empty_and_single(spark):
     assert near_vectors(empty).collect() == []
     one = spark.createDataFrame([(1, [1.0, 0.0], *[None] * 5), (1, [1.0, 0.0], *[None] * 5)], SCHEMA)
     assert [(r.n_links, r.component_id) for r in near_vectors(one).collect()] == [(0, 1)] * 2
+
+
+def without_ways(monkeypatch, lost):
+    """Graphs of this test have no link to the vertices of the ids in `lost`, so no beam reaches them."""
+    build = op6._build
+
+    def poor(classes, folder):
+        shards = build(classes, folder)
+        for _, path in shards:
+            with opened(path) as file:
+                graph, data = Graph.load(file.read())
+            shut = np.isin(data["ids"][graph.order], lost)
+            for links in graph.layers:
+                links[(links >= 0) & shut[links]] = -1
+            with written(path) as out:
+                out.write(graph.dump(**data))
+        return shards
+
+    monkeypatch.setattr(op6, "_build", poor)
+
+
+def test_graphs_in_pieces_lose_no_links(spark, monkeypatch):
+    """The widest beam is audited too, and what it misses is found without the graph."""
+    without_ways(monkeypatch, list(range(400)))
+    x = vectors(400, 50)
+    frame = spark.createDataFrame([(i, [float(v) for v in x[i]], *[None] * 5) for i in range(len(x))], SCHEMA)
+    found = {r.vec_id: r.n_links for r in near_vectors(frame, shards=2, beam=1_536).collect()}
+    m = units(x.astype(np.float64)).astype(np.float64)
+    assert found == dict(enumerate(((m @ m.T >= 0.9).sum(axis=1) - 1).tolist()))
