@@ -19,6 +19,8 @@ SHARDS, SHARD_ROWS = 6, 200_000
 BEAM, WIDEST = 48, 3_072
 #: Vectors whose links are also found by comparing them with all others, and the share to be found.
 AUDIT, RECALL = 600, 0.98
+#: Vectors the audited ones are drawn from, and links of a vector that has few.
+POOL, FEW = 6_000, 16
 
 
 def _usable(v: Column) -> Column:
@@ -104,14 +106,43 @@ def _search(
     return classes.select("rep", "dim", "v").mapInPandas(ask, "id long, links long, other long")
 
 
+def _drawn(classes: DataFrame, cosine: float, audit: int) -> DataFrame:
+    """The rows of `audit` vectors with links out of the POOL with the smallest hashes: two of three have few
+    links, if there are so many. Links are counted against all rows; what has none has none to miss."""
+    pool = stage(classes.orderBy(F.xxhash64("rep"), "rep").limit(max(POOL, audit)), "pool")
+    by_dim: dict[int, list] = {}
+    for r in pool.select("rep", "dim", "v").orderBy(F.xxhash64("rep"), "rep").collect():
+        by_dim.setdefault(r["dim"], []).append((r["rep"], np.array(r["v"], np.float32)))
+    asked = {d: (np.array([r for r, _ in x], np.int64), np.stack([v for _, v in x])) for d, x in by_dim.items()}
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        units_of = {d: _scaled(v) for d, (_, v) in asked.items()}
+        for frame in frames:
+            for dim, block in frame.groupby("dim"):
+                if dim in asked:
+                    x = _scaled(_matrix(block["v"]))
+                    n = sum(((units_of[dim] @ x[at : at + 1_024].T) >= cosine).sum(axis=1) for at in range(0, len(x), 1_024))
+                    yield pd.DataFrame({"id": asked[dim][0], "n": n})
+
+    found = classes.select("dim", "v").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    links = {r["id"]: r["n"] - 1 for r in found.collect()}  # one of them is the vector itself
+    order = [r for ids, _ in asked.values() for r in ids.tolist() if links.get(r, 0) > 0]
+    few, many = [r for r in order if links[r] <= FEW], [r for r in order if links[r] > FEW]
+    most = max(audit - len(many), audit * 2 // 3)
+    reps = few[:most]
+    reps += many[: audit - len(reps)]
+    return pool.where(F.col("rep").isin(reps)) if reps else pool.limit(0)
+
+
 def _audited(
     classes: DataFrame, shards: list[tuple[int, str]], cosine: float, beam: int, audit: int, recall: float
 ) -> tuple[int, frozenset[str]]:
-    """The first beam that finds the asked share of the links of a fixed number of vectors, which are those
-    with the smallest hashes, and the shards to compare with all rows. Their true links come from comparing
-    them with all rows, a block at a time. Where the widest beam fails too, every shard in which a link
-    was missed is compared; an error if that falls short as well."""
-    chosen = stage(classes.orderBy(F.xxhash64("rep"), "rep").limit(audit), "audit")
+    """The first beam that finds the asked share of the links of a fixed number of vectors, and the shards to
+    compare with all rows. Their true links come from comparing them with all rows, a block at a time. The
+    share is to be found of all links, of a vector's links on the mean, and on the mean of those with few
+    links, so that no large group speaks for the small ones. Where the widest beam fails too, every shard
+    in which a link was missed is compared; an error if that falls short as well."""
+    chosen = stage(_drawn(classes, cosine, audit), "audit")
     parts = chosen.select("rep", "dim", "v").collect()
     by_dim = {d: [(r["rep"], np.array(r["v"])) for r in parts if r["dim"] == d] for d in {r["dim"] for r in parts}}
 
@@ -129,16 +160,21 @@ def _audited(
 
     true = classes.select("rep", "dim", "v", "shard").mapInPandas(compare, "id long, other long, dim int, shard int")
     true = stage(true, "true")
-    n = true.count()
+    links = {r["id"]: r["count"] for r in true.groupBy("id").count().collect()}
+    few = [r for r, n in links.items() if n <= FEW]
     exact: frozenset[str] = frozenset()
-    while n:
+    while links:
         found = _search(chosen, shards, cosine, beam, pairs=True, exact=exact).select("id", "other").distinct()
-        missed = true.join(found, ["id", "other"], "left_anti")
-        missed = {(r["dim"], r["shard"]): r["count"] for r in missed.groupBy("dim", "shard").count().collect()}
-        if n - sum(missed.values()) >= recall * n:
+        missed_ = true.join(found, ["id", "other"], "left_anti").groupBy("dim", "shard", "id").count().collect()
+        missed, lost = {(r["dim"], r["shard"]) for r in missed_}, dict.fromkeys(links, 0)
+        for r in missed_:
+            lost[r["id"]] += r["count"]
+        mean = lambda ids: 1 - sum(lost[r] / links[r] for r in ids) / max(1, len(ids))
+        shares = (1 - sum(lost.values()) / sum(links.values()), mean(list(links)), mean(few))
+        if min(shares) >= recall:
             break
         if exact:
-            raise RuntimeError(f"{sum(missed.values())} of {n} audited links are missed, also where all rows are compared")
+            raise RuntimeError(f"recall of the audit is {min(shares):.4f}, also where all rows are compared")
         if beam < WIDEST:
             beam = min(2 * beam, WIDEST)
         else:

@@ -95,3 +95,15 @@ def test_graphs_in_pieces_lose_no_links(spark, monkeypatch):
     found = {r.vec_id: r.n_links for r in near_vectors(frame, shards=2, beam=1_536).collect()}
     m = units(x.astype(np.float64)).astype(np.float64)
     assert found == dict(enumerate(((m @ m.T >= 0.9).sum(axis=1) - 1).tolist()))
+
+
+def test_a_large_group_does_not_hide_missed_pairs(spark, monkeypatch):
+    """Of 40,000 links only those of pairs can't be found by the graph; they are some 70 of them."""
+    without_ways(monkeypatch, list(range(200)))
+    x = vectors(420, 200)
+    frame = spark.createDataFrame([(i, [float(v) for v in x[i]], *[None] * 5) for i in range(len(x))], SCHEMA)
+    found = {r.vec_id: r.n_links for r in near_vectors(frame, shards=2).collect()}
+    m = units(x.astype(np.float64)).astype(np.float64)
+    counts = (m @ m.T >= 0.9).sum(axis=1) - 1
+    assert 50 < counts[:200].sum() < 0.01 * counts.sum()
+    assert {i: found[i] for i in range(200)} == dict(enumerate(counts[:200].tolist()))
