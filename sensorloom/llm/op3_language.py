@@ -13,12 +13,12 @@ from sensorloom.llm.common import scratch, stage, table
 
 #: Character triples are hashed to so many cells.
 CELLS = 1 << 15
-#: Rows with a declared language that fit the text model, about; a documented bound.
+#: Distinct texts of a declared language that fit the text model, about; a documented bound.
 SAMPLE = 6_000
 #: Rows with another source of evidence weigh at most as much as so many triples of text.
 TEXT_WEIGHT = 60.0
-#: Share of a declared language in the sample below which it gets no model.
-LEAST_SHARE = 0.01
+#: Distinct texts of a declared language below which it gets no model.
+LEAST_TEXTS = 5
 UNKNOWN = "und"
 #: Share of a text's triples that may be noise in any language: keys, names, typing errors.
 NOISE = 0.1
@@ -40,8 +40,9 @@ def triples(text: str) -> np.ndarray:
 
 
 def fit_text_model(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities of triples from some `sample` rows (text, declared), chosen by a hash
-    of the text, so that order and partitions don't matter.
+    """Languages and log probabilities of triples from some `sample` distinct texts of each declared language
+    in the rows (text, declared), chosen by a hash of the text, so that order, partitions and copies don't
+    matter. Languages of fewer than LEAST_TEXTS texts are left out.
 
     Each task sums its rows' triples per language; the driver adds tables whose size does not depend on
     the rows. The last language is the unknown one: every triple is as likely there.
@@ -49,25 +50,26 @@ def fit_text_model(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
         for frame in frames:
             for text, lang in zip(frame["text"], frame["declared"], strict=True):
                 cells = triples(text)
                 # Every document weighs alike, so one long text is not a language's model.
                 sums[lang] = sums.get(lang, 0) + np.bincount(cells, minlength=CELLS) * (1000.0 / max(1000, len(cells)))
-                docs[lang] = docs.get(lang, 0) + 1
         if sums:
-            yield pd.DataFrame({"lang": list(sums), "n": [docs[x] for x in sums], "cells": [x.astype(np.float64) for x in sums.values()]})
+            yield pd.DataFrame({"lang": list(sums), "cells": [x.astype(np.float64) for x in sums.values()]})
 
     labelled = rows.where("text is not null and declared is not null").select("text", "declared")
-    share = int(min(1.0, sample / max(1, labelled.count())) * (1 << 30))
-    seen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).repartition(4)
-    parts = seen.mapInPandas(count, "lang string, n long, cells array<double>").collect()
-    total, docs = {}, {}
+    hashed = labelled.withColumn("hash", F.xxhash64("text"))
+    texts = hashed.select("declared", "hash").distinct().groupBy("declared").count().where(F.col("count") >= LEAST_TEXTS)
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")) * (1 << 30)
+    limits = stage(texts.select("declared", share.cast("long").alias("share")), "language_shares")
+    drawn = hashed.join(limits, "declared").where(F.pmod("hash", F.lit(1 << 30)) < F.col("share"))
+    seen = drawn.select("declared", "text").distinct().repartition(4)
+    parts = seen.mapInPandas(count, "lang string, cells array<double>").collect()
+    total = {}
     for r in parts:
         total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["cells"])
-        docs[r["lang"]] = docs.get(r["lang"], 0) + r["n"]
-    langs = sorted(x for x in total if docs[x] >= LEAST_SHARE * sum(docs.values()))
+    langs = sorted(total)
     table_ = np.full((len(langs) + 1, CELLS), -np.log(CELLS), np.float32)
     for i, x in enumerate(langs):
         smooth = total[x] + 0.05

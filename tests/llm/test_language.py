@@ -25,6 +25,20 @@ def test_text_decides_against_a_wrong_declaration(spark):
     assert all(found[i].lang == ("en" if i % 2 else "de") and found[i].kept for i in range(60))
 
 
+FR = "la maison du roi et le fleuve dans le nord avec toutes ses pierres et tous les ponts qui furent là"
+
+
+def test_a_rare_language_gets_a_model(spark):
+    """Eight French texts of 1,300 rows, 400 of which are copies of one text."""
+    rows = [(i, f"{EN if i % 2 else DE} {i}", "en" if i % 2 else "de", None) for i in range(892)]
+    rows += [(1_000 + i, EN, "en", None) for i in range(400)] + [(2_000 + i, f"{FR} {'abcdefgh'[i]}", "fr", None) for i in range(8)]
+    found = {r.id: r for r in op3.languages(op3.document_rows(table(spark, rows))).collect()}
+    assert all(found[2_000 + i].lang == "fr" and found[2_000 + i].kept for i in range(8))
+    langs, logs = op3.fit_text_model(op3.document_rows(table(spark, rows)).select("text", "declared"))
+    once = op3.fit_text_model(op3.document_rows(table(spark, [*rows[:893], *rows[-8:]])).select("text", "declared"))
+    assert langs == ["de", "en", "fr", op3.UNKNOWN] and (logs == once[1]).all()
+
+
 def test_priors_decide_where_text_is_thin(spark):
     rows = op3.document_rows(table(spark, docs())).withColumn("host", F.when(F.col("declared") == "de", "a.example.de").otherwise("a.example.com"))
     thin = spark.createDataFrame([(200, "ein an", None, None, "a.example.de"), (201, "ein an", None, None, "b.example.de")], rows.schema)
