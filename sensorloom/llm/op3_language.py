@@ -94,7 +94,7 @@ def domain_of(host: Column) -> Column:
 
 
 def markup_language(html: Column) -> Column:
-    found = F.regexp_extract(F.substring(html, 1, 2_000), r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)
+    found = F.regexp_extract(html, r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)
     return F.lower(F.when(found != "", found))
 
 

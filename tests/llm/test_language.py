@@ -58,6 +58,12 @@ def test_addresses_and_markup(spark):
     assert all(r.found == r.want for r in html.select("want", op3.markup_language(F.col("html")).alias("found")).collect())
 
 
+def test_declared_language_behind_a_long_preamble(spark):
+    late = [("<!-- " + "licence " * 5_000 + "--><html lang=nl>", "nl"), ("<html " + "data-x=1 " * 400 + "lang='fr'>", "fr"), (" " * 9_000 + "<p>", None)]
+    html = spark.createDataFrame(late, "html string, want string")
+    assert all(r.found == r.want for r in html.select("want", op3.markup_language(F.col("html")).alias("found")).collect())
+
+
 def test_awkward_rows(spark):
     frame = table(spark, [*docs(), *AWKWARD])
     found = op3.languages(op3.document_rows(frame)).collect()
