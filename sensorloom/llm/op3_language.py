@@ -203,10 +203,14 @@ def page_rows(pages: DataFrame) -> DataFrame:
 def identified(docs: DataFrame, **options) -> DataFrame:
     """The documents whose language is known with enough confidence; columns unchanged.
 
-    A row is out if any row of its doc_id is rejected; rows with a null id are judged as one such id.
+    Each row is judged by itself, whatever its doc_id: rows are told apart by their id and all evidence.
     """
-    out = stage(languages(document_rows(docs), **options).where("not kept").select(F.col("id").alias("__id")).distinct(), "rejected")
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    # Null fields are left out of the JSON, so a null is no value of its own and differs from every other.
+    key = F.to_json(F.struct("doc_id", "lang", "source", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text")))
+    keyed = docs.withColumn("__key", key)
+    rows = document_rows(keyed.withColumn("doc_id", F.col("__key")))
+    out = stage(languages(rows, **options).where("not kept").select(F.col("id").alias("__key")).distinct(), "rejected")
+    return keyed.join(out, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

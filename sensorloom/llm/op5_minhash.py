@@ -312,20 +312,30 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 def deduplicated(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """The documents with one of each group kept, the one with the smallest doc_id; columns unchanged.
 
-    Of rows that repeat an id one stays, the first by text, null last. Rows with a null id stay.
+    Rows are told apart by doc_id and text, so different texts under one id are documents of their own, and
+    rows with a null id, the last in order, are compared too. Of rows that repeat id and text one stays,
+    except those with neither an id nor a word, which all stay.
     """
-    sizes = near_duplicates(docs.select("doc_id", "text"), near)
-    ids = sizes.groupBy("doc_id").agg(F.min("kept").alias("keep"), F.count("*").alias("times")).where("doc_id is not null")
-    ids = stage(ids.select(F.col("doc_id").alias("__id"), "keep", "times"), "kept")
-    out = stage(ids.where("not keep or times > 1").select("__id"), "dropped")
-    once = docs.join(out, F.col("doc_id") == F.col("__id"), "left_anti")
-    again = ids.where("keep and times > 1").select("__id")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    with scratch(docs.sparkSession) as keep:
+        links = near_links(keyed.select(F.col("__key").alias("id"), F.col("text").cast("string").alias("text")), near)[1]
+        parts = components(links, "a", "b").select(F.col("id").alias("__key"), "component")
+        named = keyed.where("doc_id is not null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+        keys = named.groupBy("__key").agg(F.min("doc_id").alias("own"), F.count("*").alias("times"))
+        keys = stage(keys.join(parts, "__key", "left"), "keys")
+        order = F.struct(F.col("own").isNull(), "own", "__key")
+        first = keys.where("component is not null").groupBy("component").agg(F.min_by("__key", order).alias("first"))
+        judged = keys.join(first, "component", "left").withColumn("keep", F.coalesce(F.col("__key") == F.col("first"), F.lit(True)))
+        ids = keep(judged.where("not keep or times > 1").select("__key", "keep"), "dropped")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = keyed.join(ids, "__key", "left_anti").select(*columns)
+    again = ids.where("keep").select("__key")
     if again.isEmpty():
         return once
-    rows = docs.join(again, F.col("doc_id") == F.col("__id"), "left_semi")
-    order = F.struct(F.col("text").isNull(), F.col("text"))
-    first = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("r"))
-    return once.unionByName(first.select(*[F.col("r").getField(c).alias(c) for c in docs.columns]))
+    rows = keyed.join(again, "__key", "left_semi")
+    whole = F.struct(*columns)
+    chosen = rows.groupBy("__key").agg(F.min_by(whole, F.to_json(whole)).alias("r"))
+    return once.unionByName(chosen.select(*[F.col("r").getField(c).alias(c) for c in docs.columns]))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,13 @@ def test_declared_language_behind_a_long_preamble(spark):
     assert all(r.found == r.want for r in html.select("want", op3.markup_language(F.col("html")).alias("found")).collect())
 
 
+def test_a_rejected_row_takes_no_other_of_its_id_along(spark):
+    rows = [*docs(), (None, None, "en", "h0"), (None, "%%% 1", None, None), (None, f"{EN} x", "en", "h1"), (7, "### 2", "de", "h1")]
+    kept = op3.identified(table(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, i) for i in range(60)] + [(True, 0)]
+    assert all(r.text.startswith((EN, DE)) for r in kept)
+
+
 def test_awkward_rows(spark):
     frame = table(spark, [*docs(), *AWKWARD])
     found = op3.languages(op3.document_rows(frame)).collect()

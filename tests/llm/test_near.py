@@ -85,6 +85,15 @@ def test_one_of_each_group_stays_with_all_columns(spark):
     assert sorted(r.doc_id for r in twice.collect()) == [1, 2]
 
 
+def test_rows_of_one_id_or_none_are_documents_of_their_own(spark):
+    one, two, three = (" ".join(prose(i, 60)) for i in (1, 2, 3))
+    rows = [(1, one), (1, two), (2, one), (None, two), (None, three), (None, three), (None, three + " end"), (None, ""), (None, None), (None, " ")]
+    kept = deduplicated(table(spark, rows)).collect()
+    assert sorted(r.text for r in kept if r.doc_id == 1) == sorted([one, two])
+    rest = [r.text for r in kept if r.doc_id is None]
+    assert len(kept) == 6 and sum(bool((t or "").strip()) for t in rest) == 1 and len(rest) == 4
+
+
 def test_empty_tables(spark):
     assert near_duplicates(table(spark, [])).collect() == []
     assert deduplicated(table(spark, [])).collect() == []
