@@ -171,7 +171,7 @@ def near_links(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
        for a component, so a member that is not similar to one of it meets many others.
     3. What different components still share buckets is compared in full, so no link is lost to a star
        whose centre is not similar to two members that are similar to each other. Members of small buckets
-       are paired if they share two band keys; large buckets go by blocks (`_block_links`).
+       are paired; large buckets go by blocks (`_block_links`).
 
     Pairs whose sizes rule out the threshold, or whose sketches make it a matter of one in a million, are
     dropped before texts are fetched.
@@ -215,9 +215,7 @@ def near_links(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     small = placed.join(sizes.where(F.col("m") <= near.large).select("key"), "key", "left_semi")
     far = [F.col(x).alias(y) for x, y in (("id", "cid"), ("n", "cn"), ("s1", "c1"), ("s2", "c2"), ("part", "cpart"))]
     met = small.join(small.select("key", *far), "key").where("part < cpart").where(able)
-    # Two sets of similarity 0.8 share one key alone in 8 cases of a million; where the other keys they
-    # share are those of large buckets, the blocks find them.
-    pairs = met.select(*_pairs("id", "cid")).groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1").select("a", "b")
+    pairs = met.select(*_pairs("id", "cid")).distinct()
     pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.union(stage(_verified(pairs, texts, near), "links"))
     large = stage(placed.join(sizes.where(F.col("m") > near.large).select("key"), "key", "left_semi").select("key", "id", "part"), "large")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from sensorloom.llm.components import components
-from sensorloom.llm.op5_minhash import Near, deduplicated, near_duplicates, shingle_hashes, shingle_set, signature, words_of
+from sensorloom.llm.op5_minhash import Near, band_keys, deduplicated, near_duplicates, shingle_hashes, shingle_set, signature, words_of
 
 from .brute import AWKWARD, DOCS, prose, roots, shingles, table
 
@@ -119,3 +119,16 @@ def test_components_of_stars_chains_and_loops(spark):
 
 def test_the_schema_of_the_fixture_has_clashing_names():
     assert " id long" in DOCS
+
+
+def test_one_shared_key_is_enough_in_small_buckets(spark):
+    """Two texts with one word in common, and a third with it that is similar to neither and may stand between them."""
+    near = Near(words=1, rows=1, bands=128, percent=1, sketch_bits=128, star_rounds=1)
+    rows = []
+    for k in range(300):
+        for j, n in enumerate((40, 40, 400)):
+            rows.append((3 * k + j, " ".join([f"p{k}", *(f"{'abx'[j]}{k}x{m}" for m in range(n - 1))])))
+    keys = [set(band_keys(signature(shingle_hashes(words_of(t), 1, {}), 128, near.seed), near).tolist()) for _, t in rows]
+    found = {r.doc_id: r.component_id for r in near_duplicates(table(spark, rows), near).collect()}
+    shared = [k for k in range(300) if keys[3 * k] & keys[3 * k + 1]]
+    assert len(shared) > 150 and all(found[3 * k + 1] == 3 * k for k in shared)
