@@ -175,7 +175,7 @@ def measured(nodes: list[Node]) -> tuple[list[list[float]], list[int]]:
     n = len(nodes)
     place = {id(x): i for i, x in enumerate(nodes)}
     parent = [place[id(x.parent)] if x.parent is not None else -1 for x in nodes]
-    chars, links, words, stops, tags, paras, items, upper, heads = ([0] * n for _ in range(9))
+    chars, links, words, stops, tags, paras, items, upper, heads, largest = ([0] * n for _ in range(10))
     for i in range(n - 1, -1, -1):
         x = nodes[i]
         if x.tag == "#text":
@@ -192,6 +192,7 @@ def measured(nodes: list[Node]) -> tuple[list[list[float]], list[int]]:
         if (p := parent[i]) >= 0:
             for a in (chars, links, words, stops, tags, paras, items, upper, heads):
                 a[p] += a[i]
+            largest[p] = max(largest[p], chars[i])
     depth = [0] * n
     before, order, count = [0] * n, [0] * n, [0] * n  # characters before a node; place among siblings
     seen, same = 0, {}
@@ -227,14 +228,13 @@ def measured(nodes: list[Node]) -> tuple[list[list[float]], list[int]]:
             for w in prior:
                 f[at + 2 * N_WORDS + w] = 1.0
         c, w, t = chars[i], words[i], tags[i]
-        near = nodes[p].children if p >= 0 else [x]
         pc, pt = (chars[p], tags[p]) if p >= 0 else (c, t)
         f[-27:] = [
             math.log1p(c), math.log1p(w), c / all_chars, w / all_words, links[i] / max(1, c), stops[i] / max(1, w), upper[i] / max(1, w),
             math.log1p(c / (t + 1)), math.log1p(t), math.log1p(paras[i]), math.log1p(items[i]), math.log1p(heads[i]), depth[i], count[i],
             order[i], before[i] / all_chars, c / max(1, pc), (t + 1) / (pt + 1), same.get((p, x.tag), 1), len(x.children),
             w / max(1, paras[i] + items[i] + heads[i]), (links[p] / max(1, pc)) if p >= 0 else 0.0, math.log1p(pc),
-            math.log1p(paras[p]) if p >= 0 else 0.0, math.log1p(max(chars[place[id(y)]] for y in near[:50])), math.log1p(all_chars),
+            math.log1p(paras[p]) if p >= 0 else 0.0, math.log1p(largest[p] if p >= 0 else c), math.log1p(all_chars),
             math.log1p(paras[0]),
         ]
         out.append(f)

@@ -80,3 +80,12 @@ def test_awkward_rows(spark):
     by_id = {r.page_id: r for r in found}
     assert by_id[None].text == TEXT and {by_id[i].text for i in (1, 2, 5)} == {""}
     assert op1.extracted(frame.limit(0)).collect() == []
+
+
+def test_the_largest_sibling_may_stand_behind_many_others():
+    page = "<body>" + "<div><p>x</p></div>" * 60 + f"<div><p>{TEXT * 20}</p></div></body>"
+    nodes = flatten(parse(page))
+    features, parent = measured(nodes)
+    blocks = [i for i, x in enumerate(nodes) if x.tag == "div"]
+    assert len(blocks) == 61 and {parent[i] for i in blocks} == {parent[blocks[0]]}
+    assert len({features[i][-3] for i in blocks}) == 1 and features[blocks[0]][-3] == features[blocks[-1]][-27]
