@@ -5,6 +5,8 @@ from __future__ import annotations
 from sensorloom.llm import (
     op1_extraction,
     op10_warc,
+    op12_whitening,
+    op13_spelling,
     op2_training_order,
     op3_language,
     op4_decontamination,
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_mixing": op8_mixing.op8_mixing,
     "op9_token_counts": op9_token_counts.op9_token_counts,
     "op10_warc": op10_warc.op10_warc,
+    "op12_whitening": op12_whitening.op12_whitening,
+    "op13_spelling": op13_spelling.op13_spelling,
     "language_of_pages": op3_language.op3_language_of_pages,
 }
 

@@ -33,8 +33,8 @@ def test_sql(spark, name):
     assert found == sorted((tuple(r[i] for i in at) for r in relation.fetchall()), key=key)
 
 
-def test_ten_operators_are_registered():
-    assert {n for n in range(1, 11) if sum(q.startswith(f"op{n}_") for q in QUERIES) == 1} == set(range(1, 11))
+def test_all_operators_are_registered():
+    assert {n for n in range(1, 14) if sum(q.startswith(f"op{n}_") for q in QUERIES) == 1} == set(range(1, 14))
 
 
 def test_pipeline(spark):
