@@ -48,7 +48,12 @@ def plain_number(value: Column) -> Column:
         F.when(power < 0, "-").otherwise("+"),
         F.abs(power),
     )
-    return F.when(~text.contains("E"), text).when((size >= 1e-4) & (size < 1e16), digits).otherwise(short)
+    return (
+        F.when(value.isNull(), F.lit(None))
+        .when(~text.contains("E"), text)
+        .when((size >= 1e-4) & (size < 1e16), digits)
+        .otherwise(short)
+    )
 
 
 def as_alarms(
