@@ -5,6 +5,7 @@ from __future__ import annotations
 from sensorloom.llm import (
     op1_extraction,
     op10_warc,
+    op11_recompression,
     op12_whitening,
     op13_spelling,
     op2_training_order,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_mixing": op8_mixing.op8_mixing,
     "op9_token_counts": op9_token_counts.op9_token_counts,
     "op10_warc": op10_warc.op10_warc,
+    "op11_recompression": op11_recompression.op11_recompression,
     "op12_whitening": op12_whitening.op12_whitening,
     "op13_spelling": op13_spelling.op13_spelling,
     "language_of_pages": op3_language.op3_language_of_pages,
