@@ -17,7 +17,7 @@ from sensorloom.llm.parsing import Level, Prints, Words, first_level, next_level
 WINDOW = 50
 #: The round whose symbols anchor windows, and the one whose symbols are blocks; a round makes symbols longer
 #: by a third.
-ANCHOR_ROUND, BLOCK_ROUND = 5, 14
+ANCHOR_ROUND, BLOCK_ROUND = 4, 14
 #: Words that are parsed together, unless one text has more.
 CHUNK = 200_000
 NOTHING = hashlib.sha256(b"").hexdigest()
