@@ -56,12 +56,12 @@ def chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
     """A row per record and chunk, in order; an empty payload has one empty chunk. A revisit has none of its
     payload."""
     n = F.greatest(F.ceil(F.length("payload") / F.lit(float(size))), F.lit(1))
-    first = lambda i: (i * size + 1).cast("int")
-    cut = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.substring("payload", first(i), F.lit(size)))
-    empty = F.array(F.lit(b""))
-    data = F.when(F.col("holder").isNull(), cut).otherwise(empty)
-    head = ["page_id", "url", "sha1", "holder", F.length("payload").cast("long").alias("payload_bytes")]
-    return rows.select(*head, F.posexplode(data).alias("chunk", "data"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.when(F.col("holder").isNull(), n - 1).otherwise(0))
+    # Numbers first, bytes after: a payload is never there twice.
+    rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("chunk", F.explode(numbers))
+    data = F.substring("payload", (F.col("chunk") * size + 1).cast("int"), F.lit(size))
+    data = F.when(F.col("holder").isNull(), data).otherwise(F.lit(b""))
+    return rows.select("page_id", "url", "sha1", "holder", "payload_bytes", F.col("chunk").cast("int").alias("chunk"), data.alias("data"))
 
 
 def _uri(url: str | None) -> str:
@@ -140,7 +140,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE) -
             for frame in frames:
                 columns = (frame[c] for c in ("page_id", "url", "sha1", "holder", "payload_bytes", "chunk", "data"))
                 for page, url, sha1, holder, size, chunk, data in zip(*columns, strict=True):
-                    page, holder = (None if pd.isna(x) else int(x) for x in (page, holder))
+                    page, holder = (None if x is None else int(x) for x in (page, holder))
                     if chunk == 0:
                         finish()
                         if archive and archive.bytes >= archive_bytes:
@@ -166,7 +166,9 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE) -
             done.append(archive)
             yield pd.DataFrame({"archive": [a.path for a in done], "records": [a.records for a in done]})
 
-    return rows.mapInPandas(write, "archive string, records long")
+    # Ids go as text: longs with nulls among them would come as floats.
+    named = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "holder")})
+    return named.mapInPandas(write, "archive string, records long")
 
 
 def _headers(stream) -> dict[str, str]:
@@ -234,8 +236,8 @@ def read_chunks(archives: DataFrame, chunk_bytes: int = CHUNK, with_data: bool =
                     yield as_frame(rows)
 
     def as_frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=names if with_data else names[:-1])
-        return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+        frame = pd.DataFrame(rows, columns=names if with_data else names[:-1], dtype=object)
+        return frame.assign(**{c: pd.array(frame[c], "Int64") for c in ("page_id", "refers_to")})
 
     parts = max(1, archives.count())
     # A sequence number deals archives evenly; a hash of their names would not.

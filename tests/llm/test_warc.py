@@ -62,6 +62,15 @@ def test_no_rows_and_repeated_rows(spark, tmp_path):
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in twice) == [(0, "revisit", 1), (1, "response", None), (1, "response", None)]
 
 
+def test_long_ids_next_to_null_ones(spark, tmp_path):
+    a, b = 2**60 + 1, 2**60 + 3
+    rows = [(a, "u", "x"), (b, "u", "x"), (None, "u", "x"), (2**53 + 1, "u", "y"), (None, "u", "z")]
+    found = op10.archived(pages(spark, rows).coalesce(1), str(tmp_path)).collect()
+    assert sorted(((r.page_id or 0), r.record_type, r.refers_to) for r in found) == [
+        (0, "response", None), (0, "revisit", b), (2**53 + 1, "response", None), (a, "revisit", b), (b, "response", None)
+    ]
+
+
 def test_a_damaged_archive_fails(spark, tmp_path):
     with gzip.open(tmp_path / "x.warc.gz", "wb") as out:
         head = op10.record_head(1, "u", hashlib.sha1(b"abc").hexdigest(), 3, None)
