@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 def draw(seed: str, key: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the key alone."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(seed + ":"), key))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / DRAWS
 
 
@@ -65,17 +65,24 @@ def rated(
 ) -> DataFrame:
     """Every document with `mix`: struct(size, source_size, target, rate, copies).
 
-    Rate is target over source size; a document is taken floor(rate) times, and once more if its draw,
-    hashed from the seed and doc_id, is below the fraction. Sizes are summed per source with a map-side
+    Rate is target over source size; a document is taken floor(rate) times, and once more if its draw is
+    below the fraction. A draw is hashed from the seed, doc_id and text; rows that have both in common also draw
+    by their place in the input, or a group of equal rows would be taken or left as one. Sizes are summed per source with a map-side
     part, so a source with a third of all rows is reduced before it is moved, and targets join back on
     the source; the table of sources is broadcast only if the engine finds it below its threshold.
 
-    Null text has size 0, a null source is a source of its own, a null doc_id draws as the empty id, so
-    repeated ids draw alike. A source without words has target and rate 0. No rows give no rows. Other
+    Null text has size 0, a null source is a source of its own, a null doc_id draws as the empty id. Reruns
+    agree on the same input; where rows are equal, on input that is split alike. A source without words has target and rate 0. No rows give no rows. Other
     columns are kept; `mix` replaces a column of that name.
     """
     size = word_count(F.col("text")) if size is None else size
-    mixed = docs.withColumn("mix", F.struct(size.cast("long").alias("size")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary")))
+    mixed = docs.withColumn("mix", F.struct(size.cast("long").alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("place")))
+    # Keys that several rows have: none as a rule, few where copies are many.
+    repeated = mixed.groupBy(F.col("mix.key").alias("__key")).count().where("count > 1").select("__key", F.lit(True).alias("__repeated"))
+    mixed = mixed.join(repeated, F.col("mix.key") == F.col("__key"), "left")
+    key = F.concat_ws(":", "mix.key", F.when(F.col("__repeated"), F.col("mix.place")))
     sizes = mixed.groupBy("source").agg(F.sum("mix.size").alias("source_size"))
     goal = targets(sizes, weights, share, cap).select(
         F.col("source").alias("__source"), F.struct("source_size", "target").alias("__goal")
@@ -84,9 +91,9 @@ def rated(
     all_, goal_size = F.col("__goal.target"), F.col("__goal.source_size")
     rate = F.when(goal_size > 0, all_ / goal_size).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = whole + (draw(seed, F.col("doc_id")) < rate - whole).cast("long")
+    copies = whole + (draw(seed, key) < rate - whole).cast("long")
     fields = [F.col("mix.size"), goal_size.alias("source_size"), all_.alias("target"), rate.alias("rate"), copies.alias("copies")]
-    return joined.withColumn("mix", F.struct(*fields)).drop("__source", "__goal")
+    return joined.withColumn("mix", F.struct(*fields)).drop("__source", "__goal", "__key", "__repeated")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -110,11 +117,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The level at which no open source is above its cap: sources by rising cap per unit of weight, the
+#: Rows of the given tables differ in id or text, so places take no part. The level at which no open source is above its cap: sources by rising cap per unit of weight, the
 #: first k capped; the right k is the smallest whose level caps none of the others.
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -139,7 +146,7 @@ WITH d AS (
 ), c AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
+    ('0x' || substr(md5('mix:' || d.key), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

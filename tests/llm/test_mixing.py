@@ -37,6 +37,20 @@ def test_targets_and_takes(spark):
     assert sorted((r.doc_id, r.copies) for r in again) == sorted((r.doc_id, r.copies) for r in found)
 
 
+def test_rows_alike_draw_on_their_own(spark):
+    """Null ids, repeated ids and equal rows: the words taken still come near the target."""
+    rows = [(None, f"text {i} of a row without an id", None, "a") for i in range(400)]
+    rows += [(None, "the same text in all of these rows", None, "b")] * 400 + [(7, f"text {i} of one id", None, "c") for i in range(400)]
+    rows += [(i, "some other words of a long source " * 3, None, "d") for i in range(300)]
+    frame = table(spark, rows).repartition(4)
+    frame.persist()
+    found = op8.rated(frame).select("source", "mix.*").collect()
+    for source in "abcd":
+        mine = [r for r in found if r.source == source]
+        assert sum(r.copies * r.size for r in mine) == pytest.approx(mine[0].target, rel=0.12)
+    frame.unpersist()
+
+
 def test_awkward_rows(spark):
     docs = table(spark, AWKWARD)
     mixed = op8.mix(docs)
