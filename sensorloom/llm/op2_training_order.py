@@ -19,6 +19,8 @@ LENGTH = 2048
 SHARD = 1024
 #: Documents of a task whose ids settle the code of sequences on their way. It decides their size alone.
 SAMPLE_DOCS = 2_000
+#: Characters of the texts whose new segments are encoded together, unless one text has more.
+TOGETHER = 1_000_000
 KEY = 20_240_229
 ROUNDS = 6
 END = 2  # the end token's id
@@ -115,27 +117,32 @@ def sequences(docs: DataFrame, model_path: str, code: Code, length: int = LENGTH
             rows.append((code.encode(part), len(part) // 2, next((x for x in names if x is not None), None), len(names)))
 
         for frame in frames:
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                if not text:
-                    continue
-                name = None if pd.isna(doc) else int(doc)
-                rest += b"".join(map(cache.__getitem__, segments(text))) + end
-                names.append(name)
-                at = 0
-                while len(rest) - at >= stride:
-                    flush(rest[at : at + stride])
-                    at += stride
-                    names = [name] if len(rest) > at else []
-                rest = rest[at:]
+            frame = frame[frame["text"].map(bool)]
+            if frame.empty:
+                continue
+            lots = frame["text"].str.len().cumsum() // TOGETHER
+            for _, some in frame.groupby(lots, sort=True):
+                encoded = cache.joined([segments(text) for text in some["text"]])
+                for name, ids in zip(some["doc_id"], encoded, strict=True):
+                    rest += ids + end
+                    names.append(name)
+                    at = 0
+                    while len(rest) - at >= stride:
+                        flush(rest[at : at + stride])
+                        at += stride
+                        names = [name] if len(rest) > at else []
+                    rest = rest[at:]
             if rows:
-                yield pd.DataFrame(rows, columns=["tokens", "n_tokens", "first_doc", "n_docs"]).astype({"first_doc": "Int64"})
+                yield pd.DataFrame(rows, columns=["tokens", "n_tokens", "first_doc", "n_docs"])
                 rows = []
         if rest:
             flush(rest)
-            yield pd.DataFrame(rows, columns=["tokens", "n_tokens", "first_doc", "n_docs"]).astype({"first_doc": "Int64"})
+            yield pd.DataFrame(rows, columns=["tokens", "n_tokens", "first_doc", "n_docs"])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(pack, "tokens binary, n_tokens long, first_doc long, n_docs long")
+    # Ids go as text: longs with nulls among them would come as floats.
+    ids = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = ids.mapInPandas(pack, "tokens binary, n_tokens long, first_doc string, n_docs long")
+    return rows.withColumn("first_doc", F.col("first_doc").cast("long"))
 
 
 def numbered(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
@@ -197,10 +204,10 @@ def write_shards(rows: DataFrame, folder: str, n: int, code: Code, length: int =
 
     dealt = rows.withColumn("part", F.expr(f"slot div {per_part}"))
     dealt = dealt.repartitionByRange(parts, "part").sortWithinPartitions("slot")
-    placed = dealt.select("slot", "n_tokens", "first_doc", "n_docs", "tokens").mapInPandas(
-        write, "slot long, n_tokens long, first_doc long, n_docs long, crc long"
+    placed = dealt.select("slot", "n_tokens", F.col("first_doc").cast("string").alias("first_doc"), "n_docs", "tokens").mapInPandas(
+        write, "slot long, n_tokens long, first_doc string, n_docs long, crc long"
     )
-    return placed.withColumns({"shard": F.expr(f"slot div {shard}"), "offset": F.expr(f"slot % {shard} * {stride}")})
+    return placed.withColumns({"first_doc": F.col("first_doc").cast("long"), "shard": F.expr(f"slot div {shard}"), "offset": F.expr(f"slot % {shard} * {stride}")})
 
 
 def read_slots(folder: str, first: int, length: int = LENGTH, shard: int = SHARD) -> Iterator[np.ndarray]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -68,5 +70,24 @@ class Cache(dict):
         return value
 
 
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """For texts given by their segments, the values of these joined. Segments that are not known are
+        encoded together, which takes the library half the time of one call for each."""
+        new = set().union(*texts).difference(self)
+        known = {x: v for x in new if (v := self.known.get(x)) is not None}
+        words = [x for x in new if x not in known and x[0] == " " and x != " "]
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            known.update(zip(some, map(self.make, self.model.encode([x[1:] for x in some], num_threads=1)), strict=True))
+        if len(self) + len(new) > CACHE:
+            self.clear()
+        self.update(known)  # what is new in these texts is held by their segments anyway
+        out = [b"".join(map(self.__getitem__, x)) for x in texts]
+        for x in known:
+            if len(x) > 64:
+                self.pop(x, None)
+        return out
+
+
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u2").tobytes()
+    return array("H", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u2").tobytes()

@@ -73,3 +73,22 @@ def test_shards_hold_every_token_once_and_resume(spark, model, tmp_path):
 def test_no_documents_no_shards(spark, tmp_path):
     assert op2.training_order(table(spark, []), PATH, str(tmp_path / "none")).collect() == []
     assert list(op2.read_slots(str(tmp_path / "none"), 0)) == []
+
+
+def test_long_ids_next_to_null_ones(spark):
+    rows = [(2**60 + 1, "a text with a long id"), (None, "one without an id"), (2**60 + 3, "another"), (2**53 + 1, "a b c " * 50)]
+    frame = table(spark, [(*r, None, None) for r in rows]).coalesce(1)
+    found = op2.training_order(frame, PATH, length=8).collect()
+    assert {r.first_doc for r in found} <= {2**60 + 1, 2**60 + 3, 2**53 + 1}
+    assert {2**60 + 1, 2**53 + 1} <= {r.first_doc for r in found}
+
+
+def test_segments_encoded_together(model):
+    from sensorloom.llm.subwords import Cache, packed
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab the\n\t  ▁é<s>|;😀\x00") for _ in range(r.randint(0, 40))) for _ in range(500)] + ["long" * 500, " " * 90]
+    want = [packed(model.encode(t)) for t in texts]
+    cache = Cache(model, packed, {" the": packed(model.encode("the"))})
+    assert cache.joined([segments(t) for t in texts]) == want == cache.joined([segments(t) for t in texts])
+    assert all(len(s) <= 64 for s in cache)
