@@ -7,17 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
-def latest_per_key(
-    changes: DataFrame,
-    key: Sequence[str] = ("key",),
-    version: Sequence[str] = ("version",),
-    op: str = "op",
+def newest_per_key(
+    changes: DataFrame, key: Sequence[str] = ("key",), version: Sequence[str] = ("version",)
 ) -> DataFrame:
-    """Live rows of a changelog: newest version per key unless it is a delete.
+    """Newest version per key, deletes included.
 
-    Rows without a key are ignored and a missing op is an upsert. The newest
-    row is found by aggregation, so a key with very many versions is reduced
-    within each task before it is shuffled.
+    Rows without a key are ignored. The newest row is found by aggregation, so
+    a key with very many versions is reduced within each task before it is
+    shuffled.
     """
     keyed = changes.where(F.col(key[0]).isNotNull())
     if len(key) == 1 and dict(changes.dtypes)[key[0]] == "string":
@@ -26,11 +23,23 @@ def latest_per_key(
     newest = keyed.groupBy(*key).agg(
         F.max_by(F.struct(*others), F.struct(*version)).alias("_r")
     )
-    return newest.where(F.coalesce(F.col(f"_r.{op}"), F.lit("upsert")) != "delete").select(
+    return newest.select(
         *[F.col(name) if name in key else F.col(f"_r.{name}").alias(name) for name in changes.columns]
     )
 
 
+def latest_per_key(
+    changes: DataFrame,
+    key: Sequence[str] = ("key",),
+    version: Sequence[str] = ("version",),
+    op: str = "op",
+) -> DataFrame:
+    """Live rows of a changelog: newest version per key unless it is a delete;
+    a missing op is an upsert."""
+    newest = newest_per_key(changes, key, version)
+    return newest.where(F.coalesce(F.col(op), F.lit("upsert")) != "delete")
+
+
 def merge_config_feeds(gateway_changes: DataFrame, rejection_changes: DataFrame) -> DataFrame:
     """U-01: both configuration feeds as one, told apart by `kind`."""
     return gateway_changes.unionByName(rejection_changes, allowMissingColumns=True)

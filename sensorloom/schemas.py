@@ -56,3 +56,9 @@ CALIBRATION_CHANGE = (
 RULE_CHANGE = (
     "key string, op string, detector_name string, params string, version bigint"
 )
+
+# A merged configuration feed: registered gateways and rejected nodes, told
+# apart by `kind`; `version` is the offset in the feed.
+CONFIG_CHANGE = (
+    "kind string, key string, mesh_id string, device_id bigint, op string, version bigint"
+)

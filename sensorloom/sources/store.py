@@ -56,14 +56,18 @@ def read_points(
     stop: datetime | None = None,
     measurements: Sequence[str] | None = None,
     deduplicate: bool = True,
+    visible: Column | None = None,
 ) -> DataFrame:
-    """Points of a time range. Day and measurement prune the folders.
+    """Points of a time range. Day and measurement prune the folders, as does
+    `visible`, the filter of a store whose batches are recorded as whole.
 
     With `deduplicate` the last write of a point wins; leave it off for days
     that were compacted, where it would only cost a shuffle.
     """
     names = f"{schemas.POINT}, dt date, {BATCH} bigint"
     points = spark.read.schema(names).parquet(path)
+    if visible is not None:
+        points = points.where(visible)
     if start is not None:
         points = points.where(F.col("dt") >= F.lit(start.date()))
     if stop is not None:

@@ -11,10 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import changelog, packets, points
 from ..operators.calibrate import calibrate_events
 from ..sources import store
+from ..sources.commits import Commits
+from ..sources.levels import LevelTable
 from . import runtime
 
 # Returns the registered gateways and the rejected nodes as of now.
 ConfigLoader = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
+# Returns the changes of a feed beyond an offset; all of them for None.
+ChangesSince = Callable[[SparkSession, int | None], DataFrame]
 
 
 def config_from_changes(read_changes: Callable[[SparkSession], DataFrame], version: str = "version") -> ConfigLoader:
@@ -31,6 +35,36 @@ def config_from_changes(read_changes: Callable[[SparkSession], DataFrame], versi
     return load
 
 
+@dataclass(frozen=True)
+class LiveTable:
+    """T-01, S-02: a changelog that a stream follows, as a table of its latest
+    versions. Each micro-batch takes in what has been appended since the last
+    one and no more, before its packets are joined; a batch that is run again
+    after a failure is given the configuration it had."""
+
+    table: LevelTable
+    read_since: ChangesSince
+
+    def as_of_batch(self, spark: SparkSession, batch: int) -> DataFrame:
+        return self.table.read(spark, self.table.catch_up(spark, self.read_since, batch))
+
+    def gates(self, spark: SparkSession, batch: int) -> tuple[DataFrame, DataFrame]:
+        """A merged feed (`CONFIG_CHANGE`) as registered gateways and rejected nodes."""
+        # Live rows have one version per key, so folding them again is not needed.
+        rows = self.as_of_batch(spark, batch)
+        return (
+            rows.where(F.col("kind") == "gateway_key").select(F.col("key").alias("gateway_id"), "mesh_id"),
+            rows.where(F.col("kind") == "node_rejection").select("mesh_id", "device_id"),
+        )
+
+
+def config_table(path: str) -> LevelTable:
+    """Where the merged gateway and rejection feed is kept."""
+    from .. import schemas
+
+    return LevelTable(path, schemas.CONFIG_CHANGE, ("kind", "key"))
+
+
 @dataclass(frozen=True)
 class IngestPaths:
     root: str
@@ -76,40 +110,63 @@ def write_ingest(
     rejections: DataFrame,
     paths: IngestPaths,
     calibrations: DataFrame | None = None,
+    on_written: Callable[[str, int], None] | None = None,
 ) -> None:
-    """S-10: gate a batch once, then write each kind to its own table.
+    """S-10, T-04: gate a batch once, then write each kind to its own table.
+
+    The batch is recorded when all of its tables are written, so readers of the
+    record see them appear together (`read_table`); a batch that is recorded is
+    not written again. `on_written` is told of each table.
 
     Of two copies of a point the one that arrived last stays. A source with
     offsets hands them on as `arrival`; else rows are numbered as they are read.
     """
     if store.ARRIVAL not in envelopes.columns:
         envelopes = envelopes.withColumn(store.ARRIVAL, F.monotonically_increasing_id())
+    spark, commits = envelopes.sparkSession, Commits(paths.root)
+    if commits.holds(spark, batch):
+        return
     gated = packets.gate(envelopes, gateways, rejections).persist()
     try:
         kinds = kinds_of(gated)
-        store.write_rows(kinds["decoded"], paths.decoded, batch)
         # Points store what was decoded; calibrated events are a table apart.
         arrived = packets.decoded(gated, store.ARRIVAL)
-        store.write_points(points.event_points(arrived), paths.points, batch)
+        writes: dict[str, Callable[[], None]] = {
+            "decoded": lambda: store.write_rows(kinds["decoded"], paths.decoded, batch),
+            "points": lambda: store.write_points(points.event_points(arrived), paths.points, batch),
+            "sightings": lambda: store.write_rows(kinds["sightings"], paths.sightings, batch),
+            "discoveries": lambda: store.write_rows(kinds["discoveries"], paths.discoveries, batch),
+            "drops": lambda: store.write_rows(kinds["drops"], paths.drops, batch),
+        }
         if calibrations is not None:
-            store.write_rows(calibrate_events(kinds["decoded"], calibrations), f"{paths.root}/calibrated", batch)
-        store.write_rows(kinds["sightings"], paths.sightings, batch)
-        store.write_rows(kinds["discoveries"], paths.discoveries, batch)
-        store.write_rows(kinds["drops"], paths.drops, batch)
+            calibrated = calibrate_events(kinds["decoded"], calibrations)
+            writes["calibrated"] = lambda: store.write_rows(calibrated, f"{paths.root}/calibrated", batch)
+        for name, write in writes.items():
+            write()
+            if on_written:
+                on_written(name, batch)
+        commits.commit(spark, batch)
     finally:
         gated.unpersist()
 
 
+def read_table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """A table of the ingest as its record shows it: whole batches only."""
+    return Commits(root).read(spark, name, schema)
+
+
 def start_ingest(
     envelopes: DataFrame,
-    load_config: ConfigLoader,
+    load_config: ConfigLoader | LiveTable,
     root: str,
     checkpoint: str,
     every_seconds: int | None = None,
-    load_calibrations: Callable[[SparkSession], DataFrame] | None = None,
+    load_calibrations: Callable[[SparkSession], DataFrame] | LiveTable | None = None,
+    on_written: Callable[[str, int], None] | None = None,
 ) -> StreamingQuery:
     """T-01, J-03: packets joined with the latest configuration and, where
     curves are given, a table of calibrated events beside the decoded ones.
+    Configuration that comes as a `LiveTable` is kept up with, not read anew.
 
     Records that `parse_events` marked go to the dead letters of the batch.
     """
@@ -120,9 +177,14 @@ def start_ingest(
         if marked:
             dead_letter_writer(paths.dead_letters)(batch, number)
             batch = batch.where(F.col("reject_reason").isNull()).drop("raw", "reject_reason")
-        gateways, rejections = load_config(batch.sparkSession)
-        curves = load_calibrations(batch.sparkSession) if load_calibrations else None
-        write_ingest(batch, number, gateways, rejections, paths, curves)
+        spark = batch.sparkSession
+        live = isinstance(load_config, LiveTable)
+        gateways, rejections = load_config.gates(spark, number) if live else load_config(spark)
+        curves = None
+        if load_calibrations:
+            live = isinstance(load_calibrations, LiveTable)
+            curves = load_calibrations.as_of_batch(spark, number) if live else load_calibrations(spark)
+        write_ingest(batch, number, gateways, rejections, paths, curves, on_written)
 
     return runtime.start(envelopes, write, checkpoint, every_seconds)
 

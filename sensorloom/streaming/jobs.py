@@ -7,19 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import schemas
 from ..operators import detect, packets
 from ..operators.cooldown import COOLDOWN_SECONDS
 from ..operators.detect import FLAT_DEFAULT
 from ..operators.registry import route_alarms
 from ..sources import store
+from ..sources.levels import LevelTable
 from . import keyed, runtime
+from .ingest import LiveTable
 
 Loader = Callable[[SparkSession], DataFrame]
 
 
+def rule_table(path: str) -> LevelTable:
+    """Where the changelog of range rules is kept."""
+    return LevelTable(path, schemas.RULE_CHANGE)
+
+
 def start_detection(
     events: DataFrame,
-    load_rules: Loader,
+    load_rules: Loader | LiveTable,
     root: str,
     every_seconds: int | None = None,
     window: int = FLAT_DEFAULT,
@@ -29,15 +37,17 @@ def start_detection(
     calibrated events.
 
     Two queries read the events: runs of equal values are keyed state, while
-    rules are read anew for each micro-batch, so a changed rule holds for all
-    packets that come after it. Alarms are under `root`/stuck_value and
+    rules are looked up for each micro-batch, so a changed rule holds for all
+    packets that come after it. Rules that come as a `LiveTable` are kept up
+    with; a loader's are read anew. Alarms are under `root`/stuck_value and
     `root`/range_check.
     """
     readings = packets.observations(events, include_time=False)
     stuck = keyed.stuck_value_stream(readings, window)
 
     def write_ranges(batch: DataFrame, number: int) -> None:
-        rules = load_rules(batch.sparkSession)
+        spark = batch.sparkSession
+        rules = load_rules.as_of_batch(spark, number) if isinstance(load_rules, LiveTable) else load_rules(spark)
         store.write_rows(detect.range_check(packets.observations(batch, include_time=False), rules), f"{root}/range_check", number)
 
     return [

@@ -289,16 +289,17 @@ def range_check(t):
 ORACLE_DETECTION = with_views(
     f"""SELECT mesh_id, node_id AS device_id, 'value' AS channel, 'stuck_value' AS detector, 'stream' AS source, value,
            printf('Value stuck at %.1f for 5 consecutive readings', value) AS message, {stamp("date_trunc('second', time)")} AS triggered_at
-    FROM (SELECT *, count(*) OVER w AS n, min(value) OVER w AS lo, max(value) OVER w AS hi FROM coarse
+    FROM (SELECT *, count(*) OVER w AS n, min(value) OVER w AS lo, max(value) OVER w AS hi FROM steps
           WINDOW w AS (PARTITION BY mesh_id, node_id ORDER BY date_trunc('second', time), packet_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
     WHERE n = 5 AND lo = hi
     UNION ALL
     SELECT mesh_id, node_id, 'value', 'range_check', 'stream', round(value, 6),
            'Value ' || value || ' outside configured range [' || CASE WHEN lo IS NULL THEN 'None' ELSE '1.0' END || ', '
              || CASE WHEN lo IS NULL THEN '80.0' ELSE '120.0' END || ']', {stamp("date_trunc('second', time)")}
-    FROM coarse JOIN rules ON node = node_id WHERE value < lo OR value > hi""",
+    FROM steps JOIN rules ON node = node_id WHERE value < lo OR value > hi""",
     "coarse",
     "cfg",
+    steps="SELECT * REPLACE (value * 50 AS value) FROM coarse",
     rules=_RULES,
 )
 

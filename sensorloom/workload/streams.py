@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -220,23 +221,140 @@ def stream_stuck_value(t):
 def stream_detection(t):
     """Both detectors over the stream of packets, in four micro-batches."""
     root = _folder(t, "detection")
-    for week in range(4):  # files are taken in the order they were written
-        of_week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)) == week
-        t.raw("events").where(of_week).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    raw = t.spark.readStream.schema(t.raw("events").schema).option("maxFilesPerTrigger", "1").parquet(f"{root}/in")
-    value = F.floor(F.col("value") / 50).cast("double")
-    events = t.shape_events(raw).join(t.mesh_of_node(), "user_id").select(
+    for events in _by_week(t, root):
+        for job in jobs.start_detection(_stepped(t, events), lambda _: t.rule_changes(), root):
+            job.awaitTermination()
+    columns = list(D.ALARM_COLUMNS)
+    found = [t.spark.read.parquet(f"{root}/{name}").select(*columns) for name in ("stuck_value", "range_check")]
+    return found[0].unionByName(found[1])
+
+
+def _by_week(t: Tables, root: str):
+    """The stream of events as it grows: a week is appended to its source by
+    all tasks, and what runs on it meets that week as one micro-batch."""
+    raw = t.raw("events")
+    of_week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    for week in range(4):
+        raw.where(of_week == week).write.mode("append").parquet(f"{root}/in")
+        yield t.shape_events(t.spark.readStream.schema(raw.schema).parquet(f"{root}/in"))
+
+
+def _stepped(t: Tables, events):
+    """Packets with readings in steps of 50."""
+    value = (F.floor(F.col("value") / 50) * 50).cast("double")
+    return events.join(t.mesh_of_node(), "user_id").select(
         "mesh_id",
         F.col("user_id").alias("node_id"),
         F.col("event_id").alias("packet_id"),
         F.unix_seconds("time").alias("rx_time"),
         F.concat(F.lit('{"m": {"value": '), value, F.lit("}}")).alias("payload"),
     )
-    for job in jobs.start_detection(events, lambda _: t.rule_changes(), root):
-        job.awaitTermination()
-    columns = list(D.ALARM_COLUMNS)
-    found = [t.spark.read.parquet(f"{root}/{name}").select(*columns) for name in ("stuck_value", "range_check")]
-    return found[0].unionByName(found[1])
+
+
+_WEEK_OF_PACKET = "least((day(make_timestamp(rx_time * 1000000)) - 1) // 8, 3)"
+
+
+@query(
+    "t01_live_configuration",
+    with_views(
+        """SELECT 'gate' AS part, batch, COALESCE(reason, 'kept') AS name, count(*) AS rows, CAST(sum(packet_id) AS BIGINT) AS ids FROM live GROUP BY ALL
+        UNION ALL
+        SELECT 'alarm', batch, 'Value ' || value || ' outside configured range [' || CASE WHEN both_sides THEN '60.0, 120.0]' ELSE 'None, 80.0]' END,
+               count(*), CAST(sum(node_id) AS BIGINT)
+        FROM (SELECT *, floor(value / 50) * 50 AS value, least((day(time) - 1) // 8, 3) AS week FROM (SELECT node_id, time, value FROM vals))
+        JOIN live_rules ON batch = week AND node = node_id WHERE value > CASE WHEN both_sides THEN 120 ELSE 80 END OR both_sides AND value < 60 GROUP BY ALL""".replace(
+            "SELECT *, floor(value / 50) * 50 AS value, least", "SELECT node_id, floor(value / 50) * 50 AS value, least"
+        ),
+        "env",
+        "vals",
+        "live_gates",
+        "live_rules",
+        live=f"""SELECT packet_id, w.batch, CASE WHEN g.id IS NULL THEN 'unregistered_gateway' WHEN r.id IS NOT NULL THEN 'rejected_node'
+                   WHEN NOT decryptable THEN 'undecryptable' WHEN payload IS NULL THEN 'no_schema' END AS reason
+            FROM (SELECT *, {_WEEK_OF_PACKET} AS batch FROM env) w
+            LEFT JOIN live_gates g ON g.batch = w.batch AND g.urgent AND printf('!%08x', g.id) = gateway_id
+            LEFT JOIN live_gates r ON r.batch = w.batch AND NOT r.urgent AND r.id = node_id AND r.mesh_id = g.mesh_id""",
+    ),
+)
+def live_configuration(t):
+    """Gateways, rejections and rules change between four micro-batches. Each
+    takes in its week's changes and reads the levels, not the changelog."""
+    root = _folder(t, "live")
+    feeds_ = {"config": t.weekly_config(), "rules": t.weekly_rules()}
+    tables = {"config": ingest.config_table(f"{root}/config"), "rules": jobs.rule_table(f"{root}/rules")}
+
+    def since(name):
+        def read(spark, offset):
+            found = spark.read.schema(tables[name].schema).parquet(f"{root}/{name}-changes")
+            return found if offset is None else found.where(F.col("version") > offset)
+
+        return ingest.LiveTable(tables[name], read)
+
+    for week, events in enumerate(_by_week(t, root)):
+        for name, changes in feeds_.items():
+            changes.where(F.col("week") == week).drop("week").write.mode("append").parquet(f"{root}/{name}-changes")
+        envelopes = t.shape_envelopes(events, t.raw("customer"))
+        ingest.start_ingest(envelopes, since("config"), root, f"{root}/_checkpoint").awaitTermination()
+        for job in jobs.start_detection(_stepped(t, events), since("rules"), f"{root}/alarms"):
+            job.awaitTermination()
+    count, batch = F.count(F.lit(1)).alias("rows"), F.col(store.BATCH).alias("batch")
+    packets = [
+        ingest.read_table(t.spark, root, "decoded", "packet_id bigint").withColumn("name", F.lit("kept")),
+        ingest.read_table(t.spark, root, "drops", "packet_id bigint, drop_reason string").withColumnRenamed("drop_reason", "name"),
+    ]
+    gated = packets[0].unionByName(packets[1]).groupBy(F.lit("gate").alias("part"), batch, "name")
+    alarms = t.spark.read.parquet(f"{root}/alarms/range_check").groupBy(F.lit("alarm").alias("part"), batch, F.col("message").alias("name"))
+    return gated.agg(count, F.sum("packet_id").alias("ids")).unionByName(alarms.agg(count, F.sum("device_id").alias("ids")))
+
+
+_TABLES = {"decoded": "packet_id bigint", "points": "packet_id bigint", "sightings": "device_id bigint", "discoveries": "device_id bigint", "drops": "packet_id bigint"}
+
+
+@query(
+    "t04_s10_killed_batch",
+    with_views(
+        f"""SELECT phase, table_name, count(*) AS rows FROM (
+          SELECT 'decoded' AS table_name, rx_time AS s FROM dec UNION ALL
+          SELECT 'points', rx_time FROM (SELECT DISTINCT ON (mesh_id, node_id, channel_id, gateway_id, measurement, field, at_s, tags) * FROM (
+             SELECT p.*, e.es AS rx_time, CASE WHEN payload_kind = 'nodeinfo' THEN payload END AS tags FROM packet_points p JOIN ev e ON e.event_id = p.packet_id)) UNION ALL
+          SELECT 'sightings', rx_time FROM dec WHERE mesh_id IS NOT NULL UNION ALL
+          SELECT 'discoveries', rx_time FROM dec WHERE mesh_id IS NOT NULL AND payload_kind LIKE 'telemetry:%' UNION ALL
+          SELECT 'drops', rx_time FROM gated WHERE drop_reason IS NOT NULL)
+        JOIN (VALUES ('killed', 1), ('replayed', 3)) f(phase, weeks) ON least((day(make_timestamp(s * 1000000)) - 1) // 8, 3) <= weeks GROUP BY ALL""",
+        "packet_points",
+    ),
+)
+def killed_batch(t):
+    """The second half of the packets is a batch that dies after its second
+    table. Readers see the first half of every table, then, when the batch has
+    run again, all of it."""
+    root = _folder(t, "killed")
+    count = lambda phase: [
+        ingest.read_table(t.spark, root, name, schema).groupBy(F.lit(phase).alias("phase"), F.lit(name).alias("table_name")).agg(F.count(F.lit(1)).alias("rows"))
+        for name, schema in _TABLES.items()
+    ]
+    written = []
+
+    def die(table: str, batch: int) -> None:
+        written.append(table)
+        if batch == 1 and len(written) == len(_TABLES) + 2:
+            raise RuntimeError("killed after its second table")
+
+    for week, events in enumerate(_by_week(t, root)):
+        if week in (0, 2):
+            continue  # two weeks make a batch
+        envelopes = t.shape_envelopes(events, t.raw("customer"))
+        job = ingest.start_ingest(envelopes, lambda _: (t.gateways(), t.rejections()), root, f"{root}/_checkpoint", on_written=die)
+        try:
+            job.awaitTermination()
+        except StreamingQueryException:
+            # Counted now, as it is to a reader at this moment.
+            for rows in count("killed"):
+                rows.write.mode("append").parquet(f"{root}/seen")
+            ingest.start_ingest(envelopes, lambda _: (t.gateways(), t.rejections()), root, f"{root}/_checkpoint").awaitTermination()
+    for rows in count("replayed"):
+        rows.write.mode("append").parquet(f"{root}/seen")
+    return t.spark.read.parquet(f"{root}/seen")
 
 
 @query("t06_t07_stream_notifications", health.ORACLE_NOTIFICATIONS)

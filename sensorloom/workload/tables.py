@@ -284,6 +284,43 @@ class Tables:
             F.col("o_orderkey").alias("version"),
         )
 
+    # Weeks in which a change of the year's quarters reaches a stream of January.
+    CHANGE_WEEK = "least(floor((month(o_orderdate) - 1) / 3), 3)"
+
+    def _weekly_changes(self) -> DataFrame:
+        week = F.expr(self.CHANGE_WEEK).cast("long")
+        return self.raw("orders").join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+            "*",
+            week.alias("week"),
+            (F.shiftleft(week, 40) + F.col("o_orderkey")).alias("version"),
+            F.when(F.col("o_orderstatus") == "F", "delete").otherwise("upsert").alias("op"),
+        )
+
+    def weekly_config(self) -> DataFrame:
+        """A merged feed of gateways and rejections, with the week of each change."""
+        urgent = F.col("o_orderpriority") == "1-URGENT"
+        mesh = F.concat(F.lit("mesh-"), "c_nationkey")
+        return self._weekly_changes().select(
+            F.when(urgent, "gateway_key").otherwise("node_rejection").alias("kind"),
+            F.when(urgent, gateway_key(F.col("c_nationkey").cast("long"))).otherwise(F.concat_ws(":", mesh, "c_custkey")).alias("key"),
+            mesh.alias("mesh_id"),
+            F.when(~urgent, F.col("c_custkey")).alias("device_id"),
+            "op",
+            "version",
+            "week",
+        )
+
+    def weekly_rules(self) -> DataFrame:
+        even = F.col("o_orderkey") % 2 == 0
+        return self._weekly_changes().select(
+            F.concat("o_custkey", F.lit(":value")).alias("key"),
+            "op",
+            F.lit("range_check").alias("detector_name"),
+            F.when(even, '{"min": 60, "max": 120}').otherwise('{"max": 80}').alias("params"),
+            "version",
+            "week",
+        )
+
 
 # --- the same views for the oracle -----------------------------------------
 
@@ -389,6 +426,18 @@ SQL_VIEWS = {
     "cfg": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders)
         WHERE rn = 1 AND o_orderstatus <> 'F'""",
+    # Changes of configuration as of each week: the newest per key.
+    "changes": """
+        SELECT *, o_orderpriority = '1-URGENT' AS urgent, least((month(o_orderdate) - 1) // 3, 3) AS week,
+               least((month(o_orderdate) - 1) // 3, 3) * 1099511627776 + o_orderkey AS version
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "weeks": "SELECT unnest(range(4)) AS batch",
+    "live_gates": """
+        SELECT batch, urgent, CASE WHEN urgent THEN c_nationkey ELSE c_custkey END AS id, any_value('mesh-' || c_nationkey) AS mesh_id
+        FROM weeks JOIN changes ON week <= batch GROUP BY ALL HAVING arg_max(o_orderstatus, version) <> 'F'""",
+    "live_rules": """
+        SELECT batch, c_custkey AS node, arg_max(o_orderkey, version) % 2 = 0 AS both_sides
+        FROM weeks JOIN changes ON week <= batch GROUP BY ALL HAVING arg_max(o_orderstatus, version) <> 'F'""",
     # Time and its quality for every decoded event (P-02).
     "timed": """
         SELECT *, CASE WHEN trusted THEN 'payload' ELSE 'rx_time' END AS timestamp_quality,
@@ -444,6 +493,8 @@ SQL_VIEWS = {
 }
 
 _NEEDS = {
+    "live_gates": ["changes", "weeks"],
+    "live_rules": ["changes", "weeks"],
     "pts": ["ev"],
     "vals": ["pts"],
     "coarse": ["vals"],
