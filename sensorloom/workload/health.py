@@ -381,7 +381,7 @@ def cooldown(t):
     """A day's cool-down over every reading above 20, per device."""
     found = _implausible(t, 20.0).withColumn("channel", F.lit("value"))
     alarms = D.as_alarms(found, "plausibility", F.lit("high"), F.col("time"), F.col("value"), F.col("channel"))
-    sent = cool_down(alarms, cooldown_seconds=86_400, block_cooldowns=3)
+    sent = cool_down(alarms, cooldown_seconds=86_400, slice_cooldowns=3)
     return sent.select("mesh_id", "device_id", "channel", "triggered_at")
 
 
