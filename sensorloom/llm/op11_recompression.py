@@ -230,8 +230,9 @@ def _removed(spans: DataFrame) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, mark, n_removed, spans): what is to go of the texts (doc_id, mark, raw) that `parsed` gave `found` for.
+def repeats(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n_removed, spans): what is to go of the texts (doc_id, mark, raw) that `parsed` gave `found` for;
+    and the rows of all texts that may lose a part, which are the only ones still needed with their words.
 
     1. Blocks. All windows that begin in a block lie in its words, so where these also stand in an earlier
        text, one row says that all of them go. The rest are blocks that stand nowhere earlier; the first text that
@@ -254,12 +255,16 @@ def repeats(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFram
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     shared = stage(shared.select("anchor"), "shared_anchors")
     hits = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("anchors"))
-    asked = stage(fresh.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("blocks")).join(hits, ["doc_id", "mark"]), "asked")
-    windows = stage(_windows(docs.join(asked, ["doc_id", "mark"]), window), "windows")
+    own = F.collect_set(F.when(F.col("anchors").isNotNull(), F.col("at")))
+    texts = judged.groupBy("doc_id", "mark").agg(own.alias("blocks"), F.count_if(F.col("anchors").isNull()).alias("copied"))
+    texts = texts.join(hits, ["doc_id", "mark"], "left").where("size(blocks) > 0 and (copied > 0 or anchors is not null)")
+    texts = texts.withColumn("anchors", F.coalesce("anchors", F.array().cast("array<bigint>")))
+    asked = stage(docs.join(stage(texts.drop("copied"), "asked"), ["doc_id", "mark"]), "asked_texts")
+    windows = stage(_windows(asked.where("size(anchors) > 0"), window), "windows")
     recur = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     recur = stage(recur.select("w1", "w2", "first"), "recurring_windows")
     again = windows.join(recur, ["w1", "w2"]).where("first < doc_id").select("doc_id", "mark", "at", (F.col("at") + window).alias("ends"))
-    return _removed(again.union(judged.where("anchors is null").select("doc_id", "mark", "at", "ends")))
+    return _removed(again.union(judged.where("anchors is null").select("doc_id", "mark", "at", "ends"))), asked
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -267,8 +272,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if a window of `window` words that covers it begins in a text with a smaller doc_id too; all is
     judged on the texts as given. Names of runs and pairs are hashes, the same in all tasks, so rounds need
-    no shuffle; what is shuffled are blocks, anchors, windows that may recur, and the texts twice: those that may
-    hold such windows and those that lose a part. Equal fingerprints of 128 bits count as equal words.
+    no shuffle; what is shuffled are blocks, anchors, windows that may recur, the texts once to find those that may
+    lose a part, and these once more. Equal fingerprints of 128 bits count as equal words.
 
     Null and empty texts have no words and the digest of nothing. Rows without an id keep all words and take
     none from others; so do texts shorter than a window. Rows that share an id don't take words from each other;
@@ -280,14 +285,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("raw"))
     with scratch(docs.sparkSession) as keep:
         found = stage(parsed(docs, window), "parsed")
-        gone = stage(repeats(docs, found, window), "removed")
+        gone, texts = repeats(docs, found, window)
+        gone = stage(gone, "removed")
         rows = found.where("at is null").select("doc_id", "mark", "n_words", "sha").join(gone.drop("spans"), ["doc_id", "mark"], "left")
         rows = rows.withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
         part = (F.col("n_removed") > 0) & (F.col("n_removed") < F.col("n_words"))
         sha = F.when(F.col("n_removed") == 0, F.col("sha")).otherwise(NOTHING)
         plain = rows.where(~part).select("doc_id", "n_words", "n_removed", sha.alias("kept_sha256"))
         cut = rows.where(part).select("doc_id", "mark", "n_words").distinct().join(gone, ["doc_id", "mark"])
-        rest = _without(docs.join(stage(cut, "cut"), ["doc_id", "mark"]))
+        rest = _without(texts.drop("blocks", "anchors").join(stage(cut, "cut"), ["doc_id", "mark"]))
         return keep(plain.union(rest).withColumn("doc_id", F.col("doc_id").cast(kind)), "without_repeats")
 
 
