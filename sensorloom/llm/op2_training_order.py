@@ -20,7 +20,7 @@ SHARD = 1024
 #: Documents of a task whose ids settle the code of sequences on their way. It decides their size alone.
 SAMPLE_DOCS = 2_000
 #: Characters of the texts whose new segments are encoded together, unless one text has more.
-TOGETHER = 1_000_000
+TOGETHER = 4_000_000
 KEY = 20_240_229
 ROUNDS = 6
 END = 2  # the end token's id
