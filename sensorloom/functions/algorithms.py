@@ -7,15 +7,31 @@ textbook ones; the set is open to additions through `register`.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..operators import windowed
 
 POINTWISE, WINDOWED = "pointwise", "windowed"
 INHERIT = "inherit:"
 
-Formula = Callable[[Mapping[str, Column], Mapping[str, object]], dict[str, Column]]
+# Parameters are those of one step, or a column of maps of texts where the steps
+# are data; `number` reads both.
+Params = Mapping[str, object] | Column
+Formula = Callable[[Mapping[str, Column], Params], dict[str, Column]]
+# Rows, input columns, parameters, the columns that name a series, and the width
+# of its slices in seconds, to the same rows with `result`, a map from output to value.
+Over = Callable[[DataFrame, Mapping[str, Column], Params, Sequence[str], int], DataFrame]
+
+
+def number(params: Params, name: str, default: float | None = None) -> Column:
+    """A parameter; without a default a missing one can't be computed with."""
+    if not isinstance(params, Column):
+        return F.lit(float(params[name] if default is None else params.get(name, default)))
+    given = F.try_element_at(params, F.lit(name)).try_cast("double")
+    return given if default is None else F.when(F.map_contains_key(params, name), given).otherwise(float(default))
 
 
 @dataclass(frozen=True)
@@ -26,8 +42,10 @@ class Algorithm:
     formula: Formula
     mode: str = POINTWISE
     required_params: tuple[str, ...] = field(default=())
+    # What a windowed algorithm does; its rows have `time` and `packet_id`, which order a series.
+    over: Over | None = None
 
-    def call(self, inputs: Mapping[str, Column], params: Mapping[str, object]) -> dict[str, Column]:
+    def call(self, inputs: Mapping[str, Column], params: Params) -> dict[str, Column]:
         return self.formula(inputs, params)
 
     def unit_for(self, output: str, input_units: Mapping[str, str | None]) -> str | None:
@@ -76,7 +94,7 @@ def _divide(top: Column, bottom: Column) -> Column:
 
 
 def _linear(x, p):
-    return {"value": x["value"] * float(p.get("scale", 1.0)) + float(p.get("offset", 0.0))}
+    return {"value": x["value"] * number(p, "scale", 1.0) + number(p, "offset", 0.0)}
 
 
 def _ratio(x, p):
@@ -99,9 +117,9 @@ def _ppb_to_mass(x, p):
     # Ideal gas: micrograms per cubic metre at the given temperature and
     # pressure; 8.314462618 J/(mol K), 101325 Pa unless stated.
     kelvin = x["temperature"] + 273.15
-    pressure = float(p.get("pressure_pa", 101325.0))
-    moles = F.lit(pressure / 8.314462618) / F.when(kelvin > 0, kelvin)
-    return {"mass": x["ppb"] * float(p["molar_mass_g"]) * moles / 1000}
+    pressure = number(p, "pressure_pa", 101325.0)
+    moles = pressure / 8.314462618 / F.when(kelvin > 0, kelvin)
+    return {"mass": x["ppb"] * number(p, "molar_mass_g") * moles / 1000}
 
 
 register(Algorithm("linear", ("value",), {"value": INHERIT + "value"}, _linear))
@@ -111,3 +129,24 @@ register(Algorithm("dew_point", ("temperature", "humidity"), {"dew_point": "degC
 register(
     Algorithm("ppb_to_ugm3", ("ppb", "temperature"), {"mass": "ug/m3"}, _ppb_to_mass, required_params=("molar_mass_g",))
 )
+
+
+def _windowed(name: str, output: str, unit: str | None, required: tuple[str, ...], run: Callable[..., DataFrame]) -> None:
+    def over(rows, x, p, keys, width):
+        made = run(rows.withColumn("_value", x["value"]), p, keys, {"value": "_value", "into": "_result", "width_seconds": width})
+        return made.withColumn("result", F.create_map(F.lit(output), F.col("_result"))).drop("_value", "_result")
+
+    none = lambda x, p: {output: F.lit(None).cast("double")}
+    register(Algorithm(name, ("value",), {output: unit}, none, WINDOWED, required, over))
+
+
+_TIES = ("packet_id",)
+_windowed(
+    "rolling_mean", "mean", INHERIT + "value", ("seconds",),
+    lambda rows, p, keys, how: windowed.rolling_mean(rows, keys, number(p, "seconds"), **how),
+)
+_windowed(
+    "exponential_smoothing", "smoothed", INHERIT + "value", ("alpha",),
+    lambda rows, p, keys, how: windowed.exponential_smoothing(rows, keys, number(p, "alpha"), order=_TIES, **how),
+)
+_windowed("rate_of_change", "rate", None, (), lambda rows, p, keys, how: windowed.rate_of_change(rows, keys, order=_TIES, **how))

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import recipes
 from ..sources import store
 from . import quality_scan
 
@@ -33,13 +34,6 @@ class ScanPaths:
         return f"{self.root}/completeness"
 
 
-def blueprint_ids(devices: DataFrame) -> list[str]:
-    """Blueprints in use; a recipe is short and read on the driver, and so is its name."""
-    used = F.col("postprocessing_blueprint_id")
-    rows = devices.where(F.coalesce(used, F.lit("")) != "").select(used.alias("id")).distinct().collect()
-    return sorted(r["id"] for r in rows)
-
-
 def scan_fleet(
     points: DataFrame,
     channels: DataFrame,
@@ -55,10 +49,11 @@ def scan_fleet(
 ) -> ScanPaths:
     """R-06, B-04: completeness of every channel and every blueprint in use.
 
-    Derived and quality points go to the point store in one write, alarms and
-    discoveries to theirs. Statistics are written first and read back, so they
-    are computed once. A scan that is run again under its number replaces what
-    it wrote.
+    Blueprints are data: the points are aligned and folded once, whatever the
+    number of recipes. Derived and quality points go to the point store in one
+    write, alarms and discoveries to theirs. Statistics are written first and
+    read back, so they are computed once. A scan that is run again under its
+    number replaces what it wrote.
     """
     spark, paths = points.sparkSession, ScanPaths(root)
     run = quality_scan.check_completeness(points, channels, devices, variants, as_of, completeness_lookback)
@@ -66,15 +61,12 @@ def scan_fleet(
     stats = spark.read.schema(run.stats.schema).parquet(f"{paths.stats}/{store.BATCH}={batch}")
     quality = quality_scan.results_of(stats, completeness_lookback, as_of)
     store.write_rows(quality.alarms, paths.alarms, batch)
-    recipes = [
-        quality_scan.run_blueprint(name, steps, devices, points, types, as_of, blueprint_lookback) for name in blueprint_ids(devices)
-    ]
+    run = quality_scan.run_blueprints(steps, devices, points, types, as_of, blueprint_lookback)
     join = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    store.write_points(join([quality.points, *(r.points for r in recipes)]), paths.points, batch)
+    store.write_points(join([quality.points, run.points]), paths.points, batch)
     # What was derived is read from the store, so blueprints are not run twice.
     written = spark.read.parquet(f"{paths.points}/{store.BATCH}={batch}").where(F.col("measurement") == "derived")
-    found = [
-        quality_scan.discovered(written, recipe.blueprint_id, recipe.units, as_of) for recipe in recipes
-    ]
-    store.write_rows(join([quality.discoveries, *found]), paths.discoveries, batch)
+    named = written.withColumn("blueprint_id", F.col("tags")["blueprint_id"])
+    found = recipes.derived_discoveries(named, run.bound, F.lit(as_of).cast("timestamp"))
+    store.write_rows(join([quality.discoveries, found]), paths.discoveries, batch)
     return paths

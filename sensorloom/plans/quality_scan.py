@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.bounds import duration_seconds, resolve_bound
-from ..operators import blueprints as B, quality as Q
+from ..operators import blueprints as B, quality as Q, recipes as R
 from ..operators.registry import scan_summary
 from ..operators.series import in_range, numeric_only
 
@@ -96,10 +96,33 @@ def run_blueprint(
     )
 
 
-def discovered(points: DataFrame, blueprint_id: str, units: dict[str, str | None], as_of: datetime) -> DataFrame:
-    """S-09: what a blueprint gave each device, from its stored points."""
-    own = points.where(F.col("tags")["blueprint_id"] == blueprint_id)
-    return B.derived_discoveries(own, units, F.lit(as_of).cast("timestamp"))
+@dataclass
+class FleetRun:
+    bound: DataFrame
+    derived: DataFrame
+    points: DataFrame
+    failures: DataFrame
+
+
+def run_blueprints(
+    steps: DataFrame,
+    devices: DataFrame,
+    points: DataFrame,
+    types: DataFrame | None,
+    as_of: datetime,
+    lookback: str = BLUEPRINT_LOOKBACK,
+) -> FleetRun:
+    """B-04: one job for all devices and all their blueprints, windowed steps
+    included. The plan has one scan of the points and does not grow with the
+    number of blueprints."""
+    members = devices.where(F.coalesce("postprocessing_blueprint_id", F.lit("")) != "")
+    used = members.select(F.col("postprocessing_blueprint_id").alias("blueprint_id")).distinct()
+    own = steps.join(used, "blueprint_id", "left_semi")
+    readings = numeric_only(in_range(points, resolve_bound(lookback, as_of, "lookback")))
+    bound = R.bound_steps(own, types)
+    run = R.run_recipes(R.aligned_cells(readings, members, own), R.recipes_of(bound))
+    derived = R.derived_rows(run)
+    return FleetRun(bound, derived, B.derived_points(derived), R.failure_counts(run))
 
 
 def catalog_units(types: DataFrame, recipe: list[B.Step]) -> dict[str, str | None]:

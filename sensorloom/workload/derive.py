@@ -265,6 +265,89 @@ def fleet_scan_points(t):
     return store.read_points(t.spark, paths.points).select("mesh_id", "node_id", "measurement", "field", made_of, "time", "value")
 
 
+# --- blueprints as data ----------------------------------------------------
+
+_OWN_SPAN = f"""SELECT v.*, CAST(COALESCE(reading_interval_seconds, 60) AS BIGINT) * 500000 AS reach
+    FROM vals v JOIN dev ON dev.device_id = v.node_id AND dev.mesh_id = v.mesh_id WHERE time >= {AS_OF_SQL} - INTERVAL 30 DAY"""
+
+
+@query(
+    "b04_blueprint_per_device",
+    with_views(
+        f"""SELECT mesh_id, node_id, 'own-' || node_id AS blueprint_id, f.field, CAST(f.step_order AS BIGINT) AS step_order, {stamp('time')} AS time, round(f.value, 6) AS value
+        FROM (SELECT base.*, w, base.value * (node_id % 7 + 1) + node_id % 3 AS scaled FROM base JOIN w USING (mesh_id, node_id, time)), LATERAL (
+          SELECT 'scaled' AS field, 1 AS step_order, scaled AS value
+          UNION ALL SELECT 'against_view', 2, CASE WHEN node_id % 2 = 0 THEN scaled - w WHEN w <> 0 THEN scaled / w END) f
+        WHERE f.value IS NOT NULL""",
+        "vals",
+        "dev",
+        span=_OWN_SPAN,
+        base="SELECT * FROM span WHERE channel = 'click.value'",
+        w=_nearest("w", "view.value"),
+    ),
+)
+def blueprint_per_device(t):
+    """Every device has a blueprint of its own; all run in one pass."""
+    key, own = F.col("c_custkey"), F.concat(F.lit("own-"), F.col("c_custkey"))
+    first = F.struct(
+        F.lit(1).alias("order"), F.lit("linear").alias("function_name"), F.create_map(F.lit("value"), F.lit("click.value")).alias("inputs"),
+        F.format_string('{"scale": %d, "offset": %d}', key % 7 + 1, key % 3).alias("params"), F.create_map(F.lit("value"), F.lit("scaled")).alias("outputs"),
+    )
+    pair = lambda a, b: F.create_map(F.lit(a), F.lit("scaled"), F.lit(b), F.lit("view.value"))
+    even = key % 2 == 0
+    second = F.struct(
+        F.lit(2).alias("order"), F.when(even, "difference").otherwise("ratio").alias("function_name"),
+        F.when(even, pair("minuend", "subtrahend")).otherwise(pair("numerator", "denominator")).alias("inputs"), F.lit("{}").alias("params"),
+        F.create_map(F.when(even, "difference").otherwise("ratio"), F.lit("against_view")).alias("outputs"),
+    )
+    steps = t.raw("customer").select(own.alias("blueprint_id"), F.inline(F.array(first, second)))
+    devices = t.devices().withColumn("postprocessing_blueprint_id", F.concat(F.lit("own-"), "device_id"))
+    run = quality_scan.run_blueprints(steps, devices, t.points(("value",)), t.types(), AS_OF, "-30d")
+    return run.derived.select("mesh_id", "node_id", "blueprint_id", "field", "step_order", "time", "value")
+
+
+# The scale keeps results off the ties of rounding.
+_WINDOWED_STEPS = [
+    (1, "linear", {"value": "click.value"}, {"scale": 0.123456789}, {"value": "scaled"}),
+    (2, "rolling_mean", {"value": "scaled"}, {"seconds": 259_200}, {"mean": "three_days"}),
+    (3, "exponential_smoothing", {"value": "three_days"}, {"alpha": 0.3}, {"smoothed": "smooth"}),
+    (4, "rate_of_change", {"value": "scaled"}, {}, {"rate": "rate"}),
+    (5, "difference", {"minuend": "scaled", "subtrahend": "smooth"}, {}, {"difference": "above"}),
+]
+
+
+@query(
+    "b02_b03_windowed_steps",
+    with_views(
+        f"""SELECT mesh_id, node_id, f.field, {stamp('time')} AS time, round(f.value, 6) AS value FROM (
+          SELECT r.*, s.smooth FROM rolled r JOIN smoothed s USING (node_id, i)), LATERAL (
+          SELECT 'scaled' AS field, value UNION ALL SELECT 'three_days', mean UNION ALL SELECT 'smooth', smooth UNION ALL SELECT 'rate', rate UNION ALL SELECT 'above', value - smooth) f
+        WHERE f.value IS NOT NULL""",
+        "dev",
+        hot="""SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS node_id, value * 0.123456789::DOUBLE AS value FROM events WHERE event_type = 'click'""",
+        rolled=f"""SELECT mesh_id, node_id, ts AS time, value, row_number() OVER w AS i,
+              avg(value) OVER (PARTITION BY node_id ORDER BY epoch_us(ts) RANGE BETWEEN 259199999999 PRECEDING AND CURRENT ROW) AS mean,
+              CASE WHEN epoch_us(ts) > lag(epoch_us(ts)) OVER w THEN (value - lag(value) OVER w) / ((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6) END AS rate
+            FROM hot JOIN dev ON device_id = node_id WHERE ts >= {AS_OF_SQL} - INTERVAL 30 DAY WINDOW w AS (PARTITION BY node_id ORDER BY ts, event_id)""",
+        smoothed="""WITH RECURSIVE s AS (SELECT node_id, i, mean AS smooth FROM rolled WHERE i = 1
+            UNION ALL SELECT r.node_id, r.i, 0.3::DOUBLE * r.mean + 0.7::DOUBLE * s.smooth FROM s JOIN rolled r ON r.node_id = s.node_id AND r.i = s.i + 1)
+            SELECT * FROM s""",
+    ),
+)
+def windowed_steps(t):
+    """Rolling mean, its smoothing, and rate of change as steps; one device has a third of all readings."""
+    from ..schemas import BLUEPRINT_STEP
+
+    events = t.events().withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 1).otherwise(F.col("user_id")))
+    points = events.join(t.mesh_of_node(), "user_id").select(
+        "mesh_id", F.col("user_id").alias("node_id"), F.col("event_type").alias("measurement"), "time", F.col("event_id").alias("packet_id"),
+        F.lit("value").alias("field"), "value", F.lit("double").alias("value_type"), F.concat("event_type", F.lit(".value")).alias("channel"),
+    )
+    steps = t.spark.createDataFrame([("windows", o, n, i, json.dumps(p), w) for o, n, i, p, w in _WINDOWED_STEPS], BLUEPRINT_STEP)
+    devices = t.devices().withColumn("postprocessing_blueprint_id", F.lit("windows"))
+    return quality_scan.run_blueprints(steps, devices, points, t.types(), AS_OF, "-30d").derived.select("mesh_id", "node_id", "field", "time", "value")
+
+
 @query(
     "b06_s09_derived_discoveries",
     with_views(
