@@ -115,12 +115,14 @@ class LevelTable:
         """Take in changes beyond the offset of the newest version."""
         spark = changes.sparkSession
         now = self.version(spark)
-        made = self._write(newest_per_key(changes.select(*spark.createDataFrame([], self.schema).columns), self.key, (self.order,)), 0)
-        if not made.rows:
-            files.remove(spark, f"{self.path}/segments/{made.name}")
+        # Rows without a key are no versions of anything, but they have been read.
+        offset = changes.agg(F.max(self.order)).first()[0]
+        if offset is None:
             return self._publish(spark, now, now.offset, now.segments, batch) if batch is not None else now
-        offset = self._of(spark, [made]).agg(F.max(self.order)).first()[0]
-        return self._publish(spark, now, offset, self._merged(spark, [*now.segments, made]), batch)
+        columns = spark.createDataFrame([], self.schema).columns
+        made = self._write(newest_per_key(changes.select(*columns), self.key, (self.order,)), 0)
+        segments = self._merged(spark, [*now.segments, made]) if made.rows else now.segments
+        return self._publish(spark, now, offset, segments, batch)
 
     def catch_up(self, spark: SparkSession, read_since: Callable[[SparkSession, int | None], DataFrame], batch: int | None = None) -> Version:
         """Take in what the changelog has beyond the last offset. A consumer's

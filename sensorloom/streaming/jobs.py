@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators import detect, packets
-from ..operators.cooldown import COOLDOWN_SECONDS
+from ..operators.cooldown import COOLDOWN_SECONDS, cool_down
 from ..operators.detect import FLAT_DEFAULT
 from ..operators.registry import route_alarms
 from ..sources import store
@@ -71,18 +71,36 @@ def start_notifications(
     """T-07, J-10, T-06: routing, then cool-down, of a stream of alarms. Open the
     stream at the latest offset, so that a new job sends no old alarms.
 
-    The registry that decides whether anyone would get an alarm, and so whether
-    it starts a cool-down, is that of the start of the query; addresses and
-    labels are looked up anew for each micro-batch.
+    The registry is looked up for each micro-batch: it decides whether anyone
+    would get an alarm, and so whether it starts a cool-down. When an alarm of a
+    key was last sent is kept as a table of levels beside the notifications,
+    with one row per key; a batch's alarms are reduced in Spark before it is
+    read. A batch that is run again begins with what its first run began with.
     """
-    known = reached(*load_registry(alarms.sparkSession))
-    heard = alarms.where(F.coalesce("detector", F.lit("")) != "").join(known, ["mesh_id", "device_id"], "left_semi")
-    sent = keyed.cool_down_stream(heard.select(*alarms.columns), cooldown_seconds)
+    last_sent = sent_table(f"{path}-state")
 
     def write(batch: DataFrame, number: int) -> None:
-        store.write_rows(route_alarms(batch, *load_registry(batch.sparkSession)), path, number)
-
-    return runtime.start(sent, write, checkpoint, every_seconds, partitions=partitions)
+        spark = batch.sparkSession
+        registry = load_registry(spark)
+        heard = batch.where(F.coalesce("detector", F.lit("")) != "").join(reached(*registry), ["mesh_id", "device_id"], "left_semi")
+        now = last_sent.version(spark)
+        done = dict(now.marks).get(number)
+        before = now if done is None else last_sent.version(spark, done - 1) if done > 1 else None
+        state = last_sent.read(spark, before) if before and before.segments else None
+        sent = cool_down(heard.select(*alarms.columns), cooldown_seconds=cooldown_seconds, last_sent=state)
+        store.write_rows(route_alarms(sent, *registry), path, number)
+        if done is None:
+            moments = sent.groupBy("mesh_id", "device_id", "channel", "detector").agg(F.max("triggered_at").alias("sent_at"))
+            # In the order of the clock or not: the newest moment of a key is its latest version.
+            last_sent.append(moments.withColumns({"op": F.lit("upsert"), "version": F.unix_micros("sent_at")}), number)
+
+    return runtime.start(alarms, write, checkpoint, every_seconds, partitions=partitions)
+
+
+def sent_table(path: str) -> LevelTable:
+    """When an alarm of each key was last sent."""
+    schema = "mesh_id string, device_id bigint, channel string, detector string, sent_at timestamp, op string, version bigint"
+    return LevelTable(path, schema, ("mesh_id", "device_id", "channel", "detector"))
 
 
 def reached(devices: DataFrame, meshes: DataFrame, owners: DataFrame) -> DataFrame:
