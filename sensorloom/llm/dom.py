@@ -9,10 +9,10 @@ from html.parser import HTMLParser
 #: Fixed values of HTML: elements without content, whose content is no text, that run within a line, and
 #: that end when one of the second kind begins beside them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object svg math canvas audio video datalist".split())
+HIDDEN = frozenset("head title script style template iframe datalist".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr br img".split()
+    "strong sub sup time tt u var wbr br img math svg object canvas audio video noscript".split()
 )
 ENDED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"},
@@ -69,26 +69,48 @@ class _Builder(HTMLParser):
         self.at = self.root
         self.open: list[tuple[str, Node]] = []  # all open elements, inline and hidden ones too
         self.hidden = self.link = 0
+        # Places in `open`: of each name, of what runs not within a line, of what ends others or is ended.
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.ends: list[int] = []
+
+    def _opened(self, tag: str) -> None:
+        at = len(self.open)
+        self.open.append((tag, self.at))
+        self.places.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+        if tag in SCOPE or tag in ENDED_BY:
+            self.ends.append(at)
+
+    def _forgotten(self, at: int) -> None:
+        self.places[self.open[at][0]].pop()
+        for places in (self.blocks, self.ends):
+            if places and places[-1] == at:
+                places.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br" or tag == "wbr":
             self._text(" " if tag == "br" else "")
             return
         if tag in ("html", "body"):
-            if tag == "body":
+            if tag == "body" and self.hidden:
                 self.hidden = 0  # a head that was not closed ends here
-                self.open = [x for x in self.open if x[0] not in HIDDEN]
+                kept, self.open, self.places, self.blocks, self.ends = [x for x in self.open if x[0] not in HIDDEN], [], {}, [], []
+                now = self.at
+                for name, self.at in kept:
+                    self._opened(name)
+                self.at = now
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if tag in ENDED_BY.get(name, ()):
-                self._close(i)
-                break
-            if name in SCOPE:
+        # A row ends the cell and the row before it; so no element stands twice between two scopes here.
+        while self.ends:
+            at = next((i for i in reversed(self.ends) if tag in ENDED_BY.get(self.open[i][0], ()) or self.open[i][0] in SCOPE), None)
+            if at is None or tag not in ENDED_BY.get(self.open[at][0], ()):
                 break
+            self._close(at)
         if tag in VOID:
             return
-        self.open.append((tag, self.at))
+        self._opened(tag)
         if tag in HIDDEN:
             self.hidden += 1
         elif tag == "a":
@@ -110,15 +132,15 @@ class _Builder(HTMLParser):
         self.handle_starttag(tag, attrs)  # a slash on an element that is not void means nothing
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._close(i)
-                return
-            if tag in INLINE and self.open[i][0] not in INLINE:
-                return
+        places = self.places.get(tag)
+        # The end of an element within a line does not reach out of the block it stands in.
+        if places and not (tag in INLINE and self.blocks and self.blocks[-1] > places[-1]):
+            self._close(places[-1])
 
     def _close(self, i: int) -> None:
-        for tag, before in reversed(self.open[i:]):
+        for at in range(len(self.open) - 1, i - 1, -1):
+            tag, before = self.open[at]
+            self._forgotten(at)
             if tag in HIDDEN:
                 self.hidden = max(0, self.hidden - 1)
             elif tag == "a":
@@ -196,7 +218,7 @@ def measured(nodes: list[Node]) -> tuple[list[list[float]], list[int]]:
     depth = [0] * n
     before, order, count = [0] * n, [0] * n, [0] * n  # characters before a node; place among siblings
     seen, same = 0, {}
-    above_t, above_w = [()] * n, [frozenset()] * n
+    above_t, above_w = [frozenset()] * n, [frozenset()] * n  # groups of all ancestors; shared, not copied
     for i, x in enumerate(nodes):
         p = parent[i]
         before[i] = seen
@@ -205,8 +227,9 @@ def measured(nodes: list[Node]) -> tuple[list[list[float]], list[int]]:
         if p >= 0:
             depth[i] = depth[p] + 1
             count[i] = len(nodes[p].children)
-            above_t[i] = (*above_t[p], nodes[p].tag) if nodes[p].tag in _TAG else above_t[p]
-            above_w[i] = above_w[p] | set(nodes[p].words)
+            group, own = _TAG.get(nodes[p].tag), nodes[p].words
+            above_t[i] = above_t[p] if group is None or group in above_t[p] else above_t[p] | {group}
+            above_w[i] = above_w[p] if above_w[p].issuperset(own) else above_w[p].union(own)
             key = (p, x.tag)
             order[i] = same.get(key, 0)
             same[key] = order[i] + 1
@@ -217,7 +240,7 @@ def measured(nodes: list[Node]) -> tuple[list[list[float]], list[int]]:
         f = [0.0] * N_FEATURES
         f[_TAG.get(x.tag, 3)] = 1.0
         for t in above_t[i]:
-            f[N_TAGS + _TAG[t]] = 1.0
+            f[N_TAGS + t] = 1.0
         at = 2 * N_TAGS
         for w in x.words:
             f[at + w] = 1.0

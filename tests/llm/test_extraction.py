@@ -89,3 +89,27 @@ def test_the_largest_sibling_may_stand_behind_many_others():
     blocks = [i for i, x in enumerate(nodes) if x.tag == "div"]
     assert len(blocks) == 61 and {parent[i] for i in blocks} == {parent[blocks[0]]}
     assert len({features[i][-3] for i in blocks}) == 1 and features[blocks[0]][-3] == features[blocks[-1]][-27]
+
+
+@pytest.mark.parametrize("name", ["math", "svg", "object", "canvas", "audio", "video", "noscript"])
+def test_text_of_such_elements_stays(model, name):
+    page = f"<body><nav><ul>{MENU}</ul></nav><article><h1>The bridge</h1><p>{P}</p><p>Let <{name}>x</{name}> be. {P}</p><p>{P}</p></article></body>"
+    assert op1.main_texts(model, [page]) == [f"The bridge {P} Let x be. {P} {P}"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 50_000 + "<p>end", "<b>" * 350_000 + "end", "<b>x<div>" + "<i>" * 30_000 + "</b>" * 30_000, "<p>" + "<span>" * 100_000 + "</p>" * 50_000,
+        "<ul>" + "<li><p>x" * 60_000, "<table>" + "<tr><td>x" * 50_000, "</x>" * 200_000 + "<b></b>" * 100_000, "<div class='a menu content'>" * 20_000,
+    ],
+)
+def test_deep_and_unclosed_pages(page):
+    import resource
+    import time
+
+    begun, before = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    x, parent = measured(flatten(parse(page)))
+    op1.decoded(np.zeros(len(x)), parent)
+    assert time.process_time() - begun < 10
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB
