@@ -154,10 +154,12 @@ class Graph:
             ids[live], sims[live] = np.take_along_axis(all_ids, best, 1), np.take_along_axis(all_sims, best, 1)
             shut[live] = np.take_along_axis(all_shut, best, 1)
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, old vertex number) of vertices found at similarity `least` or more. A query all of whose
+    def within(self, q: np.ndarray, least: float | np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, old vertex number) of vertices found at similarity `least` or more, one for all queries or
+        one for each. A query all of whose
         beam is that similar is asked again with a beam four times as wide, up to the whole graph."""
         n = len(self.x)
+        least = np.broadcast_to(least, len(q))
         out_q, out_v = [], []
         ask = np.arange(len(q))
         while len(ask) and n:
@@ -167,7 +169,7 @@ class Graph:
             for at in range(0, len(ask), size):
                 part = ask[at : at + size]
                 ids, sims = self._descend(q[part], beam, len(self.layers) - 1)
-                hit = (sims >= least) & (ids >= 0)
+                hit = (sims >= least[part][:, None]) & (ids >= 0)
                 full = hit.all(axis=1) & (beam < n)
                 again.append(part[full])
                 r, c = np.nonzero(hit & ~full[:, None])

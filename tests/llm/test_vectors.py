@@ -54,6 +54,7 @@ def test_links_and_components(spark):
     counts = near.sum(axis=1)
     assert sum(found[i].n_links for i in ids) >= 0.98 * counts.sum()
     assert all(found[i].n_links <= c for i, c in zip(ids, counts, strict=True))
+    assert sum(found[i].n_links for i in ids) % 2 == 0  # both ends count a link
     assert {i: found[i].component_id for i in ids} == want
     assert all(found[i].kept == (want[i] == i) for i in ids)
     for i, *_ in odd[:-1]:
@@ -107,3 +108,41 @@ def test_a_large_group_does_not_hide_missed_pairs(spark, monkeypatch):
     counts = (m @ m.T >= 0.9).sum(axis=1) - 1
     assert 50 < counts[:200].sum() < 0.01 * counts.sum()
     assert {i: found[i] for i in range(200)} == dict(enumerate(counts[:200].tolist()))
+
+
+def test_links_outside_the_first_pools(spark, monkeypatch):
+    """Few vectors have links, none of them in the first pool: further pools are drawn until some are met."""
+    monkeypatch.setattr(op6, "POOL", 40)
+    monkeypatch.setattr(op6, "ROUNDS", 100)
+    without_ways(monkeypatch, list(range(60)))
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 32))
+    x[1:60:2] = x[0:60:2] + rng.normal(size=(30, 32)) * 0.05
+    frame = spark.createDataFrame([(i, [float(v) for v in x[i]], *[None] * 5) for i in range(900)], SCHEMA)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(frame, shards=2, audit=20).collect()}
+    assert found == {i: (int(i < 60), i - i % 2 if i < 60 else i) for i in range(900)}
+
+
+def test_nearest_neighbours_are_audited_where_links_are_rare(spark, monkeypatch):
+    """No pool that is drawn has a link; the graphs are then held against nearest neighbours."""
+    monkeypatch.setattr(op6, "POOL", 30)
+    monkeypatch.setattr(op6, "ROUNDS", 1)
+    without_ways(monkeypatch, list(range(0, 900, 2)))
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 32))
+    x[888] = x[886] + 0.01
+    frame = spark.createDataFrame([(i, [float(v) for v in x[i]], *[None] * 5) for i in range(900)], SCHEMA)
+    classes = frame.selectExpr("vec_id rep", "embedding v", "32 dim", "1L copies", "0 shard")
+    drawn = op6._drawn(classes.where("rep not in (886, 888)"), 0.9, 20).collect()
+    assert len(drawn) == 20 and all(0 < r.least < 0.9 for r in drawn)
+    found = {r.vec_id: r.n_links for r in near_vectors(frame, shards=2, audit=20).collect()}
+    assert found == {i: int(i in (886, 888)) for i in range(900)}
+
+
+def test_huge_entries_are_drawn_whole(spark):
+    schema = SCHEMA.replace("array<float>", "array<double>")
+    rows = [(i, [1e300 * (1 + i), 1e300, 0.0]) for i in range(4)] + [(9, [1e-300, 0.0, 0.0])]
+    found = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(*r, *[None] * 5) for r in rows], schema)).collect()}
+    u = np.array([[1 + i, 1, 0] for i in range(4)] + [[1, 0, 0]], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert list(found.values()) == ((u @ u.T >= 0.9).sum(axis=1) - 1).tolist() or found == dict(zip((0, 1, 2, 3, 9), ((u @ u.T >= 0.9).sum(axis=1) - 1).tolist(), strict=True))
