@@ -93,6 +93,83 @@ class CoolDown(StatefulProcessor):
         pass
 
 
+class OrderedRuns(StatefulProcessor):
+    """T-02, T-03: runs of equal values over readings that come in any order.
+
+    Readings wait in a buffer by time until the watermark says that no earlier
+    one is to be expected, and are then taken in order; a timer at the earliest
+    waiting reading brings that about. The query's watermark is later than
+    that by a grace, so that a reading which comes too late is still seen, and
+    is given out as late.
+    """
+
+    def __init__(self, window: int = FLAT_DEFAULT, grace_ms: int = 0):
+        self.window, self.grace = window, grace_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "us bigint, packet_id bigint", "value double")
+        self.run = handle.getValueState("run", "value double, length bigint")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _edge(self, timerValues) -> int:
+        """Moment up to which readings are taken."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        return (mark + self.grace) * 1000 if mark > 0 else -(2**62)
+
+    def _wake_at(self, us: int | None) -> None:
+        at = None if us is None else -(-us // 1000) - self.grace
+        now = self.timer.get()[0] if self.timer.exists() else None
+        if at == now:
+            return
+        if now is not None:
+            self.handle.deleteTimer(now)
+        if at is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        edge, first = self._edge(timerValues), None
+        for row in rows:
+            us = _micros(row["time"])
+            if us <= edge:
+                yield self._out(key, row["value"], row["time"], late=True)
+                continue
+            self.waiting.updateValue((us, row["packet_id"]), (row["value"],))
+            first = us if first is None else min(first, us)
+        if first is not None:
+            now = self.timer.get()[0] if self.timer.exists() else None
+            if now is None or -(-first // 1000) - self.grace < now:
+                self._wake_at(first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        edge = self._edge(timerValues)
+        self.timer.clear()  # the timer that fired is gone
+        all_ = sorted(((tuple(k), v[0]) for k, v in self.waiting.iterator()), key=lambda x: x[0])
+        value, length = self.run.get() if self.run.exists() else (None, 0)
+        for (us, packet), reading in all_:
+            if us > edge:
+                self._wake_at(us)
+                break
+            self.waiting.removeKey((us, packet))
+            length = length + 1 if reading == value else 1
+            value = reading
+            if length >= self.window:
+                yield self._out(key, value, _moment(us), late=False)
+        self.run.update((value, length))
+
+    def _out(self, key, value, moment, late: bool) -> Row:
+        return Row(
+            mesh_id=key[0], device_id=key[1], channel=key[2], detector="stuck_value", source="stream", value=value,
+            message="too late" if late else STUCK_TEXT % (value, self.window), triggered_at=moment, is_late=late,
+        )
+
+    def close(self) -> None:
+        pass
+
+
 class Absence(StatefulProcessor):
     """T-08: one event-time timer per device, moved on by every packet."""
 
@@ -114,6 +191,12 @@ class Absence(StatefulProcessor):
             self.seen.update((last, moved, interval))
         return iter(())
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        last, interval = _micros(initialState["last_time"]), initialState["publish_interval_seconds"]
+        deadline = last // 1000 + interval * SILENT_INTERVALS * 1000
+        self.handle.registerTimer(deadline)
+        self.seen.update((last, deadline, interval))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         last, deadline, interval = self.seen.get()
         yield Row(
@@ -149,19 +232,47 @@ def cool_down_stream(alarms: DataFrame, cooldown_seconds: int = COOLDOWN_SECONDS
     )
 
 
-def absence_stream(packets: DataFrame, devices: DataFrame, late: str = "10 minutes") -> DataFrame:
+def ordered_stuck_value_stream(
+    readings: DataFrame, window: int = FLAT_DEFAULT, late_seconds: int = 600, grace_seconds: int = 86_400
+) -> DataFrame:
+    """Stuck values over readings that may be up to `late_seconds` behind the
+    latest one, whatever micro-batch they come in. Rows with `is_late` are
+    readings behind that by up to the grace, for a table of their own; what is
+    later still is dropped and counted by the engine."""
+    usable = readings.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    columns = ("mesh_id", "node_id", "field", "value", "time", "packet_id")
+    return (
+        usable.select(*columns)
+        .withWatermark("time", f"{late_seconds + grace_seconds} seconds")
+        .groupBy("mesh_id", "node_id", "field")
+        .transformWithState(
+            statefulProcessor=OrderedRuns(window, grace_seconds * 1000),
+            outputStructType=T.StructType([*_ALARM.fields, T.StructField("is_late", T.BooleanType())]),
+            outputMode="append",
+            timeMode="eventTime",
+        )
+    )
+
+
+def absence_stream(packets: DataFrame, devices: DataFrame, late: str = "10 minutes", last_seen: DataFrame | None = None) -> DataFrame:
     """Devices that fall silent. `packets`: mesh_id, node_id, time.
 
-    The watermark bounds how late a packet may be and drives the timers.
+    The watermark bounds how late a packet may be and drives the timers. With
+    `last_seen` (mesh_id, node_id, last_time, one row each) a new query begins
+    with what the store knows: devices that were heard before it and never
+    since have their timers too.
     """
     watched = devices.where(F.coalesce("publish_interval_seconds", F.lit(0)) > 0).select(
         "mesh_id", F.col("device_id").alias("node_id"), "publish_interval_seconds"
     )
+    known = None
+    if last_seen is not None:
+        known = last_seen.select("mesh_id", "node_id", "last_time").join(watched, ["mesh_id", "node_id"]).groupBy("mesh_id", "node_id")
     return (
         packets.withWatermark("time", late)
         .join(watched, ["mesh_id", "node_id"])
         .groupBy("mesh_id", "node_id")
         .transformWithState(
-            statefulProcessor=Absence(), outputStructType=_ALARM, outputMode="append", timeMode="eventTime"
+            statefulProcessor=Absence(), outputStructType=_ALARM, outputMode="append", timeMode="eventTime", initialState=known
         )
     )

@@ -394,3 +394,65 @@ def stream_absence(t):
     stream = keyed.absence_stream(_stream_points(t).select("mesh_id", "node_id", "time"), t.devices())
     found = _collect_stream(t, "absence", stream)
     return found.select("mesh_id", "device_id", "detector", F.unix_millis("triggered_at").alias("deadline_ms"))
+
+
+LATE = 172_800
+
+
+@query(
+    "t03_reordered_stream",
+    with_views(
+        f"""SELECT mesh_id, node_id AS device_id, value, {stamp('time')} AS triggered_at FROM (
+          SELECT *, count(*) OVER w AS n, min(value) OVER w AS lo, max(value) OVER w AS hi FROM coarse
+          WINDOW w AS (PARTITION BY mesh_id, node_id ORDER BY time, packet_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+        WHERE n = 5 AND lo = hi AND epoch_us(time) <= (epoch_ms((SELECT max(ts) FROM events)) - {LATE * 1000}) * 1000""",
+        "coarse",
+    ),
+)
+def reordered_stream(t):
+    """Readings come up to two days late, over micro-batches of six days; runs
+    are those of the readings in order, as far as the watermark goes."""
+    root = _folder(t, "reordered")
+    raw = t.raw("events")
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(LATE - 1))
+    lot = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) + delay) / (6 * 86_400))
+    for number in sorted(r[0] for r in raw.select(lot.alias("lot")).distinct().collect()):  # six lots in a month
+        raw.where(lot == number).write.mode("append").parquet(f"{root}/in")
+        events = t.shape_events(t.spark.readStream.schema(raw.schema).parquet(f"{root}/in"))
+        readings = events.join(t.mesh_of_node(), "user_id").select(
+            "mesh_id", F.col("user_id").alias("node_id"), F.lit("value").alias("field"), F.floor(F.col("value") / 50).cast("double").alias("value"),
+            "time", F.col("event_id").alias("packet_id"),
+        )
+        stream = keyed.ordered_stuck_value_stream(readings, late_seconds=LATE)
+        runtime.run_until_caught_up(stream, lambda batch, n: store.write_rows(batch, f"{root}/out", n), f"{root}/_checkpoint")
+    found = t.spark.read.schema(stream.schema).parquet(f"{root}/out")
+    return found.where("not is_late").select("mesh_id", "device_id", "value", "triggered_at")
+
+
+@query(
+    "t08_absence_from_store",
+    with_views(
+        """SELECT mesh_id, device_id, heard_last, epoch_us(last) // 1000 + 3 * publish_interval_seconds * 1000 AS deadline_ms
+        FROM (SELECT d.mesh_id, d.device_id, publish_interval_seconds, max(time) AS last, CASE WHEN day(max(time)) <= 29 THEN 'before' ELSE 'since' END AS heard_last
+              FROM dev d JOIN vals v ON v.mesh_id = d.mesh_id AND v.node_id = d.device_id
+              WHERE publish_interval_seconds > 0 GROUP BY d.mesh_id, d.device_id, publish_interval_seconds)
+        WHERE epoch_us(last) // 1000 + 3 * publish_interval_seconds * 1000 <= epoch_ms((SELECT max(ts) FROM events)) - 600000""",
+        "dev",
+        "vals",
+    ),
+)
+def absence_from_store(t):
+    """The stream has the last days of the month alone; devices that were last heard
+    before are known from the stored points."""
+    root = _folder(t, "absence-store")
+    first = F.dayofmonth("ts") <= 29
+    raw = t.raw("events")
+    raw.where(~first).write.parquet(f"{root}/in")
+    stored = t.shape_events(raw.where(first)).join(t.mesh_of_node(), "user_id")
+    last_seen = stored.groupBy("mesh_id", F.col("user_id").alias("node_id")).agg(F.max("time").alias("last_time"))
+    events = t.shape_events(t.spark.readStream.schema(raw.schema).parquet(f"{root}/in"))
+    packets = events.join(t.mesh_of_node(), "user_id").select("mesh_id", F.col("user_id").alias("node_id"), "time")
+    found = _collect_stream(t, "absence-stored", keyed.absence_stream(packets, t.devices(), last_seen=last_seen))
+    heard = F.substring("message", 17, 19).cast("timestamp")
+    when = F.when(F.dayofmonth(heard) <= 29, "before").otherwise("since")
+    return found.select("mesh_id", "device_id", when.alias("heard_last"), F.unix_millis("triggered_at").alias("deadline_ms"))

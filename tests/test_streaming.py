@@ -156,3 +156,35 @@ def test_shared_folder():
     assert shared_folder(session("yarn", spark_checkpoint_dir="hdfs:/x/")) == "hdfs:/x"
     with pytest.raises(ValueError):
         shared_folder(session("yarn"))
+
+
+def test_late_and_reordered_readings(spark, tmp_path):
+    """Runs are those of the readings in time order; what is behind the watermark is told apart."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    lots = [
+        [(0, 1.0), (40, 1.0), (20, 1.0), (10, 1.0)],
+        [(30, 1.0), (100, 2.0), (50, 1.0)],  # the fifth equal one comes before and the sixth after what was read
+        [(200, 3.0), (95, 1.0), (30.5, 9.0)],  # one is behind the watermark of 40
+        [(400, 3.0)], [(401, 3.0)],
+    ]
+    n = 0
+    for lot in lots:
+        rows = [("m", 1, "x", v, moment(s), n + i) for i, (s, v) in enumerate(lot)]
+        n += len(rows)
+        spark.createDataFrame(rows, READING).coalesce(1).write.mode("append").parquet(source)
+        run(keyed.ordered_stuck_value_stream(stream_of(spark, READING, source), 5, 60, 1000), out, str(tmp_path / "cp"))
+    got = sorted((r["is_late"], r["triggered_at"].replace(tzinfo=timezone.utc), r["value"]) for r in spark.read.parquet(out).collect())
+    assert got == [(False, moment(40), 1.0), (False, moment(50), 1.0), (False, moment(95), 1.0), (True, moment(30.5), 9.0)]
+
+
+def test_absence_starts_from_the_store(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "mesh_id string, node_id long, time timestamp"
+    sent = [(2, 5_000), (3, 5_000), (2, 7_900), (3, 7_000), (2, 10_800), (2, 13_700), (2, 14_000)]
+    write_in_pieces(spark, [("m", n, moment(s)) for n, s in sent], schema, source, pieces=len(sent))
+    devices = spark.createDataFrame([("m", n, 1000) for n in (1, 2, 3, 4)], "mesh_id string, device_id long, publish_interval_seconds int")
+    # Node 1 was last heard by the store, node 2 goes on, node 3 falls silent later, node 4 was never heard.
+    seen = spark.createDataFrame([("m", 1, moment(4_000)), ("m", 2, moment(4_500)), ("m", 3, moment(4_200))], "mesh_id string, node_id long, last_time timestamp")
+    run(keyed.absence_stream(stream_of(spark, schema, source), devices, last_seen=seen), out, str(tmp_path / "cp"))
+    got = sorted((r["device_id"], r["triggered_at"].replace(tzinfo=timezone.utc)) for r in spark.read.parquet(out).collect())
+    assert got == [(1, moment(7_000)), (3, moment(10_000))]
