@@ -33,7 +33,11 @@ def completeness(
     `channels` has the channel key, interval_seconds and whatever else should
     be kept; `readings` is already cut to the window.
     """
-    stats = gap_summary(readings, CHANNEL, width_seconds=slice_seconds)
+    return completeness_of(channels, gap_summary(readings, CHANNEL, width_seconds=slice_seconds), window_seconds)
+
+
+def completeness_of(channels: DataFrame, stats: DataFrame, window_seconds: int) -> DataFrame:
+    """A-05 from the summaries of the channels over the window."""
     expected = F.greatest(
         F.lit(1), F.floor(F.lit(window_seconds) / F.greatest(F.lit(1), F.col("interval_seconds")))
     )

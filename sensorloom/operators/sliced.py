@@ -26,18 +26,13 @@ def slice_of(time: Column, width_seconds: int) -> Column:
     return F.floor(F.unix_micros(time) / F.lit(width_seconds * 1_000_000))
 
 
-def gap_summary(
+def gap_slices(
     readings: DataFrame, keys: Sequence[str], time: str = "time", width_seconds: int = DAY
 ) -> DataFrame:
-    """Per series: observed, first_time, last_time and largest_gap_seconds.
-
-    The largest gap is between consecutive readings; the stretches before the
-    first and after the last one do not count, and fewer than two readings
-    give 0.
-    """
+    """Per series and slice: _n, _first, _last and _inner, the largest gap
+    inside. Summaries of disjoint times can be merged by `merge_gap_slices`."""
     per_slice = Window.partitionBy(*keys, SLICE).orderBy("_us")
-    per_series = Window.partitionBy(*keys).orderBy(SLICE)
-    slices = (
+    return (
         readings.select(
             *keys,
             F.unix_micros(time).alias("_us"),
@@ -52,6 +47,11 @@ def gap_summary(
             F.max("_gap").alias("_inner"),
         )
     )
+
+
+def merge_gap_slices(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The summary of each series over the slices given."""
+    per_series = Window.partitionBy(*keys).orderBy("_first")
     return (
         slices.withColumn("_outer", F.col("_first") - F.lag("_last").over(per_series))
         .groupBy(*keys)
@@ -69,6 +69,18 @@ def gap_summary(
     )
 
 
+def gap_summary(
+    readings: DataFrame, keys: Sequence[str], time: str = "time", width_seconds: int = DAY
+) -> DataFrame:
+    """Per series: observed, first_time, last_time and largest_gap_seconds.
+
+    The largest gap is between consecutive readings; the stretches before the
+    first and after the last one do not count, and fewer than two readings
+    give 0.
+    """
+    return merge_gap_slices(gap_slices(readings, keys, time, width_seconds), keys)
+
+
 def _without_nulls(rows: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
     """Key columns with nulls replaced by values no key has."""
     kinds = dict(rows.dtypes)

@@ -50,9 +50,10 @@ class Commits:
     def holds(self, spark: SparkSession, batch: int) -> bool:
         return any(low <= batch <= high for low, high in self.ranges(spark))
 
-    def commit(self, spark: SparkSession, batch: int, keep: int = 100) -> None:
-        numbers = self._numbers(spark)
-        ranges = with_batch(self.ranges(spark), batch)
+    def commit(self, spark: SparkSession, *batches: int, keep: int = 100) -> None:
+        numbers, ranges = self._numbers(spark), self.ranges(spark)
+        for batch in batches:
+            ranges = with_batch(ranges, batch)
         files.create_text(spark, f"{self.folder}/{(numbers[-1] if numbers else 0) + 1:012d}.json", json.dumps(ranges))
         for number in numbers[: -keep]:
             files.remove(spark, f"{self.folder}/{number:012d}.json")

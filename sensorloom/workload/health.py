@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..operators import detect as D, points as P, quality as Q, registry as R, sliced
 from ..operators.cooldown import cool_down
 from ..operators.series import in_range
 from ..plans import notify, quality_scan, telemetry
+from ..plans.gap_store import GapStore
 from ..functions.channels import origin_of, channel_name
+from ..session import shared_folder
 from .registry import query
 from .tables import AS_OF, AS_OF_SQL, stamp, with_views
 
@@ -73,6 +78,31 @@ def completeness(t):
     return _run(t).stats
 
 
+@query(
+    "a05_r06_hourly_scans",
+    with_views(
+        f"""SELECT scan, {_CH}, observed, round(gap, 6) AS largest_gap_seconds FROM (
+          SELECT scan, {_CH}, count(*) AS observed, COALESCE(max(gap) / 1e6, 0.0) AS gap FROM (
+            SELECT scan, v.*, epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY scan, {_CH} ORDER BY time) AS gap
+            FROM vals v JOIN (VALUES ('first', TIMESTAMP '2024-01-20 09:00:00'), ('an hour later', TIMESTAMP '2024-01-20 10:00:00'),
+                                     ('between', TIMESTAMP '2024-01-20 10:20:30')) a(scan, moment)
+            ON time >= moment - INTERVAL 7 DAY AND time < moment) GROUP BY ALL)""",
+        "vals",
+    ),
+)
+def hourly_scans(t):
+    """Three scans of a week's look-back from one store of hourly summaries. Each is
+    written down as it was, since the next one adds to the store."""
+    root = f"{shared_folder(t.spark)}/gaps-{uuid4().hex}"
+    gaps = GapStore(f"{root}/store", lambda spark, start, stop: t.points(("value",)))
+    scans = {"first": (9, 0, 0), "an hour later": (10, 0, 0), "between": (10, 20, 30)}
+    for name, clock in scans.items():
+        stop = datetime(2024, 1, 20, *clock, tzinfo=timezone.utc)
+        found = gaps.stats(t.spark, stop - timedelta(days=7), stop)
+        found.withColumn("scan", F.lit(name)).write.mode("append").parquet(f"{root}/seen")
+    return t.spark.read.parquet(f"{root}/seen").select("scan", "mesh_id", "node_id", "channel", "observed", "largest_gap_seconds")
+
+
 _ALARM_TEXT = """CASE WHEN ratio < 0.8 THEN printf('Only %d of ~%d expected readings in -30d (%.0f%%) - the device published, but its history has gaps at the configured %ds reading interval',
       observed, CAST(expected AS BIGINT), ratio * 100, CAST(interval_seconds AS BIGINT))
     ELSE printf('Overall completeness is fine but there is a %.0fs hole, over 3x the %ds reading interval', gap, CAST(interval_seconds AS BIGINT)) END"""
