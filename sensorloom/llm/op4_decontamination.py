@@ -12,11 +12,10 @@ from sensorloom.llm.common import scratch, stage, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Two windows of similarity 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9; they are over
-#: the radius with probability 5e-15. It is 5e-12 for 4 shingles of 5 (12 bits), 3e-8 where two shingles
-#: are shared equally often (16 bits).
-RADIUS = 36
-BITS = 64
+#: A fingerprint has 128 bits in blocks of 8, and blocks are looked up with up to PROBE bits turned. If two
+#: fingerprints differ in at most RADIUS places, some block differs in at most PROBE, so it is found.
+BLOCKS, BLOCK_BITS, PROBE = 16, 8, 2
+RADIUS = BLOCKS * (PROBE + 1) - 1
 #: Shingles of a benchmark up to which they are broadcast: a hash table of about 100 MB. A larger
 #: benchmark is joined by a shuffle.
 BROADCAST_SHINGLES = 2_000_000
@@ -35,25 +34,43 @@ def shingles(w: Column, n: Column) -> Column:
     )
 
 
-def simhash(grams: Column) -> Column:
-    """64 bits: bit b is the majority of bit b of all shingles, each weighing as often as it occurs."""
-    ones = lambda b: F.size(F.filter(grams, lambda g: F.getbit(g, b) == 1))
+def simhash(hashes: Column) -> Column:
+    """64 bits: bit b is the majority of bit b of all shingles, each weighing as often as it occurs. Ties
+    go to 1 in every other place."""
+    ones = lambda b: F.size(F.filter(hashes, lambda g: F.getbit(g, b) == 1)) * 2
+    wins = lambda b: (ones(b) > F.size(hashes)) | ((ones(b) == F.size(hashes)) & (b % 2 == 1))
+    none = F.lit(0).cast("bigint")
     return F.aggregate(
-        F.sequence(F.lit(0), F.lit(BITS - 1)),
-        F.lit(0).cast("bigint"),
-        lambda acc, b: acc.bitwiseOR(F.when(ones(b) * 2 > F.size(grams), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))),
-    )
+        F.sequence(F.lit(0), F.lit(63)), none,
+        lambda acc, b: acc.bitwiseOR(F.when(wins(b), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(none)),
+    )
+
 
+def marks(grams: Column) -> Column:
+    """The fingerprint of a window in two halves, the second of the shingles hashed again. Shingles are what
+    similarity is made of, so the angle between two windows follows from it; words would let unlike windows
+    of a small vocabulary pass."""
+    return F.struct(simhash(grams).alias("high"), simhash(F.transform(grams, lambda h: F.xxhash64(h))).alias("low"))
 
-def blocks(mark: Column, radius: int = RADIUS) -> Column:
-    """The fingerprint cut into radius + 1 blocks. Two fingerprints within the radius differ in at most
-    `radius` places, so at least one block has none of them: an equal (number, value) is certain."""
-    ends = [BITS * i // (radius + 1) for i in range(radius + 2)]
+
+def blocks(mark: Column, probe: int = 0) -> Column:
+    """(block, bits): the blocks of a fingerprint, each with every choice of up to `probe` bits turned."""
+    turns = [0] + [1 << i for i in range(BLOCK_BITS)] * (probe > 0)
+    turns += [1 << i | 1 << j for i in range(BLOCK_BITS) for j in range(i)] * (probe > 1)
+    half = BLOCKS // 2
     parts = [
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(mark, a).bitwiseAND((1 << (b - a)) - 1).alias("bits"))
-        for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))
+        F.shiftrightunsigned(mark["high" if b < half else "low"], b % half * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
+        for b in range(BLOCKS)
     ]
-    return F.array(*parts)
+
+    def turned(number: int, part: Column) -> Column:
+        return F.transform(F.array(*map(F.lit, turns)), lambda t: F.struct(F.lit(number).alias("block"), part.bitwiseXOR(t).alias("bits")))
+
+    return F.flatten(F.array(*[turned(b, p) for b, p in enumerate(parts)]))
+
+
+def distance(a: Column, b: Column) -> Column:
+    return F.bit_count(a["high"].bitwiseXOR(b["high"])) + F.bit_count(a["low"].bitwiseXOR(b["low"]))
 
 
 def overlap(x: Column, y: Column) -> Column:
@@ -65,68 +82,68 @@ def overlap(x: Column, y: Column) -> Column:
 
 
 def benchmark_items(items: DataFrame) -> DataFrame:
-    """(item_id, size, n, grams, weight, mark) of items with words; repeated rows once."""
+    """(item_id, item, size, n, grams, mark) of items with words; repeated rows once."""
     w = items.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0").distinct()
     n = F.least(F.size("w"), F.lit(SHINGLE))
     g = w.select("item_id", F.size("w").alias("size"), n.alias("n"), shingles(F.col("w"), n).alias("grams"))
     # Two texts under one id are two items.
-    g = g.withColumn("item", F.xxhash64("item_id", "grams"))
-    return g.withColumn("weight", F.size("grams")).withColumn("mark", simhash(F.col("grams")))
+    return g.withColumns({"item": F.xxhash64("item_id", "grams"), "mark": marks(F.col("grams"))})
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, item_id, start, window_words, similarity): for each document text and item the
     best window, if its weighted similarity (sum of smaller over sum of larger counts of shingles) is at
     least the given one. `start` is the first word of the window, from 0.
 
-    1. Shingles of whole documents meet those of the benchmark. A window as similar as asked holds that
-       share of its item's weight at least, so a pair of document and item with less is done with; that
-       loses none and leaves little beside real leaks. Only ids, positions and hashes are kept.
-    2. The rest get item-sized windows where matched shingles align with the item; a text shorter than the
-       item is one window. Their SimHash is looked up among the item's by equal blocks, which finds every
-       fingerprint within the radius.
+    1. Windows have the size of an item. They are cut from whole documents wherever a shingle of any item of
+       that size stands, so that it stands where it does in the item; a window that is similar at all has
+       such a shingle. Items that share a line share these places. A text shorter than an item is one
+       window. Where the benchmark's shingles are broadcast, windows are cut in the same pass, and nothing
+       of a document but its windows is moved.
+    2. The 128-bit SimHash of a window is looked up among those of all items of its size: its blocks meet
+       the items' blocks with up to two bits turned, which finds every fingerprint within the radius of 47.
+       Two windows of similarity 0.8 differ in 19 bits on average with a deviation of 4, so some 1e-11 of
+       them are beyond it; it is about 1e-3 for the worst of repetitive items, a few shingles shared equally often. Of
+       unlike windows 2 in 1,000 are within.
     3. Candidates are verified on the shingles themselves.
 
-    The work grows with the documents and the leaks; no group is gathered, and a passage in a third of all
+    The work grows with the documents and the windows; no group is gathered, and a passage in a third of all
     documents costs a few rows each. Null, empty and wordless texts hold no leak and are none; items below
     five words are one shingle; a null doc_id is an id like another; repeated rows give one row; ties take
     the first window; other columns are not read; no documents or no items give no rows.
     """
     with scratch(docs.sparkSession) as keep:
         bench = stage(benchmark_items(items.select("item_id", "text")), "items")
-        anchors = bench.select("item", "size", "n", "weight", F.posexplode("grams").alias("off", "gram"))
-        anchors = stage(anchors, "anchors")
+        anchors = stage(bench.select("n", "size", F.posexplode("grams").alias("off", "gram")).distinct(), "anchors")
         hot = anchors.count() <= BROADCAST_SHINGLES
-        deal = F.broadcast if hot else (lambda x: x)
         lengths = [r[0] for r in bench.select("n").distinct().collect()]  # at most five
         texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
         split = texts.select("doc_id", "text_hash", words(F.col("text")).alias("w")).where("size(w) > 0")
-        key = ["doc_id", "text_hash", "item"]
-        hits = None
+        at = ["doc_id", "text_hash", "size", "start"]
+        start = F.greatest(F.least(F.col("pos") - F.col("off"), F.col("n_words") - F.col("size")), F.lit(0)).alias("start")
+        cells = None
         for n in lengths or [SHINGLE]:
-            found = split.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.posexplode(shingles(F.col("w"), F.lit(n))).alias("pos", "gram"))
-            rows = found.join(deal(anchors.where(F.col("n") == n)), "gram").select(*key, "n_words", "pos", "gram", "off", "size", "weight")
-            hits = rows if hits is None else hits.union(rows)
-        hits = stage(hits, "hits")
-        shared = hits.select(*key, "gram", "off", "weight").distinct()  # each place of the item once
-        enough = shared.groupBy(*key, "weight").count().where(F.col("count") >= similarity * F.col("weight")).select(*key)
-        same = [F.col(f"h.{k}").eqNullSafe(F.col(f"e.{k}")) for k in key]
-        start = F.greatest(F.least(F.col("pos") - F.col("off"), F.col("n_words") - F.col("size")), F.lit(0))
-        windows = hits.alias("h").join(enough.alias("e"), same, "left_semi").select(*key, start.alias("start")).distinct()
-        windows = stage(windows, "windows").alias("h")
-        source = texts.distinct().alias("e")
-        cells = windows.join(source, same[:2]).select("h.*", words(F.col("e.text")).alias("w"))
-        cells = cells.join(bench.select("item", "item_id", "size", "n", F.col("grams").alias("item_grams"), F.col("mark").alias("item_mark")), "item")
-        cells = cells.withColumn("w", F.slice("w", F.col("start") + 1, F.col("size"))).withColumn("grams", shingles(F.col("w"), F.col("n")))
-        cells = cells.select("doc_id", "text_hash", "item", "item_id", "start", F.size("w").alias("window_words"), "grams", "item_grams", "item_mark")
-        cells = stage(cells.withColumn("mark", simhash(F.col("grams"))), "cells")
-        at = ["doc_id", "text_hash", "item", "start"]
-        probe = cells.select(*at, "mark", F.inline(blocks(F.col("mark"), radius)))
-        index = bench.select("item", F.col("mark").alias("item_mark"), F.inline(blocks(F.col("mark"), radius)))
-        close = probe.join(index, ["item", "block", "bits"]).where(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius)
-        close = close.select(*at).distinct()
+            own = anchors.where(F.col("n") == n)
+            spread = split.select("doc_id", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode(shingles(F.col("w"), F.lit(n))).alias("pos", "gram"))
+            if hot:
+                found = spread.join(F.broadcast(own), "gram").select("doc_id", "text_hash", "n", "size", start, "w")
+            else:
+                places = spread.drop("w").join(own, "gram").select("doc_id", "text_hash", "n", "size", start).distinct()
+                same = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in at[:2]]
+                found = places.alias("p").join(split.alias("s"), same).select("p.*", "s.w")
+            found = found.withColumn("w", F.slice("w", F.col("start") + 1, F.col("size")))
+            cells = found if cells is None else cells.union(found)
+        cells = cells.groupBy(*at, "n").agg(F.first("w").alias("w"))  # equal for equal places
+        cells = cells.select(*at, F.size("w").alias("window_words"), shingles(F.col("w"), F.col("n")).alias("grams"))
+        cells = stage(cells.withColumn("mark", marks(F.col("grams"))), "cells")
+        probe = cells.select(*at, "mark", F.inline(blocks(F.col("mark"))))
+        index = bench.select("item", "size", F.col("mark").alias("item_mark"), F.inline(blocks(F.col("mark"), PROBE)))
+        close = probe.join(index, ["size", "block", "bits"]).where(distance(F.col("mark"), F.col("item_mark")) <= RADIUS)
+        close = stage(close.select(*at, "item").distinct(), "close")
         same = [F.col(f"h.{k}").eqNullSafe(F.col(f"e.{k}")) for k in at]
-        exact = cells.alias("h").join(close.alias("e"), same, "left_semi").withColumn("both", overlap(F.col("grams"), F.col("item_grams")))
+        pairs = close.alias("e").join(cells.alias("h"), same).select("h.*", "e.item")
+        pairs = pairs.join(bench.select("item", "item_id", F.col("grams").alias("item_grams")), "item")
+        exact = pairs.withColumn("both", overlap(F.col("grams"), F.col("item_grams")))
         value = F.col("both") / (F.size("grams") + F.size("item_grams") - F.col("both"))
         exact = exact.withColumn("similarity", value).where(F.col("similarity") >= similarity)
         best = F.min(F.struct((-F.col("similarity")).alias("less"), "start", "window_words")).alias("b")

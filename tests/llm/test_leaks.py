@@ -71,15 +71,68 @@ def test_blocks_find_all_fingerprints_within_the_radius(spark):
 
     r = random.Random(1)
     rows = []
-    for i in range(300):
-        mark = r.getrandbits(64)
+    for _ in range(300):
+        mark = r.getrandbits(128)
         other = mark
-        for b in r.sample(range(64), op4.RADIUS):
+        for b in r.sample(range(128), op4.RADIUS):
             other ^= 1 << b
-        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (mark, other)))
-    frame = spark.createDataFrame(rows, "a long, b long")
-    shared = frame.selectExpr("a", "b").withColumn("x", op4.blocks(frame.a)).withColumn("y", op4.blocks(frame.b))
-    assert shared.where("not arrays_overlap(x, y)").count() == 0
+        rows.append(tuple(x - (1 << 64) if x >> 63 else x for m in (mark, other) for x in (m >> 64, m & (2**64 - 1))))
+    frame = spark.createDataFrame(rows, "a long, b long, c long, d long").selectExpr("named_struct('high', a, 'low', b) x", "named_struct('high', c, 'low', d) y")
+    assert frame.where(op4.distance(frame.x, frame.y) != op4.RADIUS).count() == 0
+    found = frame.withColumn("p", op4.blocks(frame.x)).withColumn("q", op4.blocks(frame.y, op4.PROBE))
+    assert found.where("not arrays_overlap(p, q)").count() == 0
+    assert len(found.first().p) == 16 and len(set(found.first().q)) == 16 * 37
+
+
+def test_fingerprints_choose(spark, items):
+    """Windows that hold a shingle of an item and are unlike it are no candidates; edited ones are."""
+    import random
+
+    r = random.Random(2)
+    texts = {x.item_id: x.text.split() for x in items.where("item_id in (1, 2, 5)").collect()}
+    rows, near = [], set()
+    for i in range(300):
+        item = r.choice(sorted(texts))
+        words = list(texts[item])
+        if i % 2:
+            for _ in range(max(1, len(words) // 45)):
+                words[r.randrange(len(words))] = "edited"
+            near.add(i)
+        else:
+            at = r.randrange(len(words) - 5)
+            words = prose(5_000 + i, at) + words[at : at + 5] + prose(6_000 + i, len(words) - at - 5)
+        rows.append((i, " ".join(words)))
+    frame = table(spark, [(*x, None, None) for x in rows])
+    cells = frame.select("doc_id", op4.words(frame.text).alias("w")).withColumn("mark", op4.marks(op4.shingles(op4.F.col("w"), op4.F.lit(5))))
+    bench = op4.benchmark_items(items).where("size >= 40").selectExpr("size item_size", "mark item_mark")
+    pairs = cells.join(bench, op4.F.size("w") == op4.F.col("item_size")).withColumn("far", op4.distance(op4.F.col("mark"), op4.F.col("item_mark")))
+    close = {x.doc_id for x in pairs.where(op4.F.col("far") <= op4.RADIUS).collect()}
+    assert near <= close and len(close - near) < 8
+    assert {x.doc_id for x in op4.leaks(frame, items).collect()} == exact_leaks(rows, {k: " ".join(v) for k, v in texts.items()})
+
+
+def exact_leaks(rows, texts):
+    def bag(words):
+        return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+    out = set()
+    for doc, text in rows:
+        words = text.split()
+        for item in texts.values():
+            y, size = bag(item.split()), len(item.split())
+            for s in range(max(1, len(words) - size + 1)):
+                x = bag(words[s : s + size])
+                if (x & y).total() >= 0.8 * (x | y).total():
+                    out.add(doc)
+    return out
+
+
+def test_a_benchmark_too_large_to_broadcast(spark, items, monkeypatch):
+    texts = [(i, f"before it {x.text} and after") for i, x in enumerate(items.where("text <> ''").collect())] + [(None, None), (None, "none of it")]
+    docs = table(spark, [(*x, None, None) for x in texts])
+    want = sorted(map(str, op4.leaks(docs, items).collect()))
+    monkeypatch.setattr(op4, "BROADCAST_SHINGLES", 0)
+    assert sorted(map(str, op4.leaks(docs, items).collect())) == want and want
 
 
 def test_main_path_has_no_python(spark, items):
