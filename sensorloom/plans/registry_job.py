@@ -1,41 +1,46 @@
-"""Sightings and discoveries folded into stored registry snapshots."""
+"""Sightings and discoveries folded into stored registry tables.
 
-from __future__ import annotations
+The tables are kept in buckets by device number, so a batch rewrites the
+buckets of the devices in it. A run that fails leaves the last version.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import registry
-from ..sources import store
+from ..sources.buckets import BUCKETS, BucketTable
+
+_KEYS = "mesh_id string, device_id long, payload_kind string"
+_SEEN = "first_seen timestamp, last_seen timestamp"
+
+
+def device_table(root: str, schema: str, buckets: int = BUCKETS) -> BucketTable:
+    return BucketTable(f"{root}/devices", schema, buckets=buckets)
 
 
-def _advance(spark: SparkSession, path: str, schema: str, change: Callable[[DataFrame], DataFrame]) -> int:
-    """Write the next version of a snapshot. A run that fails leaves the last one."""
-    version = store.last_version(spark, path)
-    current = store.read_snapshot(spark, path, schema, version)
-    store.write_snapshot(change(current), path, version + 1)
-    return version + 1
+def variant_table(root: str, buckets: int = BUCKETS) -> BucketTable:
+    return BucketTable(f"{root}/device_variants", f"{_KEYS}, {_SEEN}", buckets=buckets)
 
 
-def apply_sightings(spark: SparkSession, root: str, schema: str, sightings: DataFrame, meshes: DataFrame) -> int:
-    """A-10, S-11: the devices table after a batch of sightings."""
-    return _advance(spark, f"{root}/devices", schema, lambda devices: registry.upsert_devices(devices, sightings, meshes))
+def measurement_table(root: str, buckets: int = BUCKETS) -> BucketTable:
+    return BucketTable(f"{root}/measurements", f"{_KEYS}, field_name string, {_SEEN}", buckets=buckets)
 
 
-def apply_discoveries(spark: SparkSession, root: str, discoveries: DataFrame, devices: DataFrame) -> None:
+def apply_sightings(devices: BucketTable, sightings: DataFrame, meshes: DataFrame) -> int:
+    """A-10, S-11: the devices table after a batch of sightings. All devices of
+    a number share a bucket, so the rule on allowed numbers sees them all."""
+    known = registry.known_sightings(sightings, meshes)
+    return devices.advance(known.select("device_id"), lambda rows: registry.upsert_devices(rows, sightings, meshes))
+
+
+def apply_discoveries(variants: BucketTable, measurements: BucketTable, discoveries: DataFrame, devices: DataFrame) -> None:
     """A-11: variants and channels of devices after a batch of discoveries."""
-    keys = "mesh_id string, device_id long, payload_kind string"
-    seen = "first_seen timestamp, last_seen timestamp"
-    _advance(
-        spark, f"{root}/device_variants", f"{keys}, {seen}", lambda t: registry.upsert_device_variants(t, discoveries, devices)
-    )
-    _advance(
-        spark, f"{root}/measurements", f"{keys}, field_name string, {seen}",
-        lambda t: registry.upsert_measurements(t, discoveries, devices),
-    )
-
-
-def start_empty(spark: SparkSession, path: str, schema: str, rows: DataFrame | None = None) -> None:
-    """Version 0 of a snapshot."""
-    store.write_snapshot(spark.createDataFrame([], schema) if rows is None else rows, path, 0)
+    keys = registry.known_discoveries(discoveries, devices).select("device_id")
+    variants.advance(keys, lambda rows: registry.upsert_device_variants(rows, discoveries, devices))
+    measurements.advance(keys, lambda rows: registry.upsert_measurements(rows, discoveries, devices))
+
+
+def start_empty(spark: SparkSession, table: BucketTable, rows: DataFrame | None = None) -> None:
+    """Version 0 of a table."""
+    table.start(spark.createDataFrame([], table.schema) if rows is None else rows)

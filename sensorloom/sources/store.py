@@ -23,20 +23,30 @@ BATCH = "ingest_batch"
 ARRIVAL = "arrival"
 
 
-def _write_batch(df: DataFrame, path: str, batch: int, partitions: Sequence[str]) -> None:
+# Order of points within their files, and what says that a node is not in a row group.
+_CLUSTERED = ("mesh_id", "node_id", "field", "time")
+_NODE_FILTER = {"parquet.bloom.filter.enabled#node_id": "true", "parquet.bloom.filter.expected.ndv#node_id": "100000"}
+
+
+def _write_batch(df: DataFrame, path: str, batch: int, partitions: Sequence[str], order: Sequence[str] = ()) -> None:
     # `rebalance` evens out files by partition value and, unlike a hash
     # repartition, lets the engine split a value that holds most of the rows.
     rows = df.hint("rebalance", *partitions) if partitions else df
+    if order:
+        rows = rows.sortWithinPartitions(*partitions, *order)
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
+        .options(**(_NODE_FILTER if "node_id" in order else {}))
         .partitionBy(*partitions)
         .parquet(f"{path}/{BATCH}={batch}")
     )
 
 
 def write_points(points: DataFrame, path: str, batch: int) -> None:
-    """S-04, S-07, S-08: store points by day and measurement.
+    """S-04, S-07, S-08: store points by day and measurement, in files that are
+    sorted by device, field and time: what is read for one device are the few
+    pages that hold it (S-06).
 
     Copies within the batch are folded before the write: the last one to arrive
     stays, by the `arrival` number the rows carry. Rows without it keep the one
@@ -46,7 +56,7 @@ def write_points(points: DataFrame, path: str, batch: int) -> None:
     carried = ARRIVAL in points.columns
     rows = dedupe_points(points, *((ARRIVAL, "packet_id") if carried else ())).drop(ARRIVAL)
     rows = rows.withColumn("dt", F.to_date("time"))
-    _write_batch(rows, path, batch, ("dt", "measurement"))
+    _write_batch(rows, path, batch, ("dt", "measurement"), _CLUSTERED)
 
 
 def read_points(
@@ -85,17 +95,25 @@ def compact_points(spark: SparkSession, path: str, into: str, day: datetime) ->
     begin = datetime(day.year, day.month, day.day, tzinfo=timezone.utc)
     folded = read_points(spark, path, begin, begin + timedelta(days=1))
     # A day of the compacted store is a batch of its own, so days don't replace each other.
-    _write_batch(folded.withColumn("dt", F.to_date("time")), into, begin.toordinal(), ("dt", "measurement"))
+    _write_batch(folded.withColumn("dt", F.to_date("time")), into, begin.toordinal(), ("dt", "measurement"), _CLUSTERED)
 
 
 def read_channel(
-    points: DataFrame, channel: str | Column, start: datetime | None = None, devices: DataFrame | None = None
+    points: DataFrame,
+    channel: str | Column,
+    start: datetime | None = None,
+    devices: DataFrame | None = None,
+    nodes: Sequence[int] | None = None,
 ) -> DataFrame:
     """S-06: numeric readings of a channel over a look-back, for many devices.
 
     The two halves of the channel become two equality predicates, which the
-    scan can use; a malformed channel is an error.
+    scan can use; a malformed channel is an error. `nodes` are the few devices
+    of an interactive question, which the scan can use too: of files sorted by
+    device it reads the pages that hold them. A table of `devices` is joined.
     """
+    if nodes is not None:
+        points = points.where(F.col("node_id").isin(*nodes))
     if isinstance(channel, str):
         measurement, dot, field = channel.partition(".")
         if not dot or not measurement or not field:
@@ -135,30 +153,3 @@ def write_rows(rows: DataFrame, path: str, batch: int, by: Sequence[str] = ()) -
         .partitionBy(*by)
         .parquet(f"{path}/{BATCH}={batch}")
     )
-
-
-def write_snapshot(rows: DataFrame, path: str, version: int) -> str:
-    """A new version of a registry table next to the old ones. Readers move to
-    it by path, so they never see a half-written table."""
-    target = f"{path}/version={version:012d}"
-    rows.write.mode("overwrite").parquet(target)
-    return target
-
-
-def last_version(spark: SparkSession, path: str) -> int:
-    """Newest whole version of a snapshot; the folder names tell, no file is read."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    whole = [
-        int(found.getPath().getName().removeprefix("version="))
-        for found in files.listStatus(root)
-        if found.getPath().getName().startswith("version=") and files.exists(hadoop.Path(found.getPath(), "_SUCCESS"))
-    ]
-    if not whole:
-        raise FileNotFoundError(f"no whole version in {path}")
-    return max(whole)
-
-
-def read_snapshot(spark: SparkSession, path: str, schema: str, version: int) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/version={version:012d}")

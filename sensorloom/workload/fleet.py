@@ -11,7 +11,6 @@ from ..operators import changelog as L, packets as K, quality as Q, registry as
 from ..plans import registry_job
 from ..schemas import DEVICE
 from ..session import shared_folder
-from ..sources import store
 from .registry import query
 from .tables import AS_OF, stamp, with_views
 
@@ -126,15 +125,15 @@ def device_upsert(t):
 
 @query("a10_s11_registry_job", ORACLE_DEVICES)
 def registry_job_devices(t):
-    """The same sightings in three batches, each folded into the stored snapshot before."""
-    root = f"{shared_folder(t.spark)}/registry-{uuid4().hex}"
+    """The same sightings in three batches, each rewriting the buckets it touches."""
     known = t.devices().where(F.col("device_id") % 3 != 1)
-    registry_job.start_empty(t.spark, f"{root}/devices", DEVICE, known.select(*[c.split()[0] for c in DEVICE.split(", ")]))
+    devices = registry_job.device_table(f"{shared_folder(t.spark)}/registry-{uuid4().hex}", DEVICE)
+    registry_job.start_empty(t.spark, devices, known.select(*[c.split()[0] for c in DEVICE.split(", ")]))
     sightings = K.sightings(t.decoded())
     day = F.dayofmonth("seen_at")
     for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
-        version = registry_job.apply_sightings(t.spark, root, DEVICE, sightings.where(part), t.meshes())
-    merged = store.read_snapshot(t.spark, f"{root}/devices", DEVICE, version)
+        registry_job.apply_sightings(devices, sightings.where(part), t.meshes())
+    merged = devices.read(t.spark)
     return merged.select(
         "id", "mesh_id", "device_id", "is_allowed", "is_gateway", "latitude", "longitude", *R.IDENTITY, "last_seen"
     )
@@ -198,6 +197,29 @@ def measurements(t):
     return rows.withColumns({c: F.unix_seconds(c) for c in ("first_seen", "last_seen")})
 
 
+@query(
+    "a11_registry_job",
+    with_views(
+        """SELECT mesh_id, device_id, payload_kind, field_name, min(rx_time) AS first_seen, max(rx_time) AS last_seen
+        FROM spread GROUP BY mesh_id, device_id, payload_kind, field_name""",
+        "dec",
+        "dev",
+        known=_KNOWN,
+        spread=_SEEN_FIELDS,
+    ),
+)
+def registry_job_measurements(t):
+    """The same discoveries in two batches, folded into the stored tables."""
+    root = f"{shared_folder(t.spark)}/registry-{uuid4().hex}"
+    variants, channels = registry_job.variant_table(root), registry_job.measurement_table(root)
+    for table in (variants, channels):
+        registry_job.start_empty(t.spark, table)
+    discoveries, devices = _discovery_inputs(t)
+    for part in (F.dayofmonth("seen_at") <= 15, F.dayofmonth("seen_at") > 15):
+        registry_job.apply_discoveries(variants, channels, discoveries.where(part), devices)
+    return channels.read(t.spark).withColumns({c: F.unix_seconds(c) for c in ("first_seen", "last_seen")})
+
+
 @query(
     "a11_measurement_types",
     with_views(
