@@ -109,11 +109,12 @@ def stuck_value(
     readings: DataFrame, keys: Sequence[str] = ("mesh_id", "node_id", "field"), window: int = FLAT_DEFAULT
 ) -> DataFrame:
     """R-01."""
-    stuck = flat_readings(readings, keys, window)
+    return stuck_alarms(flat_readings(readings, keys, window), window, keys[-1])
+
+
+def stuck_alarms(stuck: DataFrame, window: int = FLAT_DEFAULT, field: str = "field") -> DataFrame:
     message = F.format_string(STUCK_TEXT, plain_number(F.col("value")), F.lit(window))
-    return as_alarms(
-        stuck, "stuck_value", message, F.col("time"), F.col("value"), F.col(keys[-1]), source="stream"
-    )
+    return as_alarms(stuck, "stuck_value", message, F.col("time"), F.col("value"), F.col(field), source="stream")
 
 
 def flat_value(readings: DataFrame, hours: float = FLAT_HOURS) -> DataFrame:

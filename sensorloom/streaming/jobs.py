@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
@@ -14,7 +14,7 @@ from ..operators.detect import FLAT_DEFAULT
 from ..operators.registry import route_alarms
 from ..sources import store
 from ..sources.levels import LevelTable
-from . import keyed, runtime
+from . import runtime
 from .ingest import LiveTable
 
 Loader = Callable[[SparkSession], DataFrame]
@@ -36,14 +36,33 @@ def start_detection(
     """R-01, R-02, J-04: stuck values and range rules over decoded or
     calibrated events.
 
-    Two queries read the events: runs of equal values are keyed state, while
-    rules are looked up for each micro-batch, so a changed rule holds for all
-    packets that come after it. Rules that come as a `LiveTable` are kept up
-    with; a loader's are read anew. Alarms are under `root`/stuck_value and
-    `root`/range_check.
+    Two queries read the events. Runs of equal values are found in Spark within
+    a micro-batch, in time slices, together with the last readings of each
+    series before it, which are kept as a table of levels: state has one row a
+    series, and no reading passes through Python. Rules are looked up for
+    each micro-batch, so a changed rule holds for all packets that come after
+    it. Rules that come as a `LiveTable` are kept up with; a loader's are read
+    anew. Alarms are under `root`/stuck_value and `root`/range_check.
     """
-    readings = packets.observations(events, include_time=False)
-    stuck = keyed.stuck_value_stream(readings, window)
+    last = recent_table(f"{root}/stuck_value-state")
+
+    def write_stuck(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = last.version(spark)
+        done = dict(now.marks).get(number)
+        before = now if done is None else last.version(spark, done - 1) if done > 1 else None
+        readings = packets.observations(batch, include_time=False).where(F.col("value").isNotNull() & ~F.isnan("value"))
+        readings = readings.withColumn("is_new", F.lit(True))
+        if before and before.segments:
+            readings = readings.unionByName(_recent(last.read(spark, before), readings))
+        flat = detect.flat_readings(readings, SERIES, window).where("is_new")
+        store.write_rows(detect.stuck_alarms(flat, window), f"{root}/stuck_value", number)
+        if done is None:
+            # A limit per key is applied before the shuffle too, so a busy series is reduced where it is read.
+            newest = Window.partitionBy(*SERIES).orderBy(F.desc("time"), F.desc("packet_id"))
+            kept = readings.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") < window)
+            rows = kept.groupBy(*SERIES).agg(F.collect_list(F.struct("time", "packet_id", "value")).alias("recent"), F.max(F.unix_micros("time")).alias("version"))
+            last.append(rows.withColumn("op", F.lit("upsert")), number)
 
     def write_ranges(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -51,14 +70,28 @@ def start_detection(
         store.write_rows(detect.range_check(packets.observations(batch, include_time=False), rules), f"{root}/range_check", number)
 
     return [
-        runtime.start(
-            stuck, lambda batch, number: store.write_rows(batch, f"{root}/stuck_value", number),
-            f"{root}/_checkpoints/stuck_value", every_seconds, partitions=partitions,
-        ),
+        runtime.start(events, write_stuck, f"{root}/_checkpoints/stuck_value", every_seconds, partitions=partitions),
         runtime.start(events, write_ranges, f"{root}/_checkpoints/range_check", every_seconds, partitions=partitions),
     ]
 
 
+SERIES = ("node_id", "mesh_id", "field")
+
+
+def recent_table(path: str) -> LevelTable:
+    """The last readings of each series, as many as a run may still need."""
+    schema = "node_id bigint, mesh_id string, field string, recent array<struct<time:timestamp,packet_id:bigint,value:double>>, op string, version bigint"
+    return LevelTable(path, schema, SERIES)
+
+
+def _recent(state: DataFrame, readings: DataFrame) -> DataFrame:
+    """Stored readings of the series that a batch has readings of."""
+    here = readings.select(*SERIES).distinct().alias("h")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"h.{c}")) for c in SERIES]
+    known = state.alias("s").join(here, same, "left_semi").select(*SERIES, F.inline("recent"))
+    return known.select(*[F.col(c) for c in readings.columns if c != "is_new"], F.lit(False).alias("is_new"))
+
+
 def start_notifications(
     alarms: DataFrame,
     load_registry: Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]],
