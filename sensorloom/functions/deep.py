@@ -7,7 +7,9 @@ deeper are walked here, in Arrow batches; all other rows pass a null.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,39 @@ def leaves_of(root: dict) -> Iterator[tuple[str | None, str, float]]:
                 yield top, key, float(value)
 
 
+def number_text(value: float) -> str:
+    """A double as the engine writes it: plain from 0.001 up to ten million, else with an exponent."""
+    if value == 0 or not math.isfinite(value) or 1e-3 <= abs(value) < 1e7:
+        return repr(value)
+    sign, digits, power = Decimal(repr(value)).normalize().as_tuple()
+    figures = "".join(map(str, digits))
+    return f"{'-' if sign else ''}{figures[0]}.{figures[1:] or '0'}E{power + len(figures) - 1}"
+
+
+def text_of(root: dict) -> str:
+    """JSON of an object, with a stack instead of recursion."""
+    out: list[str] = []
+    waiting: list = [("value", root)]
+    while waiting:
+        kind, item = waiting.pop()
+        if kind == "text":
+            out.append(item)
+        elif isinstance(item, (dict, list)):
+            parts = [(f"{json.dumps(k, ensure_ascii=False)}:", v) for k, v in item.items()] if isinstance(item, dict) else [("", v) for v in item]
+            opens, closes = "{}" if isinstance(item, dict) else "[]"
+            waiting.append(("text", closes))
+            for i in range(len(parts) - 1, -1, -1):
+                waiting.append(("value", parts[i][1]))
+                waiting.append(("text", ("," if i else opens) + parts[i][0]))
+            if not parts:
+                out.append(opens)
+        elif isinstance(item, float):
+            out.append(number_text(item))
+        else:
+            out.append(json.dumps(item, ensure_ascii=False))
+    return "".join(out)
+
+
 def curve_value(value: float, curve: dict) -> float:
     """`calibration.apply_curve` for one number."""
     name, points = curve["function_name"], curve["points"]
@@ -82,6 +117,6 @@ def deep_calibrated(payloads: pd.Series, curves: pd.Series) -> pd.Series:
                     waiting.append(value)
                 elif _is_number(value) and by_name.get(key) is not None:
                     inner[key] = curve_value(float(value), by_name[key])
-        return json.dumps(root, separators=(",", ":"), ensure_ascii=False)
+        return text_of(root)
 
     return pd.Series([rewrite(t, c) for t, c in zip(payloads, curves)], dtype=object)

@@ -60,10 +60,14 @@ def calibrate_events(events: DataFrame, changes: DataFrame) -> DataFrame:
     members = J.as_object(F.try_parse_json("payload"))
     rebuilt = F.to_json(_calibrated(members, F.col("_curves"), J.UNROLLED))
     # What the expression leaves as it was below its last level, `deep` rewrites.
-    deeper = _has_level(members, J.UNROLLED)
+    # A text with no more braces than levels needs no look at its levels.
+    braces = F.length("payload") - F.length(F.replace("payload", F.lit("{"), F.lit("")))
+    deeper = F.when(braces > J.UNROLLED, _has_level(members, J.UNROLLED)).otherwise(F.lit(False))
     found = events.withColumn("_series", series_key()).join(curves, "_series", "left")
     far = F.when(F.col("_curves").isNotNull() & deeper, F.col("payload"))
-    found = found.withColumn("_far", deep_calibrated(far, F.col("_curves")))
+    found = found.withColumn("_far", far)
+    # Curves go to the few rows that need them there.
+    found = found.withColumn("_far", deep_calibrated("_far", F.when(F.col("_far").isNotNull(), F.col("_curves"))))
     return found.withColumn(
         "payload", F.when(F.col("_curves").isNotNull(), F.coalesce("_far", rebuilt, "payload")).otherwise(F.col("payload"))
     ).select(*events.columns)

@@ -70,7 +70,7 @@ class IngestPaths:
     root: str
 
     def __getattr__(self, name: str) -> str:
-        if name in ("decoded", "points", "sightings", "discoveries", "drops", "dead_letters"):
+        if name in ("decoded", "points", "sightings", "discoveries", "drops", "unreadable", "dead_letters"):
             return f"{self.root}/{name}"
         raise AttributeError(name)
 
@@ -137,6 +137,7 @@ def write_ingest(
             "sightings": lambda: store.write_rows(kinds["sightings"], paths.sightings, batch),
             "discoveries": lambda: store.write_rows(kinds["discoveries"], paths.discoveries, batch),
             "drops": lambda: store.write_rows(kinds["drops"], paths.drops, batch),
+            "unreadable": lambda: store.write_rows(unreadable(kinds["decoded"]), paths.unreadable, batch),
         }
         if calibrations is not None:
             calibrated = calibrate_events(kinds["decoded"], calibrations)
@@ -150,6 +151,13 @@ def write_ingest(
         gated.unpersist()
 
 
+def unreadable(events: DataFrame) -> DataFrame:
+    """T-09: decoded packets whose payload the parser refuses, as one that nests
+    over a thousand levels. They are archived as they are and have no points."""
+    refused = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
+    return events.where(refused).withColumn("reject_reason", F.lit("unreadable_payload"))
+
+
 def read_table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """A table of the ingest as its record shows it: whole batches only."""
     return Commits(root).read(spark, name, schema)

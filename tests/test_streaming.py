@@ -116,6 +116,16 @@ def test_ingest_over_batches_and_replay(spark, tmp_path):
     assert spark.read.parquet(paths.points).count() == before
 
 
+def test_unreadable_payloads_are_told(spark, tmp_path):
+    rows = [envelope(0), (*envelope(1)[:-2], '{"a":' * 1_500 + "1" + "}" * 1_500, True), (*envelope(4)[:-2], "{oops", True), envelope(7)]
+    gateways, rejections = spark.createDataFrame([("!g1", "m"), ("!g2", "m")], "gateway_id string, mesh_id string"), spark.createDataFrame([], "mesh_id string, device_id long")
+    ingest.write_ingest(spark.createDataFrame(rows, schemas.ENVELOPE), 0, gateways, rejections, ingest.IngestPaths(str(tmp_path)))
+    read = lambda name, schema: ingest.read_table(spark, str(tmp_path), name, schema)
+    told = read("unreadable", f"{schemas.DECODED}, reject_reason string")
+    assert {(r["packet_id"], r["reject_reason"]) for r in told.collect()} == {(1, "unreadable_payload"), (4, "unreadable_payload")}
+    assert read("decoded", schemas.DECODED).count() == 4
+
+
 def test_point_writer_takes_events_and_alarms(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "points")
     events = spark.createDataFrame([(1, 1, 67, BASE, 1, "LF", "!g", "m", "telemetry:e", '{"e": {"t": 1}}')], schemas.DECODED)
