@@ -322,9 +322,12 @@ def deduplicated(docs: DataFrame, near: Near = Near()) -> DataFrame:
         keys = named.groupBy("__key").agg(F.min("doc_id").alias("own"), F.count("*").alias("times"))
         keys = stage(keys.join(parts, "__key", "left"), "keys")
         order = F.struct(F.col("own").isNull(), "own", "__key")
-        first = keys.where("component is not null").groupBy("component").agg(F.min_by("__key", order).alias("first"))
-        judged = keys.join(first, "component", "left").withColumn("keep", F.coalesce(F.col("__key") == F.col("first"), F.lit(True)))
-        ids = keep(judged.where("not keep or times > 1").select("__key", "keep"), "dropped")
+        grouped = keys.where("component is not null")
+        # What stays is a table of keys of its own; members meet it by key, so a large group is many tasks' work.
+        first = stage(grouped.groupBy("component").agg(F.min_by("__key", order).alias("__key")).select("__key"), "first")
+        lost = stage(grouped.join(first, "__key", "left_anti").select("__key", F.lit(False).alias("keep")), "lost")
+        again = keys.where("times > 1").join(lost, "__key", "left_anti").select("__key", F.lit(True).alias("keep"))
+        ids = keep(lost.union(again), "dropped")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = keyed.join(ids, "__key", "left_anti").select(*columns)
     again = ids.where("keep").select("__key")
