@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,6 +133,29 @@ def file_paths(folder: str) -> list[str]:
     return sorted(prefix + x.path for x in found if x.is_file and not x.path.endswith(".part"))
 
 
+#: Partial sums of a row that are added in one task at most, at each of two levels.
+FAN_IN = 256
+
+
+def summed_rows(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """Sums of the arrays of (i, row) by i, in order. Rows of one i are added by executors in two levels, so no
+    task adds those of all tasks and the driver sees one for each i."""
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [key[0]], "row": [np.sum(np.stack(frame["row"].to_numpy()), axis=0)]})
+
+    rows = rows.withColumn("part", F.expr(f"spark_partition_id() div {FAN_IN}"))
+    some = rows.groupBy("i", "part").applyInPandas(add, "i int, row array<double>")
+    found = some.groupBy("i").applyInPandas(add, "i int, row array<double>").collect()
+    return [(r["i"], np.array(r["row"])) for r in sorted(found)]
+
+
+def summed(rows: DataFrame) -> np.ndarray | None:
+    """The matrix whose rows are these sums."""
+    found = summed_rows(rows)
+    return np.stack([row for _, row in found]) if found else None
+
+
 def ranked(df: DataFrame, *order: str) -> DataFrame:
     """Adds `rank`, 0, 1, ... in the given order, without gathering rows in one task: rows are
     range-partitioned, numbered inside their partition and moved on by the rows before it. The driver

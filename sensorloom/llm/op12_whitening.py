@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import scratch, stage, table
+from sensorloom.llm.common import scratch, stage, summed, table
 
 #: Steps of the grid that entries are floored to, and components to give.
 STEPS, COMPONENTS = 256, 4
 #: Correction rounds; four are usual, as the error squares in each.
 ROUNDS = 24
-#: Partial sums of a matrix row that are added in one task at most, at each of two levels.
-FAN_IN = 256
 LONG = 2**63
 
 
@@ -107,19 +104,6 @@ def eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[order] * scale, x[:, order]
 
 
-def _summed(rows: DataFrame) -> np.ndarray | None:
-    """The sum of the matrices that tasks gave row by row (i, row). Rows of the same i are added by
-    executors in two levels, so no task adds the rows of all tasks and the driver sees one matrix."""
-
-    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [key[0]], "row": [np.sum(np.stack(frame["row"].to_numpy()), axis=0)]})
-
-    rows = rows.withColumn("part", F.expr(f"spark_partition_id() div {FAN_IN}"))
-    some = rows.groupBy("i", "part").applyInPandas(add, "i int, row array<double>")
-    found = some.groupBy("i").applyInPandas(add, "i int, row array<double>").collect()
-    return np.stack([np.array(r["row"]) for r in sorted(found)]) if found else None
-
-
 def _sums(fit: DataFrame) -> tuple[int, list[int]]:
     """Vectors of the fit list and their exact sums by dimension; the driver sees one number for each."""
 
@@ -151,7 +135,7 @@ def _covariance(fit: DataFrame, n: int, sums: list[int]) -> np.ndarray:
                 {"i": pa.array(range(len(total)), pa.int32()), "row": pa.array(list(total), pa.list_(pa.float64()))}
             )
 
-    return _summed(fit.select("x").mapInArrow(multiply, "i int, row array<double>")) / n
+    return summed(fit.select("x").mapInArrow(multiply, "i int, row array<double>")) / n
 
 
 def _identity_error(fit: DataFrame, n: int, sums: list[int], turn: np.ndarray) -> float:

@@ -11,14 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import stage, table
+from sensorloom.llm.common import stage, summed, summed_rows, table
 
 #: Cosines that approximate the Gaussian kernel, its width in standard deviations, and the ridge.
 COSINES, WIDTH, RIDGE, SEED = 256, 4.0, 1e-3, 11
 #: Cells of equal width in which scores are counted for the calibration.
 CELLS = 4096
-#: Tables of partial sums that reach the driver; each has (COSINES + 1)**2 numbers.
-SUMS = 12
+#: Parts of the labelled rows; the curve is fitted to scores of a part by sums of the others.
+FOLDS = 5
 
 #: ASCII signs that get a statistic of their own; fixed, listed in code order.
 SIGNS = "!#$%&*,.:;?|"
@@ -84,14 +84,104 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
+def _stacked(x: pd.Series) -> np.ndarray:
+    return np.stack(x.to_numpy()).astype(np.float64) if len(x) else np.zeros((0, N_STATISTICS))
+
+
+@dataclass(frozen=True)
+class Model:
+    kernel: Kernel
+    weights: np.ndarray
+    #: Of each part of the labelled rows, the weights that the other parts give.
+    apart: np.ndarray
+    knots: np.ndarray
+    values: np.ndarray
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        parts = [self.kernel.features(x[i : i + 2_000]) @ self.weights for i in range(0, len(x), 2_000)]
+        return np.concatenate(parts) if parts else np.empty(0)
+
+    def raw_apart(self, x: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        parts = [
+            np.einsum("nf,nf->n", self.kernel.features(x[i : i + 2_000]), self.apart[fold[i : i + 2_000]]) for i in range(0, len(x), 2_000)
+        ]
+        return np.concatenate(parts) if parts else np.empty(0)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        at = self.raw(x)
+        # A fiftieth of the raw score keeps the order where the curve is flat.
+        return 0.98 * np.interp(at, self.knots, self.values) + 0.02 * np.clip((at + 0.5) / 2, 0, 1)
+
+
+def solved(square: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Ridge weights; the last feature is the constant, which is not shrunk."""
+    n = max(1.0, square[-1, -1])
+    ridge = np.eye(len(square)) * RIDGE * n / COSINES
+    ridge[-1, -1] = 1e-9
+    return np.linalg.solve(square + ridge, right)
+
+
+def fitted(known: DataFrame) -> Model | None:
+    """The model of labelled rows (x, y, fold); None if there are none. Tasks give sums of fixed size, which
+    executors add in two levels; the driver sees one table of each kind and the score cells."""
+
+    def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, N_STATISTICS + 1))
+        for frame in frames:
+            x = _stacked(frame["x"])
+            total += [[*x.sum(axis=0), len(x)], [*(x * x).sum(axis=0), len(x)]]
+        yield pd.DataFrame({"i": [0, 1], "row": list(total)})
+
+    sums = summed(known.select("x").mapInPandas(moments, "i int, row array<double>"))
+    if sums is None or sums[0, -1] == 0:
+        return None
+    n, (first, second) = sums[0, -1], sums[:, :-1]
+    mean = first / n
+    kernel = Kernel(mean, np.sqrt(np.maximum(second / n - mean * mean, 0)) + 1e-3)
+    width = COSINES + 1
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((FOLDS, width, width + 1))
+        for frame in frames:
+            for fold, part in frame.groupby("fold"):
+                z = kernel.features(_stacked(part["x"]))
+                total[fold, :, :-1] += z.T @ z
+                total[fold, :, -1] += z.T @ part["y"].to_numpy()
+        used = np.flatnonzero(total.any(axis=2))
+        if len(used):
+            yield pd.DataFrame({"i": used, "row": list(total.reshape(-1, width + 1)[used])})
+
+    tables = np.zeros((FOLDS * width, width + 1))
+    rows = known.select("x", "y", "fold").mapInPandas(products, "i int, row array<double>")
+    for i, row in summed_rows(rows):
+        tables[i] = row
+    tables = tables.reshape(FOLDS, width, width + 1)
+    whole = tables.sum(axis=0)
+    weights = solved(whole[:, :-1], whole[:, -1])
+    apart = np.stack([solved((whole - t)[:, :-1], (whole - t)[:, -1]) for t in tables])
+    model = Model(kernel, weights, apart, np.zeros(1), np.zeros(1))
+
+    @F.pandas_udf("double")
+    def raw(x: pd.Series, fold: pd.Series) -> pd.Series:
+        return pd.Series(model.raw_apart(_stacked(x), fold.to_numpy(np.int64)))
+
+    cell = F.floor(F.greatest(F.least(raw("x", "fold"), F.lit(1.5)), F.lit(-0.5)) * (CELLS / 2))
+    counted = known.select("y", cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.avg("y").alias("y"))
+    cells = counted.toPandas().sort_values("cell")  # CELLS at most
+    centre = (cells["cell"].to_numpy(np.float64) + 0.5) / (CELLS / 2)
+    knots, values = isotonic(centre, cells["y"].to_numpy(np.float64), cells["n"].to_numpy(np.float64))
+    return Model(kernel, weights, apart, knots, values)
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of (doc_id, text).
 
     1. Statistics of each whole text, in one pass, are staged; texts are not read again or moved.
     2. Labelled rows that are not held out give means and deviations, then the normal equations of their
        features: every task sums products of fixed size, whatever the number of rows, so no group matters.
-    3. The ridge solution scores these rows; counts of labels per score cell, a fixed number of cells, are
-       made monotone, and that curve maps every score into 0 to 1.
+    3. Of each of five parts of these rows, the ridge solution of the other parts gives scores; counts of labels
+       per cell of such scores, a fixed number of cells, are made monotone, and that curve maps every score of
+       the whole solution into 0 to 1.
 
     Null and empty texts have all statistics 0 and are scored like others; a null id is not held out and
     has no label; repeated ids are scored row by row, and each pair of row and label counts; null
@@ -107,62 +197,18 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
     measured = stage(ids.mapInPandas(measure, "id string, x array<float>"), "statistics")
     marks = labels.where("quality is not null").select(F.col("doc_id").cast("string").alias("id"), (F.col("quality") > 0).cast("double").alias("y"))
-    known = stage(measured.where(~held_out(F.col("id"))).join(marks, "id").select("x", "y"), "labelled")
+    # Equal texts are in one part.
+    fold = F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int").alias("fold")
+    known = stage(measured.where(~held_out(F.col("id"))).join(marks, "id").select("x", "y", fold), "labelled")
     result = measured.select("id", "x")
-
-    def total(make, schema: str) -> list:
-        rows = known.coalesce(SUMS).mapInPandas(make, schema).collect()
-        return [np.sum([np.array(r[k]) for r in rows], axis=0) for k in rows[0].asDict()] if rows else []
-
-    def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, first, second = 0, np.zeros(N_STATISTICS), np.zeros(N_STATISTICS)
-        for frame in frames:
-            x = np.stack(frame["x"]).astype(np.float64) if len(frame) else np.zeros((0, N_STATISTICS))
-            n, first, second = n + len(x), first + x.sum(axis=0), second + (x * x).sum(axis=0)
-        yield pd.DataFrame({"n": [float(n)], "first": [first], "second": [second]})
-
-    sums = total(moments, "n double, first array<double>, second array<double>")
-    if not sums or sums[0] == 0:
+    model = fitted(known)
+    if model is None:
         plain = result.select("id", F.lit(0.5).alias("score"))
     else:
-        n, first, second = sums
-        mean = first / n
-        kernel = Kernel(mean, np.sqrt(np.maximum(second / n - mean * mean, 0)) + 1e-3)
-
-        def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            square, right = np.zeros((COSINES + 1, COSINES + 1)), np.zeros(COSINES + 1)
-            for frame in frames:
-                if len(frame):
-                    z = kernel.features(np.stack(frame["x"]).astype(np.float64))
-                    square += z.T @ z
-                    right += z.T @ frame["y"].to_numpy()
-            yield pd.DataFrame({"square": [square.ravel()], "right": [right]})
-
-        square, right = total(products, "square array<double>, right array<double>")
-        ridge = np.eye(COSINES + 1) * RIDGE * n / COSINES
-        ridge[-1, -1] = 0
-        weights = np.linalg.solve(square.reshape(COSINES + 1, -1) + ridge, right)
-
-        def scored(x: pd.Series) -> np.ndarray:
-            out = [kernel.features(np.stack(x.iloc[i : i + 2_000]).astype(np.float64)) @ weights for i in range(0, len(x), 2_000)]
-            return np.concatenate(out) if out else np.empty(0)
-
-        @F.pandas_udf("double")
-        def raw(x: pd.Series) -> pd.Series:
-            return pd.Series(scored(x))
-
-        cell = F.floor(F.greatest(F.least(raw("x"), F.lit(1.5)), F.lit(-0.5)) * (CELLS / 2))
-        counted = known.select("y", cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.avg("y").alias("y"))
-        cells = counted.toPandas().sort_values("cell")
-        centre = (cells["cell"].to_numpy(np.float64) + 0.5) / (CELLS / 2)
-        knots, values = isotonic(centre, cells["y"].to_numpy(np.float64), cells["n"].to_numpy(np.float64))
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            at = scored(x)
-            # A fiftieth of the raw score keeps the order where the curve is flat.
-            level = 0.98 * np.interp(at, knots, values) + 0.02 * np.clip((at + 0.5) / 2, 0, 1)
-            return pd.Series(level)
+            return pd.Series(model.scores(_stacked(x)))
 
         plain = result.select("id", score("x").alias("score"))
     return plain.select(

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 
+from sensorloom.llm import op7_quality as op7
 from sensorloom.llm.op7_quality import Kernel, isotonic, quality
 
 from .brute import AWKWARD, prose, table
@@ -40,6 +41,39 @@ def test_held_out_rows_are_told_apart(spark):
     assert np.mean([(s >= 0.5) == bool(y) for s, y in test]) > 0.95
 
 
+def test_against_a_direct_solution(spark):
+    """Weights of all rows, and of each part's rest, are those of plain ridge regressions; the curve is that of
+    the scores of rows that took no part."""
+    docs, marks = rows(400)
+    x = np.array([op7.statistics(t) for _, t in docs], np.float32).astype(float)
+    y = np.array([m for _, m in marks], float)
+    fold = np.arange(len(docs)) % op7.FOLDS
+    frame = spark.createDataFrame([([float(v) for v in a], float(b), int(f)) for a, b, f in zip(x, y, fold, strict=True)], "x array<float>, y double, fold int")
+    model = op7.fitted(frame.repartition(7))
+    kernel = Kernel(x.mean(axis=0), x.std(axis=0) + 1e-3)
+    z = kernel.features(x)
+
+    def ridge(z, y):
+        penalty = np.diag([op7.RIDGE * len(z) / op7.COSINES] * op7.COSINES + [1e-9])
+        return np.linalg.solve(z.T @ z + penalty, z.T @ y)
+
+    assert np.allclose(z @ model.weights, z @ ridge(z, y), atol=1e-5)
+    apart = np.empty(len(y))
+    for f in range(op7.FOLDS):
+        apart[fold == f] = z[fold == f] @ ridge(z[fold != f], y[fold != f])
+    assert np.allclose(model.raw_apart(x, fold), apart, atol=1e-5)
+    cell = np.floor(np.clip(model.raw_apart(x, fold), -0.5, 1.5) * op7.CELLS / 2)
+    at = np.unique(cell)
+    knots, values = isotonic((at + 0.5) / (op7.CELLS / 2), np.array([y[cell == c].mean() for c in at]), np.array([(cell == c).sum() for c in at], float))
+    assert np.allclose(model.knots, knots) and np.allclose(model.values, values)
+
+
+def test_one_labelled_row(spark):
+    docs, marks = rows(30)
+    one = spark.createDataFrame([m for m in marks if zlib.crc32(str(m[0]).encode()) % 3 != 1][:1], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in quality(table(spark, docs), one).collect())
+
+
 def test_held_out_labels_do_not_matter(spark):
     docs, marks = rows(300)
     flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in marks]
