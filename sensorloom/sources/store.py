@@ -43,7 +43,7 @@ def _write_batch(df: DataFrame, path: str, batch: int, partitions: Sequence[str]
     )
 
 
-def write_points(points: DataFrame, path: str, batch: int) -> None:
+def write_points(points: DataFrame, path: str, batch: int, settled: bool = False) -> None:
     """S-04, S-07, S-08: store points by day and measurement, in files that are
     sorted by device, field and time: what is read for one device are the few
     pages that hold it (S-06).
@@ -51,10 +51,11 @@ def write_points(points: DataFrame, path: str, batch: int) -> None:
     Copies within the batch are folded before the write: the last one to arrive
     stays, by the `arrival` number the rows carry. Rows without it keep the one
     with the highest packet id. Copies from other batches are folded on read or
-    by `compact_points`.
+    by `compact_points`; `settled` points have none.
     """
     carried = ARRIVAL in points.columns
-    rows = dedupe_points(points, *((ARRIVAL, "packet_id") if carried else ())).drop(ARRIVAL)
+    rows = points if settled else dedupe_points(points, *((ARRIVAL, "packet_id") if carried else ()))
+    rows = rows.drop(ARRIVAL)
     rows = rows.withColumn("dt", F.to_date("time"))
     _write_batch(rows, path, batch, ("dt", "measurement"), _CLUSTERED)
 

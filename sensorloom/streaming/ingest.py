@@ -223,6 +223,22 @@ def start_point_writer(
     return runtime.start(feed, write, checkpoint, every_seconds)
 
 
+def start_settled_point_writer(
+    events: DataFrame, path: str, checkpoint: str, every_seconds: int | None = 1, late_seconds: int = 3_600
+) -> StreamingQuery:
+    """S-04, T-03: points of decoded events, each stored once over all
+    micro-batches, so the store is read without folding.
+
+    A point waits in state until the watermark is past its time; of its copies
+    until then, in whatever batch, the last to arrive is the one stored
+    (`arrival`, a column of the events). State is bounded by `late_seconds`
+    of points. Copies that come later are dropped and counted by the engine.
+    """
+    waiting = points.event_points(events).withWatermark("time", f"{late_seconds} seconds")
+    final = points.dedupe_points(waiting, store.ARRIVAL, "packet_id").drop(store.ARRIVAL)
+    return runtime.start(final, lambda batch, number: store.write_points(batch, path, number, settled=True), checkpoint, every_seconds)
+
+
 def dead_letter_writer(path: str) -> Callable[[DataFrame, int], None]:
     """T-09: rejected records, with the reason, kept once per batch."""
 

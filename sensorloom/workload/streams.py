@@ -179,6 +179,37 @@ def stream_ingest(t):
     return out
 
 
+# Ten days: more than what a batch repeats of the one before.
+SETTLED = 864_000
+
+
+@query(
+    "t03_s04_settled_points",
+    with_views(
+        f"""SELECT measurement, field, count(*) AS points FROM stored
+        WHERE at_s <= (SELECT max(at_s) FROM stored) - {SETTLED} GROUP BY measurement, field""",
+        "packet_points",
+        stored=_STORED,
+    ),
+)
+def settled_points(t):
+    """Four micro-batches, each of which repeats half of the one before. Every point
+    is stored once, and the store is read as it is."""
+    root = _folder(t, "settled")
+    raw = t.raw("events")
+    day = F.dayofmonth("ts")
+    for week in range(4):
+        own = (day > 8 * week - 4 * (week > 0)) & (day <= 8 * week + 8 if week < 3 else F.lit(True))
+        raw.where(own).withColumn("part", F.lit(week)).write.mode("append").parquet(f"{root}/in")
+        events = t.spark.readStream.schema(f"{', '.join(f'{c} {k}' for c, k in raw.dtypes)}, part int").parquet(f"{root}/in")
+        envelopes = t.shape_envelopes(t.shape_events(events), t.raw("customer"))
+        gated = K.gate(envelopes, t.gateways(), t.rejections()).withColumn(store.ARRIVAL, F.col("packet_id"))
+        job = ingest.start_settled_point_writer(K.decoded(gated, store.ARRIVAL), f"{root}/points", f"{root}/_checkpoint", None, SETTLED)
+        job.awaitTermination()
+    stored = store.read_points(t.spark, f"{root}/points", deduplicate=False)
+    return stored.groupBy("measurement", "field").agg(F.count(F.lit(1)).alias("points"))
+
+
 @query(
     "t05_stream_archive",
     with_views("SELECT mesh_id, node_id, count(*) AS events FROM dec GROUP BY mesh_id, node_id", "dec"),

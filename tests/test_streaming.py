@@ -198,3 +198,19 @@ def test_absence_starts_from_the_store(spark, tmp_path):
     run(keyed.absence_stream(stream_of(spark, schema, source), devices, last_seen=seen), out, str(tmp_path / "cp"))
     got = sorted((r["device_id"], r["triggered_at"].replace(tzinfo=timezone.utc)) for r in spark.read.parquet(out).collect())
     assert got == [(1, moment(7_000)), (3, moment(10_000))]
+
+
+def test_settled_points_are_stored_once(spark, tmp_path):
+    """Copies come in the same batch and in later ones; the last to arrive is stored."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "points")
+    schema = f"{schemas.DECODED}, arrival long"
+
+    def event(seconds, value, arrival):
+        return (1, 5, 67, BASE + seconds, 1, "LF", "!g", "m", "telemetry:e", '{"e": {"t": %s}}' % value, arrival)
+
+    lots = [[event(0, 1, 1), event(0, 2, 2), event(60, 5, 3)], [event(0, 3, 4), event(60, 4, 0)], [event(9_000, 0, 5)], [event(9_001, 0, 6)]]
+    for lot in lots:
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.start_settled_point_writer(stream_of(spark, schema, source), path, str(tmp_path / "cp"), None, 3_600).awaitTermination()
+    got = sorted((r["time"].replace(tzinfo=timezone.utc), r["value"]) for r in store.read_points(spark, path, deduplicate=False).where("field = 't'").collect())
+    assert got == [(moment(0), 3.0), (moment(60), 5.0)]
