@@ -14,9 +14,10 @@ missing or out of its range gives null results.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DAY = 86_400
@@ -108,41 +109,23 @@ def exponential_smoothing(
 ) -> DataFrame:
     """s = alpha * x + (1 - alpha) * s of the reading before; the first is x.
 
-    Within a slice every reading is an affine map of the value the slice
-    begins with: s = b + p * s0, worked out in one vectorised pass. The map of
-    a slice is that of its last reading. Per series these maps, one row a
+    Every reading is an affine map of the value before it, and so is a slice:
+    s = b + p * s0, which Spark sums up. Per series these maps, one row a
     slice, are applied one after the other, which gives every slice its s0.
+    That value goes before the readings of its slice, and the maps of all
+    rows of a batch, whatever their slices, are composed in one vectorised scan.
     """
     rate = _param(alpha)
     placed = _placed(rows, value, time, width_seconds * 1_000_000).withColumn("_alpha", F.when((rate > 0) & (rate <= 1), rate))
-    numbered = placed.withColumn("_row", F.row_number().over(Window.partitionBy(*keys, _SLICE).orderBy(_US, *order)))
     group = [*keys, _SLICE]
-
-    def maps(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_row")
-        a = frame["_alpha"].iloc[0]
-        keep = frame.drop(columns=["_alpha", _US, _X])
-        if pd.isna(a):
-            return keep.assign(_b=None, _p=None)
-        # Smoothing that begins at 0 gives b; the weight of the beginning fades by 1 - alpha a row.
-        b = pd.concat([pd.Series([0.0]), frame[_X]]).ewm(alpha=a, adjust=False).mean().to_numpy()[1:]
-        return keep.assign(_b=b, _p=(1 - a) ** frame["_row"].to_numpy(float))
-
-    slim = numbered.select(*group, "_row", "_alpha", _US, _X)
-    kinds = dict(slim.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*group, "_row")) + ", _b double, _p double"
-    mapped = slim.groupBy(*group).applyInPandas(maps, schema)
-    slices = mapped.groupBy(*group).agg(F.max_by(F.struct("_b", "_p"), "_row").alias("m"))
-    first = numbered.where("_row = 1").select(*group, F.col(_X).alias("x"))
-
-    def same(left: str, right: str, names: Sequence[str]) -> Column:
-        condition = F.lit(True)
-        for k in names:
-            condition = condition & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-        return condition
-
-    ordered = slices.alias("s").join(first.alias("f"), same("s", "f", group)).select(*[F.col(f"s.{c}").alias(c) for c in group], "s.m", "f.x")
-    series = ordered.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(_SLICE).alias("slice"), "m", "x"))).alias("slices"))
+    from_end = Window.partitionBy(*group).orderBy(F.desc(_US), *[F.desc(c) for c in order])
+    numbered = placed.select(*dict.fromkeys([*group, _US, *order, "_alpha", _X])).withColumn("_back", F.row_number().over(from_end))
+    fades = F.pow(1 - F.col("_alpha"), F.col("_back") - 1)
+    slices = numbered.groupBy(*group).agg(
+        F.struct(F.sum(F.col("_alpha") * fades * F.col(_X)).alias("_b"), F.pow(1 - F.max("_alpha"), F.max("_back")).alias("_p")).alias("m"),
+        F.max_by(_X, "_back").alias("x"),
+    )
+    series = slices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(_SLICE).alias("slice"), "m", "x"))).alias("slices"))
 
     def follow(state: Column, s: Column) -> Column:
         begins = F.coalesce(state["value"], s["x"])  # the first reading smooths to itself
@@ -150,9 +133,32 @@ def exponential_smoothing(
         return F.struct((s["m"]["_b"] + s["m"]["_p"] * begins).alias("value"), entered.alias("entered"))
 
     start = F.struct(F.lit(None).cast("double").alias("value"), F.array().cast("array<struct<slice:bigint,begins:double>>").alias("entered"))
-    begins = series.select(*keys, F.inline(F.aggregate("slices", start, follow)["entered"])).withColumnRenamed("slice", _SLICE)
-    values = mapped.alias("m").join(begins.alias("e"), same("m", "e", group)).select(
-        *[F.col(f"m.{c}").alias(c) for c in (*group, "_row")], (F.col("m._b") + F.col("m._p") * F.col("e.begins")).alias(into)
+    begins = series.select(*keys, F.inline(F.aggregate("slices", start, follow)["entered"])).select(
+        *keys, F.col("slice").alias(_SLICE), F.col("begins").alias(_X), F.lit(True).alias("_begins")
     )
-    out = numbered.alias("n").join(values.alias("v"), same("n", "v", [*group, "_row"]), "left")
-    return out.select(*[F.col(f"n.{c}").alias(c) for c in rows.columns], F.col(f"v.{into}").alias(into))
+    both = placed.withColumn("_begins", F.lit(False)).unionByName(begins, allowMissingColumns=True)
+    dealt = both.repartition(*group).sortWithinPartitions(*group, F.desc("_begins"), _US, *order)
+    kept = list(rows.columns)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, a = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (_X, "_alpha"))
+            opens = batch.column("_begins").to_numpy(zero_copy_only=False).astype(bool)
+            known = ~np.isnan(a)
+            # A row that opens a slice forgets what was before it.
+            b = np.where(opens, x, np.where(known, a * x, 0.0))
+            p = np.where(known, 1 - a, 0.0)
+            b[0] += p[0] * value
+            step = 1
+            while step < len(b) and p[step:].any():
+                b[step:] += p[step:] * b[:-step]
+                p[step:] = p[step:] * p[:-step]
+                step *= 2
+            value = b[-1]
+            out = [batch.column(c) for c in kept] + [pa.array(b, mask=~known)]
+            yield pa.RecordBatch.from_arrays(out, names=[*kept, into]).filter(pa.array(~opens))
+
+    return dealt.mapInArrow(scan, dealt.select(*kept, F.lit(None).cast("double").alias(into)).schema)

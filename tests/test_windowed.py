@@ -69,6 +69,26 @@ def test_windowed_functions(spark, width):
             assert (y is None) == (want[n][i] is None) and (y is None or abs(y - want[n][i]) < 1e-9), (i, n, y, want[n][i])
 
 
+def test_smoothing_takes_batches_of_slices(spark):
+    """Slices go through Python a batch at a time, not a call each, and slices longer than a batch go on across it."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("node"), "id", F.timestamp_micros(F.col("id") * 500_000).alias("time"), (F.col("id") * 37 % 101).cast("double").alias("value")
+    )
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        found = W.exponential_smoothing(rows, ("node",), 0.2, order=("id",), width_seconds=600, into="y")
+        assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: r.y for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    smooth = {}
+    for i in range(3000):
+        x = float(i * 37 % 101)
+        smooth[i % 3] = 0.2 * x + 0.8 * smooth[i % 3] if i >= 3 else x
+        assert abs(got[i] - smooth[i % 3]) < 1e-9
+
+
 def test_no_rows(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert W.rolling_mean(frame, ("node",), 5).collect() == [] and W.rate_of_change(frame, ("node",)).collect() == []
