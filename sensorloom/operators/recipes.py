@@ -15,7 +15,7 @@ stage sees what they gave. Recipes without windowed steps have one stage.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from uuid import uuid4
 
 import pandas as pd
@@ -73,16 +73,16 @@ def _bind(steps: list[dict], kinds: Mapping[str, tuple[bool, dict]], units: dict
 
 def bound_steps(steps: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Steps that can run (`_BOUND`), for all blueprints; a recipe is short, and
-    is bound by one call. Units of what the steps write are worked out beside."""
+    is one row here, so a call binds a batch of them. Units of what the steps
+    write are worked out beside."""
     kinds = {
         name: (a.mode == algorithms.WINDOWED, dict(a.output_units))
         for name, a in algorithms.REGISTRY.items()
         if a.mode == algorithms.POINTWISE or a.over
     }
     rows = steps.select(
-        "blueprint_id", "order", "function_name", F.to_json("inputs").alias("inputs"), F.coalesce("params", F.lit("{}")).alias("params"),
-        F.to_json("outputs").alias("outputs"),
-    )
+        "blueprint_id", "order", "function_name", "inputs", F.coalesce("params", F.lit("{}")).alias("params"), "outputs"
+    )
     if types is None:
         rows = rows.withColumn("known", F.lit("{}"))
     else:
@@ -91,17 +91,23 @@ def bound_steps(steps: DataFrame, types: DataFrame | None = None) -> DataFrame:
         per = required_channels_table(steps).join(known, "channel").where("unit is not null").groupBy("blueprint_id").agg(F.to_json(entries).alias("known"))
         rows = rows.join(per, "blueprint_id", "left").withColumn("known", F.coalesce("known", F.lit("{}")))
 
-    def bind(frame: pd.DataFrame) -> pd.DataFrame:
-        recipe = [
-            {**r, "inputs": json.loads(r["inputs"] or "{}"), "outputs": json.loads(r["outputs"] or "{}")}
-            for r in frame.to_dict("records")
-        ]
-        bound = _bind(recipe, kinds, json.loads(frame["known"].iloc[0]))
-        texts = ("inputs", "outputs", "last_orders", "units")
-        columns = ["blueprint_id", "order", "function_name", "inputs", "params", "outputs", "stage", "windowed", "last_orders", "units"]
-        return pd.DataFrame([{**s, **{c: json.dumps(s[c]) for c in texts}} for s in bound], columns=columns)
+    step = F.struct("order", "function_name", "inputs", "params", "outputs")
+    whole = rows.groupBy("blueprint_id").agg(F.to_json(F.collect_list(step)).alias("steps"), F.first("known").alias("known"))
+    texts = ("inputs", "outputs", "last_orders", "units")
+    columns = ["blueprint_id", "order", "function_name", "inputs", "params", "outputs", "stage", "windowed", "last_orders", "units"]
+
+    def bind(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for blueprint, steps, known in zip(frame["blueprint_id"], frame["steps"], frame["known"], strict=True):
+                # A field that is null is not in the text.
+                recipe = [{"function_name": None, **s, "inputs": s.get("inputs", {}), "outputs": s.get("outputs", {})} for s in json.loads(steps)]
+                for s in _bind(recipe, kinds, json.loads(known)):
+                    s |= {"blueprint_id": blueprint, **{c: json.dumps(s[c]) for c in texts}}
+                    out.append([s[c] for c in columns])
+            yield pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy("blueprint_id").applyInPandas(bind, _BOUND)
+    return whole.select("blueprint_id", "steps", "known").mapInPandas(bind, _BOUND)
 
 
 def recipes_of(bound: DataFrame) -> DataFrame:
@@ -266,9 +272,11 @@ def run_recipes(aligned: DataFrame, recipes: DataFrame, width_seconds: int = MIN
 
     A step with an input that is missing is passed over; one whose result has
     a missing or non-number member fails as a whole, keeps the old values and
-    writes nothing. The driver sees the number of stages.
+    writes nothing. The driver sees a row per stage.
     """
-    stages = recipes.agg(F.max("stages")).first()[0] or 0
+    found = recipes.select(F.explode("recipe").alias("s")).groupBy("s.stage").agg(F.bool_or("s.windowed").alias("windowed")).collect()
+    windowed_stages = {r["stage"] for r in found if r["windowed"]}
+    stages = max((r["stage"] + 1 for r in found), default=0)
     start = F.struct(F.col("cells"), F.array().cast(_WRITE).alias("writes"), F.array().cast("array<string>").alias("failed"))
     rows = aligned.join(recipes.drop("stages"), "blueprint_id").withColumn("state", start).drop("cells")
     # Two hashes of what tells rows of a device apart name the row.
@@ -278,15 +286,11 @@ def run_recipes(aligned: DataFrame, recipes: DataFrame, width_seconds: int = MIN
     for stage in range(stages):
         mine = F.filter("recipe", lambda s: (s["stage"] == stage) & ~s["windowed"])
         rows = rows.withColumn("state", F.aggregate(mine, F.col("state"), _fold))
-        if stage < stages - 1 or _has_windowed(recipes, stage):
+        if stage in windowed_stages:
             rows = _run_windowed(_kept(rows, f"recipes-{stage}"), stage, width_seconds)
     return rows.drop("_r1", "_r2", "recipe")
 
 
-def _has_windowed(recipes: DataFrame, stage: int) -> bool:
-    return not recipes.where(F.exists("recipe", lambda s: (s["stage"] == stage) & s["windowed"])).isEmpty()
-
-
 def derived_rows(run: DataFrame) -> DataFrame:
     """S-07: one row per written value, as `blueprints.derived_rows` gives them."""
     return run.select("blueprint_id", *DEVICE, "time", F.explode("state.writes").alias("w")).select(

@@ -91,6 +91,18 @@ def test_plan_does_not_grow_with_blueprints(spark, tmp_path):
     assert sizes[0] == sizes[1]
 
 
+def test_blueprints_are_bound_in_batches(spark):
+    """A call of Python binds a batch of blueprints, not one; steps without inputs, outputs or a known function too."""
+    rows = [(f"bp{i}", o, n, x, p, y) for i in range(300) for o, n, x, p, y in (
+        (2, "ratio", {"numerator": "p", "denominator": "b.x"}, None, {"ratio": "q"}), (1, "linear", {"value": "a.x"}, json.dumps({"scale": i}), {"value": "p"}),
+        (3, "unheard_of", None, None, None), (4, None, None, None, None))]
+    bound = R.bound_steps(spark.createDataFrame(rows, schemas.BLUEPRINT_STEP))
+    assert "FlatMapGroups" not in bound._jdf.queryExecution().executedPlan().toString()
+    got = {(r.blueprint_id, r.order): (r.function_name, json.loads(r.inputs), json.loads(r.params), json.loads(r.outputs), r.stage) for r in bound.collect()}
+    want = {(f"bp{i}", 1): ("linear", {"value": "a.x"}, {"scale": i}, {"value": "p"}, 0) for i in range(300)}
+    assert got == want | {(f"bp{i}", 2): ("ratio", {"numerator": "p", "denominator": "b.x"}, {}, {"ratio": "q"}, 0) for i in range(300)}
+
+
 def test_stages_of_windowed_steps(spark):
     """A chain of windowed steps, one that overwrites what an earlier one reads, and rows without an input."""
     own = [
