@@ -7,6 +7,7 @@ size limit of the source (`maxOffsetsPerTrigger`, `maxFilesPerTrigger`).
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
@@ -108,57 +109,55 @@ class OrderedRuns(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us bigint, packet_id bigint", "value double")
-        self.run = handle.getValueState("run", "value double, length bigint")
-        self.timer = handle.getValueState("timer", "at bigint")
+        # Readings of a key go into state and out of it together: a call for each would be most of the work.
+        self.waiting = handle.getListState("waiting", "us bigint, packet_id bigint, value double")
+        self.run = handle.getValueState("run", "value double, length bigint, wake_at bigint")
 
     def _edge(self, timerValues) -> int:
         """Moment up to which readings are taken."""
         mark = timerValues.getCurrentWatermarkInMs()
         return (mark + self.grace) * 1000 if mark > 0 else -(2**62)
 
-    def _wake_at(self, us: int | None) -> None:
-        at = None if us is None else -(-us // 1000) - self.grace
-        now = self.timer.get()[0] if self.timer.exists() else None
-        if at == now:
-            return
-        if now is not None:
-            self.handle.deleteTimer(now)
-        if at is None:
-            self.timer.clear()
-        else:
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
+    def _at(self, us: int) -> int:
+        return -(-us // 1000) - self.grace
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        edge, first = self._edge(timerValues), None
+        edge, found = self._edge(timerValues), []
         for row in rows:
             us = _micros(row["time"])
             if us <= edge:
                 yield self._out(key, row["value"], row["time"], late=True)
-                continue
-            self.waiting.updateValue((us, row["packet_id"]), (row["value"],))
-            first = us if first is None else min(first, us)
-        if first is not None:
-            now = self.timer.get()[0] if self.timer.exists() else None
-            if now is None or -(-first // 1000) - self.grace < now:
-                self._wake_at(first)
+            else:
+                found.append((us, row["packet_id"], row["value"]))
+        if found:
+            self.waiting.appendList(found)
+            value, length, now = self.run.get() or (None, 0, None)
+            at = self._at(min(us for us, _, _ in found))
+            if now is None or at < now:
+                if now is not None:
+                    self.handle.deleteTimer(now)
+                self.handle.registerTimer(at)
+                self.run.update((value, length, at))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         edge = self._edge(timerValues)
-        self.timer.clear()  # the timer that fired is gone
-        all_ = sorted(((tuple(k), v[0]) for k, v in self.waiting.iterator()), key=lambda x: x[0])
-        value, length = self.run.get() if self.run.exists() else (None, 0)
-        for (us, packet), reading in all_:
-            if us > edge:
-                self._wake_at(us)
-                break
-            self.waiting.removeKey((us, packet))
+        # Of two copies of a reading the last one counts.
+        all_ = sorted({(us, packet): reading for us, packet, reading in self.waiting.get()}.items(), key=lambda x: x[0])
+        value, length, _ = self.run.get()
+        taken = bisect_right(all_, edge, key=lambda x: x[0][0])
+        for (us, _), reading in all_[:taken]:
             length = length + 1 if reading == value else 1
             value = reading
             if length >= self.window:
                 yield self._out(key, value, _moment(us), late=False)
-        self.run.update((value, length))
+        at = None
+        if taken < len(all_):
+            at = self._at(all_[taken][0][0])
+            self.handle.registerTimer(at)
+            self.waiting.put([(us, packet, reading) for (us, packet), reading in all_[taken:]])
+        else:
+            self.waiting.clear()
+        self.run.update((value, length, at))
 
     def _out(self, key, value, moment, late: bool) -> Row:
         return Row(

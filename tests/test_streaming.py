@@ -214,3 +214,44 @@ def test_settled_points_are_stored_once(spark, tmp_path):
         ingest.start_settled_point_writer(stream_of(spark, schema, source), path, str(tmp_path / "cp"), None, 3_600).awaitTermination()
     got = sorted((r["time"].replace(tzinfo=timezone.utc), r["value"]) for r in store.read_points(spark, path, deduplicate=False).where("field = 't'").collect())
     assert got == [(moment(0), 3.0), (moment(60), 5.0)]
+
+
+def test_readings_of_a_key_enter_and_leave_state_together():
+    """A batch of a key's readings costs a few calls of the state, however many they are; copies count once."""
+    calls, given = [], []
+
+    class Held:
+        def __init__(self, kept):
+            self.kept = kept
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("put", "update"):
+                    self.kept = args[0]
+                elif name == "appendList":
+                    self.kept = [*(self.kept or []), *args[0]]
+                elif name == "clear":
+                    self.kept = None
+                return self.kept if name == "get" else None
+
+            return call
+
+    class Handle(Held):
+        def __getattr__(self, name):
+            return (lambda *_: Held(None)) if name.startswith("get") else (lambda *args: given.append((name, *args)))
+
+    class Mark:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    runs, key = keyed.OrderedRuns(3, 0), ("m", 1, "value")
+    runs.init(Handle(None))
+    at = lambda s: datetime.fromtimestamp(s, timezone.utc)
+    rows = [{"time": at(1000 - i), "packet_id": i, "value": 7.0} for i in range(200)]
+    assert list(runs.handleInputRows(key, iter([*rows, *rows[:50]]), Mark(0))) == []
+    found = list(runs.handleExpiredTimer(key, Mark(900_000), None))
+    assert [r.triggered_at for r in found] == [at(s) for s in range(803, 901)]
+    assert len(runs.waiting.kept) == 100 and given[-1] == ("registerTimer", 901_000)
+    assert [r.is_late for r in runs.handleInputRows(key, iter(rows[150:151]), Mark(900_000))] == [True]
+    assert len(calls) < 10
