@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ SHARD = 1024
 #: Documents of a task whose ids settle the code of sequences on their way. It decides their size alone.
 SAMPLE_DOCS = 2_000
 #: Characters of the texts whose new segments are encoded together, unless one text has more.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 KEY = 20_240_229
 ROUNDS = 6
 END = 2  # the end token's id
@@ -98,6 +100,20 @@ def frequent_order(docs: DataFrame, model_path: str, sample: int = SAMPLE_DOCS)
     return np.argsort(-total, kind="stable")
 
 
+def lots(batch: pa.RecordBatch, together: int = TOGETHER) -> Iterator[tuple[list, list[str]]]:
+    """Names and texts of a batch, as many at a time as have `together` characters, but one at least; those
+    without text are left out. Only a lot's texts are Python's, the others stay in the batch's own bytes."""
+    batch = batch.filter(pc.greater(pc.fill_null(pc.utf8_length(batch.column("text")), 0), 0))
+    ends = np.cumsum(pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + together, side="right")))
+        some = batch.slice(first, last - first)
+        yield some.column("doc_id").to_pylist(), some.column("text").to_pylist()
+        first = last
+
+
 def sequences(docs: DataFrame, model_path: str, code: Code, length: int = LENGTH) -> DataFrame:
     """(tokens, n_tokens, first_doc, n_docs): texts with an end token each, laid end to end within a
     partition of the input and cut every `length` tokens; only a partition's last sequence is shorter.
@@ -106,7 +122,9 @@ def sequences(docs: DataFrame, model_path: str, code: Code, length: int = LENGTH
     Null and empty texts, and null ids, add nothing or no name; repeated rows are repeated.
     """
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["tokens", "n_tokens", "first_doc", "n_docs"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         cache = Cache(model, packed)
         stride, end = 2 * length, packed([END])
@@ -116,14 +134,15 @@ def sequences(docs: DataFrame, model_path: str, code: Code, length: int = LENGTH
         def flush(part: bytes) -> None:
             rows.append((code.encode(part), len(part) // 2, next((x for x in names if x is not None), None), len(names)))
 
-        for frame in frames:
-            frame = frame[frame["text"].map(bool)]
-            if frame.empty:
-                continue
-            lots = frame["text"].str.len().cumsum() // TOGETHER
-            for _, some in frame.groupby(lots, sort=True):
-                encoded = cache.joined([segments(text) for text in some["text"]])
-                for name, ids in zip(some["doc_id"], encoded, strict=True):
+        def given() -> pa.RecordBatch:
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.string(), pa.int64()), strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(made, names=columns)
+
+        for batch in batches:
+            for doc_ids, texts in lots(batch):
+                encoded = cache.joined([segments(text) for text in texts])
+                for name, ids in zip(doc_ids, encoded, strict=True):
                     rest += ids + end
                     names.append(name)
                     at = 0
@@ -132,16 +151,15 @@ def sequences(docs: DataFrame, model_path: str, code: Code, length: int = LENGTH
                         at += stride
                         names = [name] if len(rest) > at else []
                     rest = rest[at:]
-            if rows:
-                yield pd.DataFrame(rows, columns=["tokens", "n_tokens", "first_doc", "n_docs"])
-                rows = []
+                if rows:
+                    yield given()
         if rest:
             flush(rest)
-            yield pd.DataFrame(rows, columns=["tokens", "n_tokens", "first_doc", "n_docs"])
+            yield given()
 
     # Ids go as text: longs with nulls among them would come as floats.
     ids = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = ids.mapInPandas(pack, "tokens binary, n_tokens long, first_doc string, n_docs long")
+    rows = ids.mapInArrow(pack, "tokens binary, n_tokens long, first_doc string, n_docs long")
     return rows.withColumn("first_doc", F.col("first_doc").cast("long"))
 
 

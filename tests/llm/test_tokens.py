@@ -92,3 +92,14 @@ def test_segments_encoded_together(model):
     cache = Cache(model, packed, {" the": packed(model.encode("the"))})
     assert cache.joined([segments(t) for t in texts]) == want == cache.joined([segments(t) for t in texts])
     assert all(len(s) <= 64 for s in cache)
+
+
+def test_texts_are_taken_a_lot_at_a_time():
+    """A worker holds one lot's texts as Python's, not those of a whole batch; rows without text are left out."""
+    import pyarrow as pa
+
+    texts = ["abc", None, "", "déf", "x" * 50, "g", "hi"]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(6)] + [None]), pa.array(texts)], names=["doc_id", "text"])
+    assert list(op2.lots(batch, 6)) == [(["0", "3"], ["abc", "déf"]), (["4"], ["x" * 50]), (["5", None], ["g", "hi"])]
+    assert list(op2.lots(batch.slice(1, 2), 6)) == []
+    assert op2.TOGETHER <= 1_000_000
