@@ -51,18 +51,23 @@ def start_detection(
         now = last.version(spark)
         done = dict(now.marks).get(number)
         before = now if done is None else last.version(spark, done - 1) if done > 1 else None
-        readings = packets.observations(batch, include_time=False).where(F.col("value").isNotNull() & ~F.isnan("value"))
-        readings = readings.withColumn("is_new", F.lit(True))
-        if before and before.segments:
-            readings = readings.unionByName(_recent(last.read(spark, before), readings))
-        flat = detect.flat_readings(readings, SERIES, window).where("is_new")
-        store.write_rows(detect.stuck_alarms(flat, window), f"{root}/stuck_value", number)
-        if done is None:
-            # A limit per key is applied before the shuffle too, so a busy series is reduced where it is read.
-            newest = Window.partitionBy(*SERIES).orderBy(F.desc("time"), F.desc("packet_id"))
-            kept = readings.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") < window)
-            rows = kept.groupBy(*SERIES).agg(F.collect_list(F.struct("time", "packet_id", "value")).alias("recent"), F.max(F.unix_micros("time")).alias("version"))
-            last.append(rows.withColumn("op", F.lit("upsert")), number)
+        # Payloads are parsed once: the readings are asked for series, runs and the last ones of each series.
+        fresh = packets.observations(batch, include_time=False).where(F.col("value").isNotNull() & ~F.isnan("value"))
+        fresh = fresh.withColumn("is_new", F.lit(True)).persist()
+        try:
+            readings = fresh
+            if before and before.segments:
+                readings = readings.unionByName(_recent(last.read(spark, before), readings))
+            flat = detect.flat_readings(readings, SERIES, window).where("is_new")
+            store.write_rows(detect.stuck_alarms(flat, window), f"{root}/stuck_value", number)
+            if done is None:
+                # A limit per key is applied before the shuffle too, so a busy series is reduced where it is read.
+                newest = Window.partitionBy(*SERIES).orderBy(F.desc("time"), F.desc("packet_id"))
+                kept = readings.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") < window)
+                rows = kept.groupBy(*SERIES).agg(F.collect_list(F.struct("time", "packet_id", "value")).alias("recent"), F.max(F.unix_micros("time")).alias("version"))
+                last.append(rows.withColumn("op", F.lit("upsert")), number)
+        finally:
+            fresh.unpersist()
 
     def write_ranges(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession

@@ -255,3 +255,25 @@ def test_readings_of_a_key_enter_and_leave_state_together():
     assert len(runs.waiting.kept) == 100 and given[-1] == ("registerTimer", 901_000)
     assert [r.is_late for r in runs.handleInputRows(key, iter(rows[150:151]), Mark(900_000))] == [True]
     assert len(calls) < 10
+
+
+def test_detection_parses_payloads_once(spark, tmp_path, monkeypatch):
+    """Of the two detection queries each takes readings out of its packets once a micro-batch."""
+    from sensorloom.streaming import jobs
+
+    seen, real = spark.sparkContext.accumulator(0), K.observations
+
+    def counted(value):
+        seen.add(1)
+        return value
+
+    number = F.udf(counted, "double").asNondeterministic()
+    monkeypatch.setattr(jobs.packets, "observations", lambda *a, **k: real(*a, **k).withColumn("value", number("value")))
+    source, schema = str(tmp_path / "in"), "mesh_id string, node_id long, packet_id long, rx_time long, payload string"
+    rows = [("m", i % 2, i, BASE + i, '{"m": {"value": 5}}') for i in range(40)]
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    rules = spark.createDataFrame([], schemas.RULE_CHANGE)
+    for job in jobs.start_detection(spark.readStream.schema(schema).parquet(source), lambda _: rules, str(tmp_path / "out"), partitions=4):
+        job.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/stuck_value")).count() == 2 * (20 - detect.FLAT_DEFAULT + 1)
+    assert seen.value == 2 * len(rows)
