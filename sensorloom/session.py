@@ -19,6 +19,9 @@ RUNTIME_CONF = {
     # Methods beyond this size are not compiled by the JVM's JIT; plans with
     # long payload expressions run faster outside whole-stage code then.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Folders are listed by so many tasks at most, each of which takes many; a
+    # task a folder, the default up to 10,000, costs more than the listing.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     # Replaying a micro-batch replaces exactly the partitions it wrote before.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

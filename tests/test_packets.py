@@ -275,6 +275,22 @@ def test_archive_layout(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    path, group = str(tmp_path / "archive"), "listing"
+    for node in range(100):
+        (tmp_path / f"archive/ingest_batch=1/mesh_id=A/node_id={node}/dt=2024-05-06/hour=07").mkdir(parents=True)
+    flat = K.archive_rows(spark.createDataFrame([event("position", {}, mesh="A", node=1)], schemas.DECODED))
+    store.write_archive(flat, path, 2, F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    spark.sparkContext.setJobGroup(group, "listing")
+    try:
+        assert spark.read.parquet(path).count() == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 64
+
+
 def test_points_store_keeps_the_last_write(spark, tmp_path):
     path, compact = str(tmp_path / "points"), str(tmp_path / "compact")
     first = P.event_points(spark.createDataFrame([event("telemetry:a", {"a": {"x": 1}})], schemas.DECODED))
