@@ -126,7 +126,7 @@ def write_ingest(
     spark, commits = envelopes.sparkSession, Commits(paths.root)
     if commits.holds(spark, batch):
         return
-    gated = packets.gate(envelopes, gateways, rejections).persist()
+    gated = runtime.spread(packets.gate(envelopes, gateways, rejections)).persist()
     try:
         kinds = kinds_of(gated)
         # Points store what was decoded; calibrated events are a table apart.

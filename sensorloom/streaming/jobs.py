@@ -52,9 +52,11 @@ def start_detection(
         done = dict(now.marks).get(number)
         before = now if done is None else last.version(spark, done - 1) if done > 1 else None
         # Payloads are parsed once: the readings are asked for series, runs and the last ones of each series.
-        fresh = packets.observations(batch, include_time=False).where(F.col("value").isNotNull() & ~F.isnan("value"))
+        fresh = packets.observations(runtime.spread(batch), include_time=False).where(F.col("value").isNotNull() & ~F.isnan("value"))
         fresh = fresh.withColumn("is_new", F.lit(True)).persist()
         try:
+            # Filled by one job; else each of the three asks for it at once, and their tasks wait for each other.
+            fresh.count()
             readings = fresh
             if before and before.segments:
                 readings = readings.unionByName(_recent(last.read(spark, before), readings))
@@ -72,7 +74,7 @@ def start_detection(
     def write_ranges(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rules = load_rules.as_of_batch(spark, number) if isinstance(load_rules, LiveTable) else load_rules(spark)
-        store.write_rows(detect.range_check(packets.observations(batch, include_time=False), rules), f"{root}/range_check", number)
+        store.write_rows(detect.range_check(packets.observations(runtime.spread(batch), include_time=False), rules), f"{root}/range_check", number)
 
     return [
         runtime.start(events, write_stuck, f"{root}/_checkpoints/stuck_value", every_seconds, partitions=partitions),

@@ -57,6 +57,18 @@ def start(
         return writer.start()
 
 
+# Parts a micro-batch is cut into, for each task that can run at a time.
+PARTS = 3
+
+
+def spread(packets: DataFrame, by: str = "packet_id") -> DataFrame:
+    """Packets over all tasks, however few files they come from and however
+    uneven these are, and in no more parts than keep the tasks busy: taking a
+    payload apart costs far more than moving it, and parts times partitions is
+    what the next shuffle has of blocks."""
+    return packets.repartition(PARTS * packets.sparkSession.sparkContext.defaultParallelism, by)
+
+
 def run_until_caught_up(*args, **kwargs) -> StreamingQuery:
     query = start(*args, **kwargs)
     query.awaitTermination()

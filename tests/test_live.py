@@ -125,3 +125,15 @@ def test_notifications_with_a_registry_that_changes(spark, tmp_path):
     # What nobody could be told starts no cool-down; the one of 600 holds until 4,200, over batches.
     assert got == [(1, 600), (1, 4200), (2, 4000)]
     assert isinstance(moment(0), datetime)
+
+
+def test_one_file_is_taken_apart_by_many_tasks(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([envelope(i) for i in range(600)], schemas.ENVELOPE).coalesce(1).write.parquet(source)
+    load = ingest.config_from_changes(changes)
+    ingest.start_ingest(stream_of(spark, schemas.ENVELOPE, source), load, root, f"{root}/cp").awaitTermination()
+    rows = spark.read.parquet(f"{root}/decoded")
+    # A part writes a file; all of a single file's packets came in one part before.
+    assert len(rows.inputFiles()) >= 8
+    parts = spark.read.parquet(f"{root}/drops").unionByName(rows, allowMissingColumns=True)
+    assert sorted(r.packet_id for r in parts.select("packet_id").collect()) == list(range(600))
