@@ -234,7 +234,7 @@ def start_settled_point_writer(
     (`arrival`, a column of the events). State is bounded by `late_seconds`
     of points. Copies that come later are dropped and counted by the engine.
     """
-    waiting = points.event_points(events).withWatermark("time", f"{late_seconds} seconds")
+    waiting = points.event_points(runtime.spread(events)).withWatermark("time", f"{late_seconds} seconds")
     final = points.dedupe_points(waiting, store.ARRIVAL, "packet_id").drop(store.ARRIVAL)
     return runtime.start(final, lambda batch, number: store.write_points(batch, path, number, settled=True), checkpoint, every_seconds)
 
