@@ -55,7 +55,7 @@ def start_detection(
         fresh = packets.observations(runtime.spread(batch), include_time=False).where(F.col("value").isNotNull() & ~F.isnan("value"))
         fresh = fresh.withColumn("is_new", F.lit(True)).persist()
         try:
-            # Filled by one job; else each of the three asks for it at once, and their tasks wait for each other.
+            # Filled by one job; else all that read it ask for it at once, and their tasks wait for each other.
             fresh.count()
             readings = fresh
             if before and before.segments:
