@@ -15,7 +15,7 @@ stage sees what they gave. Recipes without windowed steps have one stage.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from uuid import uuid4
 
 import pandas as pd
@@ -182,11 +182,17 @@ def aligned_cells(readings: DataFrame, members: DataFrame, steps: DataFrame, min
 # --- evaluation -------------------------------------------------------------
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often `body` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _put(cells: Column, entries: Column) -> Column:
     """A map with some entries replaced; of two for one channel the later counts."""
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda f: f["field"] == e["field"]))
     rest = F.map_filter(cells, lambda k, _: ~F.exists(entries, lambda e: e["field"] == k))
-    return F.map_concat(rest, F.map_from_entries(F.transform(last, lambda e: F.struct(e["field"], e["value"]))))
+    replaced = F.map_concat(rest, F.map_from_entries(F.transform(last, lambda e: F.struct(e["field"], e["value"]))))
+    return F.when(F.size(entries) > 0, replaced).otherwise(cells)
 
 
 def _written(step: Column, result: Column) -> Column:
@@ -205,6 +211,15 @@ def _all_there(cells: Column, step: Column) -> Column:
     return F.forall(F.map_values(step["inputs"]), lambda c: F.try_element_at(cells, c).isNotNull())
 
 
+def _after(state: Column, outcome: Column) -> Column:
+    """The state after a step that wrote `entries` and `failed` or not."""
+    return F.struct(
+        _put(state["cells"], outcome["entries"]).alias("cells"),
+        F.concat(state["writes"], outcome["entries"]).alias("writes"),
+        F.concat(state["failed"], outcome["failed"]).alias("failed"),
+    )
+
+
 def _fold(state: Column, step: Column) -> Column:
     """One row-wise step on one row."""
     cells, name = state["cells"], step["function_name"]
@@ -215,14 +230,18 @@ def _fold(state: Column, step: Column) -> Column:
             results = algorithm.call(inputs, step["params"])
             pairs = [x for o, c in results.items() for x in (F.lit(o), c.cast("double"))]
             chosen = chosen.when(name == algorithm.name, F.create_map(*pairs))
-    ready = _all_there(cells, step)
-    computed = F.when(ready, chosen.otherwise(F.lit(None)))
-    works = ready & F.coalesce(F.forall(F.map_values(computed), lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
-    entries = F.when(works, _written(step, computed)).otherwise(F.array().cast(_WRITE))
-    failed = F.when(ready & ~works, F.array(name)).otherwise(F.array().cast("array<string>"))
-    return F.struct(
-        _put(cells, entries).alias("cells"), F.concat(state["writes"], entries).alias("writes"), F.concat(state["failed"], failed).alias("failed")
+    none = F.array().cast("array<string>")
+
+    def outcome(ready: Column, computed: Column) -> Column:
+        works = ready & F.coalesce(F.forall(F.map_values(computed), lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
+        entries = F.when(works, _written(step, computed)).otherwise(F.array().cast(_WRITE))
+        return F.struct(entries.alias("entries"), F.when(ready & ~works, F.array(name)).otherwise(none).alias("failed"))
+
+    made = _with(
+        F.struct(_all_there(cells, step).alias("ready")),
+        lambda r: _with(F.when(r["ready"], chosen.otherwise(F.lit(None))), lambda computed: outcome(r["ready"], computed)),
     )
+    return _with(made, lambda o: _after(state, o))
 
 
 def _kept(rows: DataFrame, name: str) -> DataFrame:
@@ -258,9 +277,7 @@ def _run_windowed(rows: DataFrame, stage: int, width_seconds: int) -> DataFrame:
         there = F.coalesce(F.forall(F.map_values(result), lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
         entries = F.when(there, _written(step, result)).otherwise(F.array().cast(_WRITE))
         failed = F.when(result.isNotNull() & ~there, F.array(step["function_name"])).otherwise(F.array().cast("array<string>"))
-        return F.struct(
-            _put(state["cells"], entries).alias("cells"), F.concat(state["writes"], entries).alias("writes"), F.concat(state["failed"], failed).alias("failed")
-        )
+        return _with(F.struct(entries.alias("entries"), failed.alias("failed")), lambda o: _after(state, o))
 
     joined = rows.join(per_row, ["_r1", "_r2"], "left")
     return joined.withColumn("state", F.aggregate(mine, F.col("state"), take)).drop("results")
@@ -292,8 +309,12 @@ def run_recipes(aligned: DataFrame, recipes: DataFrame, width_seconds: int = MIN
 
 
 def derived_rows(run: DataFrame) -> DataFrame:
-    """S-07: one row per written value, as `blueprints.derived_rows` gives them."""
-    return run.select("blueprint_id", *DEVICE, "time", F.explode("state.writes").alias("w")).select(
+    """S-07: one row per written value, as `blueprints.derived_rows` gives them.
+
+    An inner explode would have the engine ask first, below its joins, whether
+    there is anything to explode, and run all steps once more for the answer."""
+    each = run.select("blueprint_id", *DEVICE, "time", F.explode_outer("state.writes").alias("w"))
+    return each.where("w is not null").select(
         *DEVICE, "blueprint_id", F.col("w.step_order").alias("step_order"), F.col("w.written_by").alias("written_by"),
         F.col("w.field").alias("field"), "time", F.col("w.value").alias("value"),
     )
@@ -301,7 +322,8 @@ def derived_rows(run: DataFrame) -> DataFrame:
 
 def failure_counts(run: DataFrame) -> DataFrame:
     """A-15 over all blueprints."""
-    return run.select(F.explode("state.failed").alias("function_name")).groupBy("function_name").agg(F.count(F.lit(1)).alias("rows_skipped"))
+    each = run.select(F.explode_outer("state.failed").alias("function_name")).where("function_name is not null")
+    return each.groupBy("function_name").agg(F.count(F.lit(1)).alias("rows_skipped"))
 
 
 def unit_table(bound: DataFrame) -> DataFrame:

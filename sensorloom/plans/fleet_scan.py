@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import recipes
+from ..operators.points import dedupe_points
+from ..operators.quality import CHANNEL, quality_points
 from ..sources import store
 from . import quality_scan
 
@@ -51,9 +53,11 @@ def scan_fleet(
 
     Blueprints are data: the points are aligned and folded once, whatever the
     number of recipes. Derived and quality points go to the point store in one
-    write, alarms and discoveries to theirs. Statistics are written first and
-    read back, so they are computed once. A scan that is run again under its
-    number replaces what it wrote.
+    write, alarms and discoveries to theirs. Copies are folded before: derived
+    points by their key, quality points where a channel still is one row of
+    numbers and not four points. Statistics are written first and read back,
+    so they are computed once. A scan that is run again under its number
+    replaces what it wrote.
     """
     spark, paths = points.sparkSession, ScanPaths(root)
     run = quality_scan.check_completeness(points, channels, devices, variants, as_of, completeness_lookback)
@@ -63,7 +67,9 @@ def scan_fleet(
     store.write_rows(quality.alarms, paths.alarms, batch)
     run = quality_scan.run_blueprints(steps, devices, points, types, as_of, blueprint_lookback)
     join = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    store.write_points(join([quality.points, run.points]), paths.points, batch)
+    figures = quality_points(stats.dropDuplicates(list(CHANNEL)), as_of)
+    derived = dedupe_points(run.points, store.ARRIVAL, "packet_id")
+    store.write_points(join([figures, derived]), paths.points, batch, settled=True)
     # What was derived is read from the store, so blueprints are not run twice.
     written = spark.read.parquet(f"{paths.points}/{store.BATCH}={batch}").where(F.col("measurement") == "derived")
     named = written.withColumn("blueprint_id", F.col("tags")["blueprint_id"])

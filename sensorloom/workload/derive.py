@@ -255,14 +255,16 @@ def _renumbered(sql: str) -> str:
     ),
 )
 def fleet_scan_points(t):
-    """One scan over all devices and blueprints; its points are read from the store."""
+    """One scan over all devices and blueprints; its points are read from the store.
+    They are of one batch, within which copies were folded on writing."""
     root = f"{shared_folder(t.spark)}/scan-{uuid4().hex}"
     channels = health.known_channels(t)
     paths = fleet_scan.scan_fleet(
         t.points(("value",)), channels, t.devices(), t.variants(), steps_table(t), t.types(), root, 1, AS_OF, "-30d", "-30d"
     )
     made_of = F.coalesce(F.col("tags")["blueprint_id"], F.col("tags")["channel"]).alias("made_of")
-    return store.read_points(t.spark, paths.points).select("mesh_id", "node_id", "measurement", "field", made_of, "time", "value")
+    points = store.read_points(t.spark, paths.points, deduplicate=False)
+    return points.select("mesh_id", "node_id", "measurement", "field", made_of, "time", "value")
 
 
 # --- blueprints as data ----------------------------------------------------

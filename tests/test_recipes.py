@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sensorloom import schemas
 from sensorloom.operators import blueprints as B, recipes as R
-from sensorloom.plans import quality_scan
+from sensorloom.plans import fleet_scan, quality_scan
+from sensorloom.sources import store
 
 NOON = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
 DEVICE = "mesh_id string, device_id long, postprocessing_blueprint_id string, reading_interval_seconds int"
@@ -91,6 +92,39 @@ def test_plan_does_not_grow_with_blueprints(spark, tmp_path):
     assert sizes[0] == sizes[1]
 
 
+def test_steps_run_once_a_row(spark, tmp_path):
+    """The plan holds the fold of the steps once, and in it each function once."""
+    recipes = {"bp": [B.Step(1, "ppb_to_ugm3", {"ppb": "a.x", "temperature": "b.x"}, {"molar_mass_g": 48}, {"mass": "p"})]}
+    steps, devices, points = tables(spark, recipes, 4, 5)
+    path = str(tmp_path / "points")
+    points.write.parquet(path)
+    run = quality_scan.run_blueprints(steps, devices, spark.read.schema(READING).parquet(path), None, NOON + timedelta(days=9), "-30d")
+    for rows in (run.derived, run.failures):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("aggregate(filter(recipe") == 1
+        assert plan.count("function_name = ppb_to_ugm3") == 1
+
+
+def test_scan_folds_copies_before_they_are_points(spark, tmp_path, monkeypatch):
+    """A channel that is listed twice gives each of its figures once, and the store need not fold the points again."""
+    seen, write = [], store.write_points
+    monkeypatch.setattr(store, "write_points", lambda rows, path, batch, settled=False: (seen.append(settled), write(rows, path, batch, settled)))
+    recipes = {"bp": [B.Step(i, "linear", {"value": "a.x"}, {"scale": i}, {"value": "p"}) for i in (1, 2)]}
+    steps, devices, _ = tables(spark, recipes, 4, 5)
+    rows = [("m", 0, "a.x", "a", "x", float(v), "double", NOON + timedelta(hours=v), v) for v in (1, 2)]
+    rows.append(("m", 0, "a.x", "a", "x", 7.0, "double", NOON + timedelta(hours=2), 3))
+    channels = spark.createDataFrame([("m", 0, "telemetry:a", "a.x", "measured")] * 2, "mesh_id string, device_id long, payload_kind string, channel string, origin string")
+    variants = spark.createDataFrame([("telemetry:a", 3_600)], "payload_kind string, default_reading_interval_seconds int")
+    paths = fleet_scan.scan_fleet(
+        spark.createDataFrame(rows, READING), channels, devices, variants, steps, None, str(tmp_path), 1, NOON + timedelta(days=1), "-30d", "-30d"
+    )
+    assert seen == [True]
+    got = [(r.measurement, r.field, r.time.replace(tzinfo=timezone.utc)) for r in store.read_points(spark, paths.points, deduplicate=False).collect()]
+    figures = ("completeness_ratio", "expected", "largest_gap_seconds", "observed")
+    want = [("derived", "p", NOON + timedelta(hours=v)) for v in (1, 2)] + [("quality", f, NOON + timedelta(days=1)) for f in figures]
+    assert sorted(got) == want
+
+
 def test_blueprints_are_bound_in_batches(spark):
     """A call of Python binds a batch of blueprints, not one; steps without inputs, outputs or a known function too."""
     rows = [(f"bp{i}", o, n, x, p, y) for i in range(300) for o, n, x, p, y in (
