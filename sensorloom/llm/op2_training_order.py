@@ -141,8 +141,7 @@ def sequences(docs: DataFrame, model_path: str, code: Code, length: int = LENGTH
 
         for batch in batches:
             for doc_ids, texts in lots(batch):
-                encoded = cache.joined([segments(text) for text in texts])
-                for name, ids in zip(doc_ids, encoded, strict=True):
+                for name, ids in zip(doc_ids, cache.encoded(texts), strict=True):
                     rest += ids + end
                     names.append(name)
                     at = 0

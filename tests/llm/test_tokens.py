@@ -94,6 +94,21 @@ def test_segments_encoded_together(model):
     assert all(len(s) <= 64 for s in cache)
 
 
+def test_segments_are_cut_in_the_bytes_of_all_texts(model):
+    """Packing cuts texts where `segments` does, without a string for each segment."""
+    from sensorloom.llm.subwords import Cache, cut, packed
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab the\n\t  ▁é<s>|;😀\x00\r\u00a0") for _ in range(r.randint(0, 30))) for _ in range(500)]
+    texts += ["", "▁", " ", "\n", "a", "", " \n", "\t  x  ", "long" * 500, " " * 90, ""]
+    for some in (texts, texts[:1], ["", ""], []):
+        pieces, counts = cut(some)
+        assert pieces.to_pylist() == [s for t in some for s in segments(t)]
+        assert counts.tolist() == [len(segments(t)) for t in some]
+        assert Cache(model, packed).encoded(some) == [packed(model.encode(t)) for t in some]
+    assert "segments" not in op2.sequences.__code__.co_names and all("segments" not in f.co_names for f in op2.sequences.__code__.co_consts if hasattr(f, "co_names"))
+
+
 def test_texts_are_taken_a_lot_at_a_time():
     """A worker holds one lot's texts as Python's, not those of a whole batch; rows without text are left out."""
     import pyarrow as pa
