@@ -26,12 +26,40 @@ from ..functions.channels import channel_name
 from ..session import shared_folder
 from . import windowed
 from .align import DEFAULT_INTERVAL_SECONDS, MIN_SLICE_SECONDS, TOLERANCE
-from .blueprints import DEVICE, required_channels_table
+from .blueprints import DEVICE
 
 _BOUND = "blueprint_id string, `order` int, function_name string, inputs string, params string, outputs string, stage int, windowed boolean, last_orders string, units string"
 _STEP = "array<struct<`order`:int,function_name:string,inputs:map<string,string>,params:map<string,string>,outputs:map<string,string>,stage:int,windowed:boolean,last_orders:map<string,int>>>"
 _WRITE = "array<struct<field:string,value:double,written_by:int,step_order:int>>"
 
+# Steps up to which the engine chooses how tables of blueprints are joined.
+FEW_STEPS = 10_000
+
+
+def joined_by(steps: DataFrame) -> tuple[str, ...]:
+    """Hints for joins with tables of blueprints and of devices that have one.
+
+    The engine takes such a table for as small as its compressed file and sends
+    it to the driver and all executors, where a million blueprints are hundreds
+    of megabytes. Beyond a few steps both sides are sorted; what sorting costs
+    with a few blueprints, two partitions with all rows, is not met then."""
+    return ("merge",) if steps.limit(FEW_STEPS + 1).count() > FEW_STEPS else ()
+
+
+def hinted(rows: DataFrame, hints: tuple[str, ...]) -> DataFrame:
+    for name in hints:
+        rows = rows.hint(name)
+    return rows
+
+
+def needed_channels(steps: DataFrame) -> DataFrame:
+    """U-03: (blueprint_id, channels), sorted; blueprints that need none are left
+    out. The steps of a blueprint meet in one row, so nothing is joined."""
+    gathered = lambda name: F.flatten(F.collect_list(F.map_values(name)))
+    per = steps.groupBy("blueprint_id").agg(gathered("inputs").alias("read"), gathered("outputs").alias("made"))
+    needed = per.select("blueprint_id", F.array_sort(F.array_compact(F.array_except("read", "made"))).alias("channels"))
+    return needed.where(F.size("channels") > 0)
+
 
 def _bind(steps: list[dict], kinds: Mapping[str, tuple[bool, dict]], units: dict) -> list[dict]:
     """The steps of one recipe that can run, in order, with their stages.
@@ -71,7 +99,7 @@ def _bind(steps: list[dict], kinds: Mapping[str, tuple[bool, dict]], units: dict
     return [{**s, "last_orders": last, "units": given} for s in out]
 
 
-def bound_steps(steps: DataFrame, types: DataFrame | None = None) -> DataFrame:
+def bound_steps(steps: DataFrame, types: DataFrame | None = None, hints: tuple[str, ...] = ()) -> DataFrame:
     """Steps that can run (`_BOUND`), for all blueprints; a recipe is short, and
     is one row here, so a call binds a batch of them. Units of what the steps
     write are worked out beside."""
@@ -83,16 +111,17 @@ def bound_steps(steps: DataFrame, types: DataFrame | None = None) -> DataFrame:
     rows = steps.select(
         "blueprint_id", "order", "function_name", "inputs", F.coalesce("params", F.lit("{}")).alias("params"), "outputs"
     )
+    step = F.struct("order", "function_name", "inputs", "params", "outputs")
+    whole = rows.groupBy("blueprint_id").agg(F.to_json(F.collect_list(step)).alias("steps"))
     if types is None:
-        rows = rows.withColumn("known", F.lit("{}"))
+        whole = whole.withColumn("known", F.lit("{}"))
     else:
         known = types.select(channel_name(F.col("payload_kind"), F.col("field_name")).alias("channel"), "native_unit").groupBy("channel").agg(F.max("native_unit").alias("unit"))
         entries = F.map_from_entries(F.collect_list(F.struct("channel", "unit")))
-        per = required_channels_table(steps).join(known, "channel").where("unit is not null").groupBy("blueprint_id").agg(F.to_json(entries).alias("known"))
-        rows = rows.join(per, "blueprint_id", "left").withColumn("known", F.coalesce("known", F.lit("{}")))
+        needed = needed_channels(steps).select("blueprint_id", F.explode("channels").alias("channel"))
+        per = needed.join(known, "channel").where("unit is not null").groupBy("blueprint_id").agg(F.to_json(entries).alias("known"))
+        whole = whole.join(hinted(per, hints), "blueprint_id", "left").withColumn("known", F.coalesce("known", F.lit("{}")))
 
-    step = F.struct("order", "function_name", "inputs", "params", "outputs")
-    whole = rows.groupBy("blueprint_id").agg(F.to_json(F.collect_list(step)).alias("steps"), F.first("known").alias("known"))
     texts = ("inputs", "outputs", "last_orders", "units")
     columns = ["blueprint_id", "order", "function_name", "inputs", "params", "outputs", "stage", "windowed", "last_orders", "units"]
 
@@ -126,7 +155,9 @@ def recipes_of(bound: DataFrame) -> DataFrame:
 # --- alignment, with the channels of each device as data --------------------
 
 
-def aligned_cells(readings: DataFrame, members: DataFrame, steps: DataFrame, min_slice_seconds: int = MIN_SLICE_SECONDS) -> DataFrame:
+def aligned_cells(
+    readings: DataFrame, members: DataFrame, steps: DataFrame, min_slice_seconds: int = MIN_SLICE_SECONDS, hints: tuple[str, ...] = ()
+) -> DataFrame:
     """J-05 for all blueprints at once: (blueprint_id, mesh_id, node_id, time,
     packet_id, cells), a row per base reading, `cells` a map from channel to
     the reading nearest to it. `members` are devices with a blueprint.
@@ -136,12 +167,12 @@ def aligned_cells(readings: DataFrame, members: DataFrame, steps: DataFrame, min
     look for it meet in (device, channel, time slice), in one shuffle. Base
     readings alike in time, packet and value give one row.
     """
-    needs = required_channels_table(steps).groupBy("blueprint_id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
-    needs = needs.select("blueprint_id", F.element_at("channels", 1).alias("base"), F.slice("channels", 2, 2**30).alias("others"))
+    needs = needed_channels(steps).select("blueprint_id", F.element_at("channels", 1).alias("base"), F.slice("channels", 2, 2**30).alias("others"))
     interval = F.coalesce(F.nullif("reading_interval_seconds", F.lit(0)), F.lit(DEFAULT_INTERVAL_SECONDS)).cast("double")
     owned = members.select("mesh_id", F.col("device_id").alias("node_id"), F.col("postprocessing_blueprint_id").alias("blueprint_id"), interval.alias("_interval"))
     us, reach = F.col("_us"), F.col("_reach")
-    rows = readings.where(F.col("value").isNotNull()).join(owned.join(needs, "blueprint_id"), list(DEVICE)).select(
+    owned = owned.join(hinted(needs, hints), "blueprint_id")
+    rows = readings.where(F.col("value").isNotNull()).join(hinted(owned, hints), list(DEVICE)).select(
         *DEVICE, "blueprint_id", "channel", "base", "others", F.unix_micros("time").alias("_us"), "value", "packet_id",
         F.floor(F.col("_interval") * (TOLERANCE * 1e6)).cast("long").alias("_reach"),
         (F.greatest(F.ceil("_interval"), F.lit(min_slice_seconds)) * 1_000_000).cast("long").alias("_width"),
@@ -283,7 +314,9 @@ def _run_windowed(rows: DataFrame, stage: int, width_seconds: int) -> DataFrame:
     return joined.withColumn("state", F.aggregate(mine, F.col("state"), take)).drop("results")
 
 
-def run_recipes(aligned: DataFrame, recipes: DataFrame, width_seconds: int = MIN_SLICE_SECONDS) -> DataFrame:
+def run_recipes(
+    aligned: DataFrame, recipes: DataFrame, width_seconds: int = MIN_SLICE_SECONDS, hints: tuple[str, ...] = ()
+) -> DataFrame:
     """B-01, B-02, B-04: aligned rows with `state`: the channels as the steps left
     them, what was written in order, and the functions that failed.
 
@@ -295,7 +328,7 @@ def run_recipes(aligned: DataFrame, recipes: DataFrame, width_seconds: int = MIN
     windowed_stages = {r["stage"] for r in found if r["windowed"]}
     stages = max((r["stage"] + 1 for r in found), default=0)
     start = F.struct(F.col("cells"), F.array().cast(_WRITE).alias("writes"), F.array().cast("array<string>").alias("failed"))
-    rows = aligned.join(recipes.drop("stages"), "blueprint_id").withColumn("state", start).drop("cells")
+    rows = aligned.join(hinted(recipes.drop("stages"), hints), "blueprint_id").withColumn("state", start).drop("cells")
     # Two hashes of what tells rows of a device apart name the row.
     named = ("blueprint_id", *DEVICE, "time", "packet_id")
     names = {f"_r{i}": F.xxhash64(F.lit(i), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in named], F.to_json("state.cells")) for i in (1, 2)}

@@ -117,10 +117,11 @@ def run_blueprints(
     number of blueprints."""
     members = devices.where(F.coalesce("postprocessing_blueprint_id", F.lit("")) != "")
     used = members.select(F.col("postprocessing_blueprint_id").alias("blueprint_id")).distinct()
-    own = steps.join(used, "blueprint_id", "left_semi")
+    hints = R.joined_by(steps)
+    own = steps.join(R.hinted(used, hints), "blueprint_id", "left_semi")
     readings = numeric_only(in_range(points, resolve_bound(lookback, as_of, "lookback")))
-    bound = R.bound_steps(own, types)
-    run = R.run_recipes(R.aligned_cells(readings, members, own), R.recipes_of(bound))
+    bound = R.bound_steps(own, types, hints)
+    run = R.run_recipes(R.aligned_cells(readings, members, own, hints=hints), R.recipes_of(bound), hints=hints)
     derived = R.derived_rows(run)
     return FleetRun(bound, derived, B.derived_points(derived), R.failure_counts(run))
 

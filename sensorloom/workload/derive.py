@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from ..functions import calibration as C
-from ..operators import align, blueprints as B, changelog as L
+from ..operators import align, blueprints as B, changelog as L, recipes as R
 from ..operators.calibrate import calibrate_events
 from ..operators.series import in_range
 from ..functions.bounds import resolve_bound
@@ -304,7 +304,8 @@ def blueprint_per_device(t):
     )
     steps = t.raw("customer").select(own.alias("blueprint_id"), F.inline(F.array(first, second)))
     devices = t.devices().withColumn("postprocessing_blueprint_id", F.concat(F.lit("own-"), "device_id"))
-    run = quality_scan.run_blueprints(steps, devices, t.points(("value",)), t.types(), AS_OF, "-30d")
+    points = t.points(("value",), R.joined_by(steps))
+    run = quality_scan.run_blueprints(steps, devices, points, t.types(), AS_OF, "-30d")
     return run.derived.select("mesh_id", "node_id", "blueprint_id", "field", "step_order", "time", "value")
 
 

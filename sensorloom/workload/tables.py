@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import session
 from ..functions.channels import gateway_key
 from ..operators import packets
+from ..operators.recipes import hinted
 
 AS_OF = datetime(2024, 1, 31, tzinfo=timezone.utc)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -50,8 +51,9 @@ class Tables:
             F.concat(F.lit("mesh-"), "c_nationkey").alias("mesh_id"),
         )
 
-    def points(self, fields: tuple[str, ...] = ("value", "k")) -> DataFrame:
-        """Long points; `fields` decides what is read and spread."""
+    def points(self, fields: tuple[str, ...] = ("value", "k"), hints: tuple[str, ...] = ()) -> DataFrame:
+        """Long points; `fields` decides what is read and spread, `hints` how
+        devices are joined."""
         entry = {
             "value": lambda: F.struct(
                 F.lit("value").alias("field"), F.col("value"), F.lit("double").alias("value_type")
@@ -62,7 +64,7 @@ class Tables:
         }
         entries = [entry[name]() for name in fields]
         spread = F.inline(F.array(*entries)) if len(entries) > 1 else None
-        rows = self.events().join(self.mesh_of_node(), "user_id")
+        rows = self.events().join(hinted(self.mesh_of_node(), hints), "user_id")
         head = (
             F.col("mesh_id"),
             F.col("user_id").alias("node_id"),

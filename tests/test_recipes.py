@@ -92,6 +92,42 @@ def test_plan_does_not_grow_with_blueprints(spark, tmp_path):
     assert sizes[0] == sizes[1]
 
 
+def test_many_blueprints_are_not_broadcast(spark, tmp_path):
+    """Beyond a few steps no table of blueprints or devices is sent to the driver; only the catalog's channels are."""
+    n, path = 6_000, str(tmp_path)
+    step = "struct({} AS `order`, '{}' AS function_name, {} AS inputs, {} AS params, {} AS outputs)".format
+    first = step(1, "linear", "map('value', 'a.x')", "concat('{\"scale\": ', id, '}')", "map('value', 'p')")
+    second = step(2, "difference", "map('minuend', 'p', 'subtrahend', 'b.x')", "'{}'", "map('difference', 'q')")
+    ids = spark.range(n)
+    ids.selectExpr("concat('bp', id) AS blueprint_id", f"inline(array({first}, {second}))").write.parquet(f"{path}/steps")
+    ids.selectExpr("'m' AS mesh_id", "id AS device_id", "concat('bp', id) AS postprocessing_blueprint_id", "10 AS reading_interval_seconds").write.parquet(f"{path}/devices")
+    rows = [("m", node, c, *c.split("."), v, "double", NOON, i) for node in (0, 7, n - 1) for i, (c, v) in enumerate((("a.x", 2.0), ("b.x", 1.0)))]
+    spark.createDataFrame(rows, READING).write.parquet(f"{path}/points")
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    types = spark.createDataFrame([("telemetry:a", "x", "V")], "payload_kind string, field_name string, native_unit string")
+    run = quality_scan.run_blueprints(read("steps"), read("devices"), read("points"), types, NOON + timedelta(days=1), "-30d")
+    for rows in (run.derived, run.bound):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") <= plan.count("MapInPandas") and "BroadcastNestedLoopJoin" not in plan
+    got = sorted((r.node_id, r.blueprint_id, r.field, r.value) for r in run.derived.collect())
+    assert got == [x for node in (0, 7, n - 1) for x in ((node, f"bp{node}", "p", 2.0 * node), (node, f"bp{node}", "q", 2.0 * node - 1))]
+    assert R.joined_by(read("steps").limit(100)) == ()
+
+
+def test_needed_channels(spark):
+    """A row a blueprint with what the table of required channels has, for steps without inputs or outputs too."""
+    rows = [
+        ("one", 1, "linear", {"value": "b.x"}, None, {"value": "p"}), ("one", 1, "ratio", {"numerator": "p", "denominator": "a.x"}, None, {"ratio": "q"}),
+        ("one", 2, "linear", {"value": "b.x"}, None, None), ("own", 1, "linear", {"value": "p"}, None, {"value": "p"}),
+        ("null", 1, "linear", None, None, None), ("null", 2, "linear", {"value": None}, None, {"value": None}), ("half", 1, "linear", {"value": None, "x": "c"}, None, {}),
+    ]
+    steps = spark.createDataFrame(rows, schemas.BLUEPRINT_STEP)
+    want = {}
+    for r in B.required_channels_table(steps).where("channel is not null").collect():
+        want.setdefault(r.blueprint_id, []).append(r.channel)
+    assert {r.blueprint_id: r.channels for r in R.needed_channels(steps).collect()} == {k: sorted(v) for k, v in want.items()} == {"one": ["a.x", "b.x"], "half": ["c"]}
+
+
 def test_steps_run_once_a_row(spark, tmp_path):
     """The plan holds the fold of the steps once, and in it each function once."""
     recipes = {"bp": [B.Step(1, "ppb_to_ugm3", {"ppb": "a.x", "temperature": "b.x"}, {"molar_mass_g": 48}, {"mass": "p"})]}
