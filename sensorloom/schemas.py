@@ -15,6 +15,12 @@ DECODED = (
     "channel_id string, gateway_id string, mesh_id string, payload_kind string, payload string"
 )
 
+# The archive as it is read: what its files hold, then its folders.
+ARCHIVE = (
+    "packet_id bigint, portnum int, rx_time bigint, hop_start int, channel_id string, gateway_id string, "
+    "payload_kind string, payload_json string, mesh_id string, node_id bigint, dt date, hour int, ingest_batch bigint"
+)
+
 ALARM = (
     "mesh_id string, device_id bigint, channel string, detector string, source string, "
     "value double, message string, triggered_at timestamp"

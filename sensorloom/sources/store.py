@@ -12,11 +12,13 @@ from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.channels import split_channel
 from ..operators.points import dedupe_points
 from ..operators.series import in_range, numeric_only
+from . import folders
 
 BATCH = "ingest_batch"
 # Order in which rows of a batch came in: an offset, or a number given on reading.
@@ -133,17 +135,39 @@ def read_channel(
     return readings
 
 
+_ARCHIVE_FOLDERS = ("mesh_id", "node_id", "dt", "hour")
+
+
 def write_archive(rows: DataFrame, path: str, batch: int, written_at: Column | None = None) -> None:
     """S-05: events by mesh, node and hour of *writing*.
 
     An empty batch writes nothing. A missing mesh or node goes to the engine's
-    default partition.
+    default partition. A folder a node is what takes time, so on a mounted file
+    system the tasks make them without the engine's committer.
     """
     now = written_at if written_at is not None else F.current_timestamp()
     stamped = rows.withColumn("dt", F.date_format(now, "yyyy-MM-dd")).withColumn(
         "hour", F.date_format(now, "HH")
     )
-    _write_batch(stamped, path, batch, ("mesh_id", "node_id", "dt", "hour"))
+    at = folders.mounted(rows.sparkSession, f"{path}/{BATCH}={batch}")
+    if at is None:
+        _write_batch(stamped, path, batch, _ARCHIVE_FOLDERS)
+    else:
+        folders.write_folders(stamped, at, _ARCHIVE_FOLDERS)
+
+
+def read_archive(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
+    """S-05: the archive, all of it or some columns of its files beside those of
+    its folders. Types are stated: where the engine guesses at them, a mesh `007`
+    becomes 7."""
+    schema = StructType.fromDDL(schemas.ARCHIVE)
+    levels = (BATCH, *_ARCHIVE_FOLDERS)
+    if columns:
+        schema = StructType([f for f in schema if f.name in (*columns, *levels)])
+    at = folders.mounted(spark, path)
+    if at is None:
+        return spark.read.schema(schema).parquet(path)
+    return folders.read_folders(spark, at, schema, levels)
 
 
 def write_rows(rows: DataFrame, path: str, batch: int, by: Sequence[str] = ()) -> None:

@@ -99,7 +99,7 @@ def points_sink(t):
 def archive_sink(t):
     path = _folder(t, "archive")
     store.write_archive(K.archive_rows(t.decoded()), path, 1, F.lit("2024-01-31 07:30:00").cast("timestamp"))
-    rows = t.spark.read.parquet(path)
+    rows = store.read_archive(t.spark, path, ("packet_id",))
     return rows.groupBy("mesh_id", F.col("node_id").cast("bigint").alias("node_id"), F.col("dt").cast("string").alias("dt"), F.col("hour").cast("bigint").alias("hour")).agg(
         F.count(F.lit(1)).alias("events"), F.sum("packet_id").alias("packet_ids")
     )
@@ -223,7 +223,7 @@ def stream_archive(t):
         events, f"{root}/archive", f"{root}/_checkpoint", None, F.lit("2024-01-31 07:30:00").cast("timestamp")
     )
     job.awaitTermination()
-    rows = t.spark.read.parquet(f"{root}/archive")
+    rows = store.read_archive(t.spark, f"{root}/archive", ("packet_id",))
     return rows.groupBy("mesh_id", F.col("node_id").cast("bigint").alias("node_id")).agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -275,6 +275,46 @@ def test_archive_layout(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_archive_is_written_without_a_process_a_folder(spark, tmp_path, monkeypatch):
+    """On a mounted file system no checksum file is made beside a file, as the engine's committer does, and its folders
+    and rows are those the engine writes; a run that fails leaves the batch that was there."""
+    meshes = ["A", "", None, "a/b=%c d", "x:{[\t]}", "\u00e9"]
+    events = [event("position", {"n": i}, mesh=meshes[i % 6], node=i % 11 or None, packet=i) for i in range(300)]
+    flat = K.archive_rows(spark.createDataFrame(events, schemas.DECODED)).repartition(3)
+    at = F.lit("2024-05-06 07:08:09").cast("timestamp")
+    path, plain = tmp_path / "archive", tmp_path / "plain"
+    store.write_archive(flat, str(path), 1, at)
+    with monkeypatch.context() as patched:
+        patched.setattr(store.folders, "mounted", lambda *_: None)
+        store.write_archive(flat, str(plain), 1, at)
+    folders = lambda root: sorted({str(p.parent.relative_to(root)) for p in root.rglob("*.parquet")})
+    rows = lambda root: sorted(map(str, spark.read.parquet(str(root)).collect()))
+    assert folders(path) == folders(plain) and len(folders(path)) == 55
+    assert rows(path) == rows(plain) and len(rows(path)) == 300
+    read = lambda root: sorted(map(str, store.read_archive(spark, str(root)).collect()))
+    assert read(path) == read(plain) and len(read(path)) == 300
+    assert spark.read.parquet(str(path)).schema == spark.read.parquet(str(plain)).schema
+    assert list(plain.rglob("*.crc")) and not list(path.rglob("*.crc"))
+    bad = flat.withColumn("payload_json", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        store.write_archive(bad, str(path), 1, at)
+    assert len(rows(path)) == 300
+    assert [p.name for p in path.iterdir()] == ["ingest_batch=1"]
+
+
+def test_archive_is_read_as_it_was_written(spark, tmp_path):
+    """Names of folders are not guessed at: a mesh `007` is no number."""
+    flat = K.archive_rows(spark.createDataFrame([event("position", {"n": 1}, mesh="007", node=3), event("position", {}, mesh=None, node=None)], schemas.DECODED))
+    store.write_archive(flat, str(tmp_path), 4, F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    read = store.read_archive(spark, str(tmp_path))
+    assert sorted(map(str, read.select(*flat.columns).collect())) == sorted(map(str, flat.collect()))
+    assert [tuple(r) for r in read.select("mesh_id", F.col("dt").cast("string"), "hour", "ingest_batch").orderBy("mesh_id").collect()] == [
+        (None, "2024-05-06", 7, 4), ("007", "2024-05-06", 7, 4)
+    ]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and store.read_archive(spark, str(tmp_path), ("packet_id",)).count() == 2
+
+
 def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     path, group = str(tmp_path / "archive"), "listing"
     for node in range(100):
